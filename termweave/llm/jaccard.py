@@ -5,11 +5,14 @@ is exact and returns classes of linked documents.
 
 Plan. (1) Documents with equal sets are one class from the start. (2) Shingles are counted over all classes;
 those in more than RARE of them are frequent. (3) All sets share one order, rare shingles before frequent
-ones. A set's prefix is extended until two sets that link must share, inside both prefixes, a rare shingle
-or a pair of frequent ones of one token class: with m_c frequent tokens of class c in the prefix, the
-guarantee needs (rare tokens) + sum of max(0, m_c - 1) >= size - ceil(0.8 size) + 1. Token classes are cut
-by hash, as many as fit the size's band; a set near the upper end of its band posts to the next band too.
-(4) Rare shingles are posted alone, in lists of RARE at most; frequent ones as pairs. (5) Candidates are
+ones. A set's prefix is extended until two sets that link must share, inside both prefixes, several rare
+shingles or a pair of frequent ones of one token class: with m_c frequent tokens of class c in the prefix and r rare ones, the
+guarantee needs max(0, r - (k - 1)) + sum of max(0, m_c - 1) >= size - ceil(0.8 size) + 1, where k grows
+with the size: then either k rare shingles are shared or a pair of frequent ones. The bound is
+made for each band of partners' sizes by itself, with the overlap that the two sizes take, and token
+classes are cut by hash, as many as fit the two bands.
+(4) Rare shingles are posted alone, in lists of RARE at most, and shared ones counted by pair; frequent
+ones are posted as pairs. (5) Candidates are
 verified on whole sets. A list of pairs isn't expanded: its least member is tried against the rest; lists
 whose members still lie in several components get a second try with another member for each list, and what
 then remains is tried pairwise between components only. Pairs inside a component can't change it.
@@ -28,6 +31,7 @@ space and A-Z are lower-cased, nothing else.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -198,39 +202,66 @@ def needed(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _bands(n: int) -> list[int]:
-    """The size's band, by powers of two, and the next one if a set of that band can link with it."""
-    band = n.bit_length() - 1
-    return [band, band + 1] if 5 * n >= 4 << (band + 1) else [band]
+def shared_rare(n: int) -> int:
+    """Rare tokens that a set of this size must share with another for a candidate, if no pair of frequent ones does."""
+    return max(1, min(4, n // 16))
 
 
-def combinations(heavy: np.ndarray, lack: int, n: int) -> np.ndarray:
-    """Signatures of pairs of frequent tokens, of one token class each, of a prefix that has lack tokens to spare in its classes."""
-    out = []
-    for band in _bands(n):
-        cut = np.uint64(max(1, (1 << band) // 8))
-        group = (_mix(heavy ^ np.uint64(band + 1)) % cut).astype(np.int64)
+@cache
+def _size_steps(upto: int) -> np.ndarray:
+    """Least sizes of the bands that sizes fall into: every size by itself at first, then steps of a twenty-fifth."""
+    out = [SMALLEST]
+    while out[-1] <= upto:
+        out.append(max(out[-1] + 1, out[-1] * 26 // 25))
+    return np.array(out)
+
+
+def partners(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """For each band of sizes that a set of n can link with: the two bands in order, the tokens by which the prefix must
+    exceed what the set may lack of any such partner, and the number of token classes for the two bands.
+
+    An overlap of ceil(4/9 (n + m)) is what a similarity of 0.8 takes for sizes n and m.
+    """
+    steps = _size_steps(1 << (2 * n).bit_length())
+    at = lambda size: int(np.searchsorted(steps, size, side="right")) - 1
+    own = at(n)
+    for other in range(at(-(-4 * n // 5)), at(5 * n // 4) + 1):
+        least = max(int(steps[other]), -(-4 * n // 5))
+        small, large = (int(steps[k]) for k in sorted((own, other)))
+        yield min(own, other), max(own, other), n + (-4 * (n + least) // 9) + 1, max(1, (large + (-4 * (small + large) // 9) + 1) // 2)
+
+
+def combinations(heavy: np.ndarray, rare: int, n: int) -> np.ndarray:
+    """Signatures of pairs of frequent tokens, of one token class each, in the prefixes of a set of n with so many rare tokens."""
+    out, k = [], shared_rare(n)
+    for low, high, lack, cut in partners(n):
+        # a partner may ask for fewer shared rare tokens, which makes more candidates and loses none
+        need = lack - max(0, rare - (k - 1))
+        if need <= 0:
+            continue
+        pair = np.uint64(low * 100_003 + high)
+        salt = np.uint64((low * 100_003 + high) * int(_ODD) % (1 << 64))
+        group = (_mix(heavy ^ salt) % np.uint64(cut)).astype(np.int64)
         # tokens are in the common order; a token counts once its class has one before it
-        seen = np.zeros(len(heavy), bool)
         order = np.argsort(group, kind="stable")
+        seen = np.zeros(len(heavy), bool)
         seen[order[1:]] = group[order][1:] == group[order][:-1]
-        enough = np.searchsorted(np.cumsum(seen), lack) + 1  # the whole set when it never is: then every pair is posted
+        enough = np.searchsorted(np.cumsum(seen), need) + 1  # the whole set when it never is: then every pair is posted
         order = order[order < enough]
         g, t = group[order], heavy[order]
         for d in range(1, len(g)):
             same = g[d:] == g[:-d]
             if not same.any():
                 break
-            a, b = t[:-d][same], t[d:][same]
-            out.append(_mix(a * _PLACES[2] + b * _PLACES[3] + np.uint64(band)))
+            out.append(_mix(t[:-d][same] * _PLACES[2] + t[d:][same] * _PLACES[3] + pair))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """Two kinds of rows: bucket, tokens, ids (packed postings of rare tokens), or id, n, pairs (signatures of a set with frequent tokens in its prefix)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    names = ["bucket", "tokens", "ids", "id", "n", "pairs"]
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    names = ["bucket", "tokens", "ids", "least", "id", "n", "pairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy_tokens, held, rows, size, n_pairs = shared.value, [], [], 0, 0
@@ -239,12 +270,13 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         def packed() -> list[tuple]:
-            tokens = np.concatenate([t for _, t in held])
-            ids = np.repeat(np.array([i for i, _ in held], np.int64), [len(t) for _, t in held])
+            tokens, lengths = np.concatenate([t for _, _, t in held]), [len(t) for _, _, t in held]
+            ids = np.repeat(np.array([i for i, _, _ in held], np.int64), lengths)
+            least = np.repeat(np.array([k for _, k, _ in held], np.uint8), lengths)
             held.clear()
             order = np.argsort(tokens, kind="stable")
-            tokens, ids = tokens[order], ids[order]
-            return [(k, _planes(tokens[s]), _planes(ids[s]), None, None, None) for k, s in _by_bucket(tokens, buckets)]
+            tokens, ids, least = tokens[order], ids[order], least[order]
+            return [(k, _planes(tokens[s]), _planes(ids[s]), least[s].tobytes(), None, None, None) for k, s in _by_bucket(tokens, buckets)]
 
         for batch in batches:
             for i, s in _sets(batch):
@@ -254,13 +286,13 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 lack, known = needed(n), np.zeros(n, bool)
                 if len(heavy_tokens):
                     known = heavy_tokens[np.minimum(np.searchsorted(heavy_tokens, s), len(heavy_tokens) - 1)] == s
-                rare = s[~known][:lack]
+                k = shared_rare(n)
+                rare = s[~known][: lack + k - 1]
                 if len(rare):
-                    held.append((i, rare))
+                    held.append((i, k, rare))
                     size += len(rare)
-                if len(rare) < lack:
-                    pairs = combinations(s[known], lack - len(rare), n)
-                    rows.append((None, None, None, i, n, pairs.view(np.int64)))
+                if len(rare) < lack + k - 1 and len(pairs := combinations(s[known], len(rare), n)):
+                    rows.append((None, None, None, None, i, n, pairs.view(np.int64)))
                     n_pairs += len(pairs)
             if size >= PACK:
                 rows, size = rows + packed(), 0
@@ -271,28 +303,31 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, ids binary, id long, n long, pairs array<long>")
+    return docs.mapInArrow(run, "bucket int, tokens binary, ids binary, least binary, id long, n long, pairs array<long>")
 
 
 def rare_pairs(posted: DataFrame) -> DataFrame:
-    """a < b: ids that share a rare token; a list has as many ids as a rare token has classes at most."""
+    """a < b: ids that share as many rare tokens as the smaller demand of the two; a list has as many ids as a rare token has classes at most."""
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         tokens = np.concatenate([_unplanes(x) for x in rows["tokens"]])
         ids = np.concatenate([_unplanes(x) for x in rows["ids"]]).view(np.int64)
+        least = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["least"]])
         order = np.argsort(tokens, kind="stable")
-        tokens, ids = tokens[order], ids[order]
-        out = [np.zeros((0, 2), np.int64)]
+        tokens, ids, least = tokens[order], ids[order], least[order]
+        out = [np.zeros((0, 3), np.int64)]
         for d in range(1, len(tokens)):
             same = np.flatnonzero(tokens[d:] == tokens[:-d])
             if not len(same):
                 break
             both = np.sort(np.stack([ids[same], ids[same + d]], axis=1), axis=1)
-            out.append(np.unique(both, axis=0))
-        both = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            out.append(np.column_stack([both, np.minimum(least[same], least[same + d])]))
+        both, n = np.unique(np.concatenate(out), axis=0, return_counts=True)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "least": both[:, 2], "shared": n})
 
-    return posted.filter("bucket is not null").select("bucket", "tokens", "ids").groupBy("bucket").applyInPandas(pairs, "a long, b long")
+    lists = posted.filter("bucket is not null").select("bucket", "tokens", "ids", "least")
+    found = lists.groupBy("bucket").applyInPandas(pairs, "a long, b long, least long, shared long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
