@@ -33,32 +33,35 @@ WEIGHTS = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
 STEPS = 30
 #: Smoothing of word counts, and how many standard errors a feature's rates must differ by to count as evidence.
 SMOOTHING, LEAST_Z = 0.5, 6.0
+#: For each domain, the lack of its first LACKS features of at least this log ratio counts too; more of them hang together too much for that.
+STRONG, LACKS = 3.0, 10
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 0, "low").otherwise("clean")
 
 
-def _features(text: Column) -> Column:
-    """Distinct features of a text: lower-case words without ASCII marks at their ends, and three of its form (they begin with a blank)."""
-    words = F.array_remove(F.split(text, f"[{SEPARATORS}]+"), "")
+def _words(text: Column) -> Column:
+    """Lower-case words without the marks that end them; these are the tokens that count here."""
+    return F.array_remove(F.split(F.lower(text), f"[.,!?;:|]*[{SEPARATORS}]+"), "")
 
-    def made(w: Column) -> Column:
-        n = F.greatest(F.size(w), F.lit(1))
-        kinds = F.floor(10 * F.size(F.array_distinct(w)) / n)
-        marks = F.least(F.lit(9), F.floor(20 * F.regexp_count(text, F.lit("[#*$%&|<>!]")) / F.greatest(F.char_length(text), F.lit(1))))
-        form = F.array(*[F.concat(F.lit(f" {name}:"), c.cast("int").cast("string")) for name, c in (("kinds", kinds), ("marks", marks), ("length", F.floor(F.log2(n))))])
-        return F.array_distinct(F.concat(F.transform(w, lambda x: F.rtrim(F.lower(x), F.lit(".,!?;:|"))), form))
 
-    return F.get(F.transform(F.array(words), made), F.lit(0))
+def _features(words: Column, text: Column) -> Column:
+    """Words and three features of the text's form, which begin with a blank as no word does."""
+    n = F.greatest(F.size(words), F.lit(1))
+    kinds = F.floor(10 * F.size(F.array_distinct(words)) / n)
+    marks = F.least(F.lit(9), F.floor(20 * F.regexp_count(text, F.lit("[#*$%&|<>!]")) / F.greatest(F.char_length(text), F.lit(1))))
+    form = [F.concat(F.lit(f" {name}:"), c.cast("int").cast("string")) for name, c in (("kinds", kinds), ("marks", marks), ("length", F.floor(F.log2(n))))]
+    return F.concat(words, F.array(*form))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
     """Log prior by domain (of a document without any feature), and for at most FEATURES features the log ratio of each domain but the first to the first."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), domain_of(F.col("quality"), F.coalesce("toxic", F.lit(0))).alias("__d"))
     known = known.orderBy(F.xxhash64("__id"), "__id", "__d").limit(sample)
-    seen = docs.join(F.broadcast(known), F.col(key) == F.col("__id")).select("__d", _features(F.coalesce(F.col(text), F.lit(""))).alias("__f"))
-    seen = materialise(seen)
+    seen = docs.join(F.broadcast(known), F.col(key) == F.col("__id")).select("__d", F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    seen = seen.select("__d", "__t", _words(F.col("__t")).alias("__w"))
+    seen = materialise(seen.select("__d", F.array_distinct(_features(F.col("__w"), F.col("__t"))).alias("__f")))
     n = {d: 0 for d in DOMAINS} | {r["__d"]: r["count"] for r in seen.groupBy("__d").count().collect()}
     first = DOMAINS[0]
     prior = {d: math.log((n[d] + 1) / (sum(n.values()) + len(DOMAINS))) for d in DOMAINS}
@@ -75,11 +78,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     best = F.greatest(*[z(d) for d in others], F.lit(0.0))
     told = counts.withColumn("z", best).filter(F.col("z") >= LEAST_Z).orderBy(F.round("z", 6).desc(), "f").limit(FEATURES)
     rate = lambda r, d: (r[d] + SMOOTHING) / (n[d] + 2 * SMOOTHING)
-    model = []
+    model, lacks = [], dict.fromkeys(others, 0)
     for r in told.collect():
-        # a feature that is missing tells as well: that part goes to the prior, for all documents, and back where the feature is there
-        absent = {d: math.log((1 - rate(r, d)) / (1 - rate(r, first))) for d in others}
-        model.append((r.f, {d: round(math.log(rate(r, d) / rate(r, first)) - absent[d], 6) if d in others else 0.0 for d in DOMAINS[1:]}))
+        ratio = {d: math.log(rate(r, d) / rate(r, first)) for d in others}
+        # that a telling feature is missing tells as well: it goes to the prior, for all documents, and back where the feature is there
+        absent = {d: math.log((1 - rate(r, d)) / (1 - rate(r, first))) if ratio[d] >= STRONG and lacks[d] < LACKS else 0.0 for d in others}
+        lacks = {d: k + (absent[d] < 0) for d, k in lacks.items()}
+        model.append((r.f, {d: round(ratio[d] - absent[d], 6) if d in others else 0.0 for d in DOMAINS[1:]}))
         prior |= {d: prior[d] + absent[d] for d in others}
     return prior, model
 
@@ -88,11 +93,11 @@ def posteriors(docs: DataFrame, model: tuple[dict[str, float], list[tuple[str, d
     """keep, n_tokens and p_<domain> for each row. Log odds are held within 30 either way."""
     prior, ratios = model
     t = F.coalesce(F.col(text), F.lit(""))
-    n = F.size(F.array_remove(F.split(F.col("__t"), f"[{SEPARATORS}]+"), "")).cast("long")
     found = docs.select(*keep, t.alias("__t"))
     names = [c for c in found.columns if c != "__t"]
+    found = found.select(*names, "__t", _words(F.col("__t")).alias("__w"))
     known = F.array(*[F.lit(f) for f, _ in ratios]) if ratios else F.array().cast("array<string>")
-    found = found.select(*names, n.alias("n_tokens"), F.array_intersect(_features(F.col("__t")), known).alias("__f"))
+    found = found.select(*names, F.size("__w").cast("long").alias("n_tokens"), F.array_intersect(_features(F.col("__w"), F.col("__t")), known).alias("__f"))
 
     def evidence(d: str) -> Column:
         weights = F.array(*[F.lit(w[d]) for _, w in ratios]) if ratios else F.array().cast("array<double>")
