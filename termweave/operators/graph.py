@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pagerank(edges: DataFrame, jump: float = 0.15, steps: int = 1000, tolerance: float = 1e-3, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, jump: float = 0.15, steps: int = 1000, tolerance: float = 1e-3) -> DataFrame:
     """node, score. Edges (src, dst) count as often as they occur; nodes without edges out spread their score over all.
 
-    Degrees and nodes are made once; each step is a join and an aggregate; lineage is cut in the shared
-    checkpoint folder, if the session names one, every few steps and at the end.
+    Degrees and nodes are made once; each step is a join and an aggregate. A step reads the last one's scores
+    twice, so lineage is cut after each, in the shared checkpoint folder if the session names one.
     """
     spark = edges.sparkSession
     cut = (lambda df: df.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
@@ -22,15 +22,12 @@ def pagerank(edges: DataFrame, jump: float = 0.15, steps: int = 1000, tolerance:
         return nodes.select("node", F.lit(0.0).alias("score"))
     share = cut(links.join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("part")))
     rank = nodes.select("node", "degree", F.lit(1.0 / n).alias("score"))
-    for step in range(1, steps + 1):
+    for _ in range(steps):
         lost = F.sum(F.when(F.col("degree").isNull(), F.col("score")).otherwise(0.0))
         got = share.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
         dangling = F.broadcast(rank.agg(lost.alias("lost")))
         new = rank.withColumnRenamed("score", "old").join(got, "node", "left").join(dangling)
         new = new.select("node", "degree", "old", (jump / n + (1 - jump) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
-        if step % every and step < steps:
-            rank = new.select("node", "degree", "score")
-            continue
         new = cut(new)
         rank = new.select("node", "degree", "score")
         if new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
