@@ -7,8 +7,8 @@ than three such lines is one window as a whole. A line is kept where any copy of
 and no later occurrence covers it.
 
 Counting and the first place of a window are one pre-aggregated shuffle of hashes. Only windows that are
-repeated come back, by a join that Spark can split at a hot window; texts move only for documents that
-lose lines.
+repeated come back, by a join that Spark can split at a hot window. Texts are shuffled once, by document,
+to meet the numbers of the lines they lose: at every size alike.
 
 Defined results: null and empty texts stay as they are; null doc_ids take no part and stay as they are;
 lines are compared without white space at their ends; rows that share a doc_id are told apart by their
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, materialise, sized, table
+from .common import SEPARATORS, materialise, table
 
 WINDOW = 3
 
@@ -55,7 +55,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     gone = materialise(repeated(docs, key, text, window))
     row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
     keyed = docs.select(row, F.col(key).alias("__key"), F.xxhash64(text).alias("__version"))
-    named = sized(gone.select(F.col("doc").alias("__doc"), F.col("version").alias("__of"), F.col("gone").alias("__gone")), 20_000)
+    named = gone.select(F.col("doc").alias("__doc"), F.col("version").alias("__of"), F.col("gone").alias("__gone")).hint("merge")
     joined = keyed.join(named, (F.col("__key") == F.col("__doc")) & (F.col("__version") == F.col("__of")), "left")
     old = F.col("__row")[text]
     rest = F.array_join(F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
