@@ -1,7 +1,8 @@
 """Chat formatting: tool calls and their results, in DataFrame functions only.
 
 Calls and results are joined by hash on their identifier. Calls that refer to earlier results are put in
-topological order: a call's level is one more than the deepest call it waits for. Arguments are checked
+topological order: a call's level is one more than the deepest call it waits for; chains of calls are
+followed by doubling, so a conversation of n turns takes about log2(n) passes. Arguments are checked
 against the schema of the tool, and each call becomes one line of canonical JSON (keys sorted, no spare
 white space, null members left out). Conversations are never gathered in a task: links, levels and checks
 are equi-joins on identifiers, so a conversation of any length is spread over tasks.
@@ -43,23 +44,52 @@ def valid(name: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """call_id, level for each row (call_id, waits_for: array of call ids): Kahn's order, a level a pass, -1 on cycles."""
-    edges = calls.select("call_id", F.explode(F.array_distinct("waits_for")).alias("first")).filter(F.col("first").isNotNull())
-    edges = materialise(edges.join(calls.select(F.col("call_id").alias("first")), "first", "left_semi").select("call_id", "first"))
+    """call_id, level for each row (call_id, waits_for: array of call ids); -1 on cycles and for what waits for one.
+
+    A call that waits for one other points at it; pointers double until they end at a call that waits for none
+    or for several, so a chain takes as many passes as the logarithm of its length. Calls that wait for several
+    then follow in Kahn's order, a level of them a pass.
+    """
     nodes = calls.select("call_id")
-    done = materialise(nodes.join(edges.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).alias("level")))
-    last, level = done, 0
+    edges = calls.select("call_id", F.explode(F.array_distinct("waits_for")).alias("first")).filter(F.col("first").isNotNull())
+    edges = materialise(edges.join(nodes.select(F.col("call_id").alias("first")), "first", "left_semi").select("call_id", "first"))
+    waits = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    waits = materialise(nodes.join(waits, "call_id", "left").select("call_id", F.coalesce("n", F.lit(0)).alias("n"), "first"))
+    ends = waits.filter("n <> 1").select(F.col("call_id").alias("first"), F.lit(True).alias("ended"))
+    chain = waits.filter("n = 1").join(ends, "first", "left")
+    chain = materialise(chain.select("call_id", F.col("first").alias("to"), F.lit(1).cast("long").alias("steps"), F.coalesce("ended", F.lit(False)).alias("ended")))
+    left = chain.filter("not ended").count()
+    while left:
+        further = chain.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("ended").alias("ends"))
+        moved = chain.filter("not ended").join(further, "to").select("call_id", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("ended"))
+        chain = materialise(chain.filter("ended").unionByName(moved))
+        before, left = left, chain.filter("not ended").count()
+        if left == before:  # none of them leads to an end: all lead into cycles
+            break
+    done = waits.filter("n = 0").select("call_id", F.lit(0).cast("long").alias("level"))
+    several = waits.filter("n > 1").select("call_id")
+    if not several.isEmpty():
+        done = _after_several(edges.join(several, "call_id", "left_semi"), chain, done)
+    behind = chain.filter("ended").join(done.select(F.col("call_id").alias("to"), "level"), "to").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return nodes.join(done.unionByName(behind), "call_id", "left").select("call_id", F.coalesce("level", F.lit(-1)).alias("level"))
+
+
+def _after_several(edges: DataFrame, chain: DataFrame, done: DataFrame) -> DataFrame:
+    """done (call_id, level) with the calls of edges (all that each waits for) added, a level a pass; chains on the way are stepped over at once."""
+    ended = chain.filter("ended").select(F.col("call_id").alias("first"), "to", "steps")
+    edges = edges.join(ended, "first", "left").select("call_id", F.coalesce("to", "first").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    edges, last, passes = materialise(edges), done, 0
     while True:
-        level += 1
-        # what waits for the last level and for nothing that has no level yet
-        near = edges.join(last.select(F.col("call_id").alias("first")), "first", "left_semi").select("call_id").distinct()
-        open_ = edges.join(near, "call_id", "left_semi").join(done.select(F.col("call_id").alias("first")), "first", "left_anti").select("call_id")
-        new = near.join(open_, "call_id", "left_anti").select("call_id", F.lit(level).alias("level"))
-        last = materialise(new)
+        near = edges.join(last.select(F.col("call_id").alias("to")), "to", "left_semi").select("call_id").distinct()
+        known = edges.join(near, "call_id", "left_semi").join(done.select(F.col("call_id").alias("to"), "level"), "to", "left")
+        ready = known.groupBy("call_id").agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        last = materialise(ready.filter("open = 0").select("call_id", "level"))
         if last.isEmpty():
-            break
+            return done
+        passes += 1
         done = done.unionByName(last)
-    return nodes.join(done, "call_id", "left").select("call_id", F.coalesce("level", F.lit(-1)).alias("level"))
+        if passes % 8 == 0:  # keeps the plan short
+            done = materialise(done)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
@@ -83,18 +113,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
 def from_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain turns: a user's or system's turn calls for the next one; an assistant's turn answers the turn before it.
 
-    A call waits for the answer to the user's turn two before it, and for the instruction one before it if that is the system's.
+    A call waits for the turn before it if that calls too, else for the one two before it if that does (which the former waits for itself).
     """
     said = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     role = lower_ascii(F.col("role"))
     name_of = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     asked = said.filter(role.isin("user", "system"))
-    calls = asked.select(
-        name_of(F.col("turn")).alias("call_id"),
-        F.when(role == "system", "instruct").otherwise("reply").alias("name"),
-        F.map_from_arrays(F.array(F.lit("prompt"), F.lit("role")), F.array(F.col("text"), role)).alias("arguments"),
-        F.array(name_of(F.col("turn") - 1), name_of(F.col("turn") - 2)).alias("waits_for"),
-    )
+    name = F.when(role == "system", "instruct").otherwise("reply")
+    # repeated turns meet before anything is joined to them
+    calls = asked.groupBy(name_of(F.col("turn")).alias("call_id")).agg(F.min(F.struct(name.alias("name"), F.col("text").alias("prompt"), role.alias("role"))).alias("x"))
+    turns = asked.select("conv_id", "turn").distinct()
+    turns = turns.select(name_of(F.col("turn")).alias("call_id"), name_of(F.col("turn") - 1).alias("one"), name_of(F.col("turn") - 2).alias("two"))
+    waits = turns.join(turns.select(F.col("call_id").alias("one"), F.lit(True).alias("calls")), "one", "left")
+    waits = waits.select("call_id", F.array(F.when(F.col("calls"), F.col("one")).otherwise(F.col("two"))).alias("waits_for"))
+    arguments = F.map_from_arrays(F.array(F.lit("prompt"), F.lit("role")), F.array(F.col("x.prompt"), F.col("x.role")))
+    calls = calls.join(waits, "call_id").select("call_id", "x.name", arguments.alias("arguments"), "waits_for")
     answers = said.filter(role == "assistant").select(name_of(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, answers
 

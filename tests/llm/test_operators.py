@@ -123,6 +123,18 @@ def test_chat_order_and_cycles(spark):
     assert got["a"].line == '{"arguments":{"prompt":"p","role":"user"},"id":"a","name":"reply","result":"r"}'
 
 
+def test_chat_levels_equal_longest_paths(spark):
+    rng = np.random.default_rng(5)
+    waits = {f"c{k}": [f"c{k - 1}"] if k % 40 else [] for k in range(1, 120)} | {"c0": []}  # chains of forty
+    waits |= {f"m{k}": [f"m{j}" for j in rng.integers(0, k, rng.integers(0, 4))] + ([f"c{k}"] if k % 5 == 0 else []) for k in range(1, 60)} | {"m0": ["c119"]}
+    waits |= {"x": ["y", "m3"], "y": ["z"], "z": ["x"], "w": ["x"], "v": ["w", "c3"], "s": ["s"]}
+    level: dict = {}
+    for _ in waits:
+        level |= {k: 1 + max((level[f] for f in w), default=-1) for k, w in waits.items() if all(f in level for f in w)}
+    got = chat.levels(spark.createDataFrame(list(waits.items()), "call_id string, waits_for array<string>")).collect()
+    assert {r.call_id: r.level for r in got} == {k: level.get(k, -1) for k in waits}
+
+
 def test_mixing_meets_targets(spark):
     rows = [(k, ("scum " if k % 4 == 0 else "") + " ".join(f"v{(k * 7 + j) % 90}" for j in range(30))) for k in range(400)] + [(900, None)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
