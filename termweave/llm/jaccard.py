@@ -4,8 +4,8 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 is exact and returns classes of linked documents.
 
 Plan. (1) Documents with equal sets are one class from the start. (2) Shingles are counted over all classes;
-those in more than RARE of them are frequent. (3) All sets share one order, rare shingles before frequent
-ones. A set's prefix is extended until two sets that link must share, inside both prefixes, several rare
+those in more than RARE of them are frequent. (3) All sets share one order, rare shingles first, then
+frequent ones by how frequent they are. A set's prefix is extended until two sets that link must share, inside both prefixes, several rare
 shingles or a pair of frequent ones of one token class: with m_c frequent tokens of class c in the prefix and r rare ones, the
 guarantee needs max(0, r - (k - 1)) + sum of max(0, m_c - 1) >= size - ceil(0.8 size) + 1, where k grows
 with the size: then either k rare shingles are shared or a pair of frequent ones. The bound is
@@ -30,14 +30,14 @@ space and A-Z are lower-cased, nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, sized, small_batches, table
@@ -47,7 +47,7 @@ WORDS = 5
 SMALLEST = 4
 #: A shingle in more classes than this is frequent.
 RARE = 16
-#: Frequent shingles that are broadcast at most (8 bytes each).
+#: Frequent shingles that are broadcast at most (9 bytes each).
 HEAVY = 2_000_000
 #: Shingles, or postings, that a task packs at a time.
 PACK = 2_000_000
@@ -202,9 +202,13 @@ def needed(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def shared_rare(n: int) -> int:
-    """Rare tokens that a set of this size must share with another for a candidate, if no pair of frequent ones does."""
-    return max(1, min(4, n // 16))
+def shared_rare(n: int, rare: int) -> int:
+    """Rare tokens that a set of n must share with another for a candidate, if no pair of frequent ones does.
+
+    More than one only where the set has rare tokens to spare: each one asked for takes a rare token from what the
+    prefix covers, and a prefix of rare tokens alone posts no pairs.
+    """
+    return max(1, min(4, n // 16, rare - needed(n) + 1))
 
 
 @cache
@@ -216,9 +220,10 @@ def _size_steps(upto: int) -> np.ndarray:
     return np.array(out)
 
 
-def partners(n: int) -> Iterator[tuple[int, int, int, int]]:
-    """For each band of sizes that a set of n can link with: the two bands in order, the tokens by which the prefix must
-    exceed what the set may lack of any such partner, and the number of token classes for the two bands.
+def partners(n: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """For each band of sizes that a set of n can link with: the two bands in order, the set's side of them (0 if they are
+    one band, 1 for the lower, 2 for the upper), the tokens by which the prefix must exceed what the set may lack of any
+    such partner, and the number of token classes for the two bands.
 
     An overlap of ceil(4/9 (n + m)) is what a similarity of 0.8 takes for sizes n and m.
     """
@@ -228,13 +233,16 @@ def partners(n: int) -> Iterator[tuple[int, int, int, int]]:
     for other in range(at(-(-4 * n // 5)), at(5 * n // 4) + 1):
         least = max(int(steps[other]), -(-4 * n // 5))
         small, large = (int(steps[k]) for k in sorted((own, other)))
-        yield min(own, other), max(own, other), n + (-4 * (n + least) // 9) + 1, max(1, (large + (-4 * (small + large) // 9) + 1) // 2)
+        yield min(own, other), max(own, other), (own != other) + (own > other), n + (-4 * (n + least) // 9) + 1, max(1, (large + (-4 * (small + large) // 9) + 1) // 2)
 
 
 def combinations(heavy: np.ndarray, rare: int, n: int) -> np.ndarray:
-    """Signatures of pairs of frequent tokens, of one token class each, in the prefixes of a set of n with so many rare tokens."""
-    out, k = [], shared_rare(n)
-    for low, high, lack, cut in partners(n):
+    """Signatures of pairs of frequent tokens, of one token class each, in the prefixes of a set of n with so many rare tokens.
+
+    The two lowest bits hold the side: sets of one band meet on side 0, those of two bands on sides 1 and 2.
+    """
+    out, k = [], shared_rare(n, rare)
+    for low, high, side, lack, cut in partners(n):
         # a partner may ask for fewer shared rare tokens, which makes more candidates and loses none
         need = lack - max(0, rare - (k - 1))
         if need <= 0:
@@ -253,18 +261,25 @@ def combinations(heavy: np.ndarray, rare: int, n: int) -> np.ndarray:
             same = g[d:] == g[:-d]
             if not same.any():
                 break
-            out.append(_mix(t[:-d][same] * _PLACES[2] + t[d:][same] * _PLACES[3] + pair))
+            out.append(_mix(t[:-d][same] * _PLACES[2] + t[d:][same] * _PLACES[3] + pair) & ~np.uint64(3) | np.uint64(side))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def frequent_tokens(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in order, and how frequent each is, in quarters of an octave, from rows of token, n."""
+    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (4 * np.log2(rows["n"].to_numpy(float))).astype(np.uint8)[order]
+
+
+def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """Two kinds of rows: bucket, tokens, ids (packed postings of rare tokens), or id, n, pairs (signatures of a set with frequent tokens in its prefix)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
     names = ["bucket", "tokens", "ids", "least", "id", "n", "pairs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy_tokens, held, rows, size, n_pairs = shared.value, [], [], 0, 0
+        (heavy_tokens, how_frequent), held, rows, size, n_pairs = shared.value, [], [], 0, 0
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -283,15 +298,17 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 n = len(s)
                 if n < SMALLEST:
                     continue
-                lack, known = needed(n), np.zeros(n, bool)
+                lack, known, at = needed(n), np.zeros(n, bool), np.zeros(n, np.int64)
                 if len(heavy_tokens):
-                    known = heavy_tokens[np.minimum(np.searchsorted(heavy_tokens, s), len(heavy_tokens) - 1)] == s
-                k = shared_rare(n)
-                rare = s[~known][: lack + k - 1]
+                    at = np.minimum(np.searchsorted(heavy_tokens, s), len(heavy_tokens) - 1)
+                    known = heavy_tokens[at] == s
+                rare = s[~known]
+                k = shared_rare(n, len(rare))
+                rare = rare[: lack + k - 1]
                 if len(rare):
                     held.append((i, k, rare))
                     size += len(rare)
-                if len(rare) < lack + k - 1 and len(pairs := combinations(s[known], len(rare), n)):
+                if len(rare) < lack + k - 1 and len(pairs := combinations(s[known][np.argsort(how_frequent[at[known]], kind="stable")], len(rare), n)):
                     rows.append((None, None, None, None, i, n, pairs.view(np.int64)))
                     n_pairs += len(pairs)
             if size >= PACK:
@@ -382,11 +399,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _facing(value: Column, best: Callable[[Column], Column] = F.min) -> Column:
+    """Of a list's rows, the best value of each side: of side 0, of 1 and of 2."""
+    return F.struct(*[best(F.when(F.col("side") == k, value)).alias(f"s{k}") for k in range(3)])
+
+
+def _opposite(struct: str) -> Column:
+    """What _facing holds for a row's partners: side 0 meets itself, 1 and 2 each other."""
+    return F.when(F.col("side") == 0, F.col(f"{struct}.s0")).when(F.col("side") == 1, F.col(f"{struct}.s2")).otherwise(F.col(f"{struct}.s1"))
+
+
 def _unsettled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, id, n, component of the signatures whose ids lie in several components."""
-    own = rows.join(labels, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("component"))
-    several = own.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-    return own.join(several, "sig", "left_semi")
+    """sig, side, id, n, component of the lists in which partners lie in several components."""
+    own = rows.join(labels, "id", "left").select("sig", "side", "id", "n", F.coalesce("component", "id").alias("component"))
+    several = own.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.countDistinct("side").alias("sides"), F.max("side").alias("last"))
+    return own.join(several.filter("low < high and (last = 0 or sides = 2)").select("sig"), "sig", "left_semi")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -411,26 +438,26 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     rare = RARE
     while common.filter(F.col("n") > rare).limit(HEAVY + 1).count() > HEAVY:
         rare *= 2
-    frequent = np.sort(common.filter(F.col("n") > rare).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
-    posted = materialise(postings(unique, frequent, buckets))
-    rows = posted.filter("id is not null").select("id", "n", F.explode("pairs").alias("sig"))
-    pivots = rows.groupBy("sig").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p < q").select("sig", "p")
-    star = rows.join(pivots, "sig").filter(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b"))
-    tried = materialise(rare_pairs(posted).union(star).distinct())
+    frequent = common.filter(F.col("n") > rare).toPandas()
+    posted = materialise(postings(unique, frequent_tokens(frequent), buckets))
+    pairs = posted.filter("id is not null").select("id", "n", F.explode("pairs").alias("pair"))
+    rows = pairs.select("id", "n", F.expr("pair & ~3L").alias("sig"), F.expr("pair & 3L").alias("side"))
+    pivots = rows.groupBy("sig").agg(_facing(F.col("id")).alias("p"), F.min("id").alias("low"), F.max("id").alias("high"))
+    star = rows.join(pivots.filter("low < high and (p.s0 is not null or p.s1 is not null and p.s2 is not null)").select("sig", "p"), "sig").select(_opposite("p").alias("a"), F.col("id").alias("b"))
+    tried = materialise(rare_pairs(posted).union(_ordered(star.filter("a <> b"))).distinct())
     links = materialise(verified(read, tried))
     labels = components(links)
     for last in (False, True):
         left = materialise(_unsettled(rows, labels))
         if left.isEmpty():
             break
-        one = F.col("l.component") != F.col("r.component")
-        fit = 5 * F.least("l.n", "r.n") >= 4 * F.greatest("l.n", "r.n")
         if last:
-            more = left.alias("l").join(left.alias("r"), "sig").filter((F.col("l.id") < F.col("r.id")) & one & fit)
+            met = F.expr("l.side = 0 and r.side = 0 and l.id < r.id or l.side = 1 and r.side = 2")
+            more = left.alias("l").join(left.alias("r"), "sig").filter(met).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.struct("l.n", "l.component").alias("l"), F.struct("r.n", "r.component").alias("r"))
         else:
-            other = left.groupBy("sig").agg(F.min_by(F.struct("id", "n", "component"), F.xxhash64("sig", "id")).alias("x")).select("sig", "x.*")
-            more = left.alias("l").join(other.alias("r"), "sig").filter(one & fit)
-        more = _ordered(more.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")))
+            other = left.groupBy("sig").agg(_facing(F.struct("id", "n", "component"), lambda x: F.min_by(x, F.xxhash64("sig", "id"))).alias("x"))
+            more = left.join(other, "sig").select(F.col("id").alias("a"), _opposite("x").alias("r"), F.struct("n", "component").alias("l")).select("a", "r.id", "l", "r").withColumnRenamed("id", "b")
+        more = _ordered(more.filter((F.col("l.component") != F.col("r.component")) & (5 * F.least("l.n", "r.n") >= 4 * F.greatest("l.n", "r.n"))))
         more = materialise(more.join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
