@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import cooccur, expansion, graph, index, labeling, runs, search
+from ..streaming import stats
 
 PHRASE = ["of", "the"]
 TERMS = ["the", "for", "that"]
@@ -217,7 +218,12 @@ def numeric_stats(s, d):
     return _t(s, d, "lineitem").groupBy("l_returnflag").agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("stddev"), F.min(v).alias("least"), F.max(v).alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, entity_relevance, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_score, hash_collisions, anti_judged, numeric_stats)}
+def stream_stats(s, d):
+    t = stats.run_available(s, f"{d}/events.parquet*", "event_type", "value")
+    return t.select("event_type", "n", "least", "most", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "total")])
+
+
+QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, entity_relevance, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_score, hash_collisions, anti_judged, numeric_stats, stream_stats)}
 
 _IN = "('the', 'for', 'that')"
 _QL = f"{TOKS}, q(qid, term) as (values {', '.join(f'({q!r}, {t!r})' for q, ts in TWO.items() for t in ts)}), tf as (select doc_id, term, count(*) tf from tok where term in (select term from q) group by all), kn as (select q.*, cf from q join st using (term)), ca as (select distinct qid, doc_id from tf join kn using (term)), pr as (select ca.qid, ca.doc_id, cf, coalesce(tf.tf, 0) tf, len, c from ca join kn using (qid) left join tf on tf.doc_id = ca.doc_id and tf.term = kn.term join dl on dl.doc_id = ca.doc_id, coll)"
@@ -267,5 +273,6 @@ ORACLE_SQL = {
     "hash_collisions": f"{TOKS} select left(md5(term), 4) h, count(*) n from st group by h having n > 1",
     "anti_judged": "select doc_id from documents where doc_id not in (select doc_id from labels)",
     "numeric_stats": "select l_returnflag, count(l_quantity) n, round(avg(l_quantity), 6) mean, round(stddev_samp(l_quantity), 6) stddev, min(l_quantity) least, max(l_quantity) most from lineitem group by l_returnflag",
+    "stream_stats": "select event_type, count(value) n, min(value) least, max(value) most, round(avg(value), 4) mean, round(stddev_samp(value), 4) stddev, round(sum(value), 4) total from events group by event_type",
 }
 ORACLE_SQL = {k: v.replace("with recursive", "with") for k, v in ORACLE_SQL.items()}
