@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +66,14 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
     """One Parquet table for each; tokens and postings sorted by term, so that a term's lookup skips row groups."""
     for name, df in tables.items():
         (df.repartitionByRange("term").sortWithinPartitions("term") if "term" in df.columns else df).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written to the shared checkpoint folder if the session names one, else persisted."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df.persist()
+    path = f"{base.rstrip('/')}/termweave-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

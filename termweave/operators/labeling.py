@@ -1,4 +1,4 @@
-"""Token and document classifiers by label: perceptron training, and scoring as a join with sparse weights."""
+"""Token and document classifiers by label: perceptron training in shards, and scoring as a join with sparse weights."""
 
 from __future__ import annotations
 
@@ -6,32 +6,54 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .index import cut
 
-def train_perceptron(examples: DataFrame, passes: int = 10) -> DataFrame:
+#: Examples of a shard, about: what one Python worker holds at once.
+SHARD = 1000
+
+
+def train_perceptron(examples: DataFrame, passes: int = 10, shard: int = SHARD) -> DataFrame:
     """label_id, feature, weight from (label_id, item_id, positive, features: array<string>); the bias has feature null.
 
-    Updates are sequential, so each label's judged examples (people made them) are one group; labels run in parallel.
+    Examples go to shards by the hash of their ids, as many as it takes for about shard of them in each. In each
+    pass every shard updates the weights so far sequentially, in the order of ids, over its own examples; the
+    shards' weights are then averaged by a sum over features. A label of one shard is trained as in the sequential
+    algorithm. A shard is sent only the weights of its own features; training ends when no shard changed any.
     """
+    counts = examples.groupBy("label_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / shard)).alias("shards"))
+    rows = examples.select("label_id", "item_id", F.col("positive").cast("boolean").alias("positive"), F.array_compact("features").alias("features"))
+    rows = cut(rows.join(F.broadcast(counts), "label_id").withColumn("shard", F.pmod(F.xxhash64("item_id"), F.col("shards"))))
+    own = rows.select("label_id", "shard", F.explode("features").alias("feature")).distinct()
+    own = cut(own.unionByName(rows.select("label_id", "shard", F.lit(None).cast("string").alias("feature")).distinct()))
+    counts = cut(rows.select("label_id", "shards").distinct())
+
+    def train(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"label_id": [], "feature": [], "step": []})
+        rows = rows.sort_values(["item_id", "positive"], kind="stable")
+        weights = {(None if pd.isna(f) else f): w for f, w in zip(start["feature"], start["weight"], strict=True)}
+        steps: dict = {}
+        for positive, features in zip(rows["positive"], rows["features"], strict=True):
+            features = [None, *features]
+            if (sum(weights.get(f, 0.0) for f in features) > 0) != bool(positive):
+                step = 1.0 if positive else -1.0
+                for f in features:
+                    weights[f] = weights.get(f, 0.0) + step
+                    steps[f] = steps.get(f, 0.0) + step
+        # steps of 0 stay: they tell that something changed
+        return pd.DataFrame({"label_id": rows["label_id"].iloc[0], "feature": pd.Series(list(steps), dtype="object"), "step": list(steps.values())})
 
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("item_id")
-        weights: dict = {}
-        bias = 0.0
-        for _ in range(passes):
-            changed = False
-            for positive, features in zip(rows["positive"], rows["features"], strict=True):
-                guess = bias + sum(weights.get(f, 0.0) for f in features) > 0
-                if guess != bool(positive):
-                    step = 1.0 if positive else -1.0
-                    bias, changed = bias + step, True
-                    for f in features:
-                        weights[f] = weights.get(f, 0.0) + step
-            if not changed:
-                break
-        items = [*sorted((f, w) for f, w in weights.items() if w), (None, bias)]
-        return pd.DataFrame({"label_id": rows["label_id"].iloc[0], "feature": [f for f, _ in items], "weight": [w for _, w in items]})
-
-    return examples.groupBy("label_id").applyInPandas(train, "label_id long, feature string, weight double")
+    weights = counts.select("label_id", F.lit(None).cast("string").alias("feature"), F.lit(0.0).alias("weight"))
+    for _ in range(passes):
+        start = own.join(weights.withColumnsRenamed({"label_id": "l", "feature": "f"}), (F.col("label_id") == F.col("l")) & F.col("feature").eqNullSafe(F.col("f"))).select("label_id", "shard", "feature", "weight")
+        steps = rows.groupBy("label_id", "shard").cogroup(start.groupBy("label_id", "shard")).applyInPandas(train, "label_id long, feature string, step double")
+        # whole steps add up alike in any order
+        steps = cut(steps.groupBy("label_id", "feature").agg(F.sum("step").alias("step")))
+        if steps.isEmpty():
+            break
+        mean = steps.join(F.broadcast(counts), "label_id").select("label_id", "feature", (F.col("step") / F.col("shards")).alias("weight"))
+        weights = cut(weights.unionByName(mean).groupBy("label_id", "feature").agg(F.round(F.sum("weight"), 9).alias("weight")))
+    return weights.filter("weight <> 0 or feature is null")
 
 
 def strongest(weights: DataFrame, k: int) -> DataFrame:
@@ -44,3 +66,12 @@ def score(features: DataFrame, weights: DataFrame, after: int | None = None, k:
     features = features if after is None else features.filter(F.col("item_id") > after)
     dot = features.join(weights.filter(F.col("feature").isNotNull()), "feature").groupBy("item_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return dot.orderBy(F.desc("score"), "item_id").limit(k)
+
+
+def score_all(items: DataFrame, weights: DataFrame) -> DataFrame:
+    """item_id, score of every item (item_id, features: array<string>): the bias of (feature, weight) and the weights of its features."""
+    told = items.select("item_id", F.explode("features").alias("feature")).join(weights.filter(F.col("feature").isNotNull()), "feature")
+    # items without a known feature have their bias alone
+    parts = told.select("item_id", "weight").unionByName(items.select("item_id", F.lit(0.0).alias("weight")))
+    bias = weights.filter(F.col("feature").isNull()).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("bias"))
+    return parts.groupBy("item_id").agg(F.sum("weight").alias("dot")).join(F.broadcast(bias)).select("item_id", F.round(F.col("dot") + F.col("bias"), 6).alias("score"))

@@ -199,10 +199,17 @@ def pagerank_terms(s, d):
     return graph.pagerank(edges, steps=3, tolerance=0.0).select("node", F.round("score", 8).alias("score"))
 
 
+def _word_sets(s, d):
+    return _docs(s, d).select("doc_id", F.array_distinct(fn.tokens(F.col("text"))).alias("features"))
+
+
+def perceptron_train(s, d):
+    rows = _word_sets(s, d).join(_t(s, d, "labels"), "doc_id")
+    return labeling.train_perceptron(rows.select(F.lit(1).cast("long").alias("label_id"), F.col("doc_id").alias("item_id"), (F.col("toxic") == 1).alias("positive"), "features"), 3)
+
+
 def perceptron_score(s, d):
-    c = _docs(s, d).select("doc_id", F.array_distinct(fn.tokens(F.col("text"))).alias("w")).join(_t(s, d, "labels"), "doc_id")
-    rows = c.select(F.lit(1).cast("long").alias("label_id"), F.col("doc_id").alias("item_id"), (F.col("toxic") == 1).alias("positive"), F.slice("w", 1, 200).alias("features"))
-    return labeling.train_perceptron(rows, 3)
+    return labeling.score_all(_word_sets(s, d).withColumnRenamed("doc_id", "item_id"), perceptron_train(s, d)).withColumnRenamed("item_id", "doc_id")
 
 
 def hash_collisions(s, d):
@@ -223,7 +230,7 @@ def stream_stats(s, d):
     return t.select("event_type", "n", "least", "most", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "total")])
 
 
-QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, entity_relevance, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_score, hash_collisions, anti_judged, numeric_stats, stream_stats)}
+QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, entity_relevance, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_train, perceptron_score, hash_collisions, anti_judged, numeric_stats, stream_stats)}
 
 _IN = "('the', 'for', 'that')"
 _QL = f"{TOKS}, q(qid, term) as (values {', '.join(f'({q!r}, {t!r})' for q, ts in TWO.items() for t in ts)}), tf as (select doc_id, term, count(*) tf from tok where term in (select term from q) group by all), kn as (select q.*, cf from q join st using (term)), ca as (select distinct qid, doc_id from tf join kn using (term)), pr as (select ca.qid, ca.doc_id, cf, coalesce(tf.tf, 0) tf, len, c from ca join kn using (qid) left join tf on tf.doc_id = ca.doc_id and tf.term = kn.term join dl on dl.doc_id = ca.doc_id, coll)"
