@@ -36,16 +36,50 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_KEEP = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GPL_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_END = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+#: Whole licence and notice texts, and the grants that often stand alone, for runs of lines.
+TEXTS = [
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_END}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3} {_BSD_END}"),
+    ("GPL-2.0", _GPL.format(2)),
+    ("GPL-2.0", f"{_GPL.format(2)} {_GPL_END}"),
+    ("GPL-3.0", _GPL.format(3)),
+    ("GPL-3.0", f"{_GPL.format(3)} {_GPL_END}"),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_END}"),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} {_MIT_KEEP} {_WARRANTY}"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+
 
 def bigrams(text: Column) -> Column:
     """The set of word bigrams of a text."""
-    words = F.array_remove(F.split(lower_ascii(text), "[^a-z0-9]+"), "")
+    return F.get(F.transform(F.array(_words(text)), _pairs), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(lower_ascii(text), "[^a-z0-9]+"), "")
 
-    def pairs(w: Column) -> Column:
-        n = F.size(w)
-        return F.when(n <= 1, w).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
 
-    return F.get(F.transform(F.array(words), pairs), F.lit(0))
+def _pairs(w: Column) -> Column:
+    n = F.size(w)
+    return F.when(n <= 1, w).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
 def markers(known: list[tuple[str, list[str], int]], threshold: float) -> list[str]:
@@ -91,6 +125,65 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     return found.select(key, "line", F.col("best.licence").alias("licence"), F.round("best.dice", 6).alias("dice"))
 
 
+def scan_runs(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each run of lines that reaches the threshold: key, first and last line (from 0), licence, dice.
+
+    Units are all runs of consecutive lines that begin and end with a line that has a bigram of the template (bigrams
+    over a line's end are of both lines), so lines, paragraphs and whole texts too. Of the runs of a template
+    that begin at one line the best counts, and of those that share lines, of any
+    template, the best one: by dice times shared bigrams (so that a whole text comes before a sentence of it), fewer
+    lines, the licence's name, the first line.
+
+    Only documents that hold enough of a template's bigrams, anywhere, are cut into runs. A run
+    would be better without a line at its ends that has none of them; it grows only while its distinct bigrams are
+    within the template's size bounds.
+    """
+    spark = docs.sparkSession
+    names = sorted(set(templates or [*TEMPLATES.items(), *TEXTS]))
+    known = spark.createDataFrame(names, "licence string, notice string").select("licence", bigrams(F.col("notice")).alias("grams")).filter(F.size("grams") > 0).withColumn("size", F.size("grams"))
+    told = [(r.licence, r.grams, r["size"]) for r in known.collect()]
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    share = threshold / 2 * (1 + low)
+    t = F.coalesce(F.col(text), F.lit(""))
+    cut = docs.select(F.col(key).alias("__key"), t.alias("t"))
+    cut = cut.filter(F.col("t").rlike("(?i)" + "|".join(markers(told, threshold)))) if told else cut
+    # lines with words, their numbers, and all bigrams of the text
+    lines = F.filter(F.transform(F.split(F.col("t"), "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("w"))), lambda x: F.size(x["w"]) > 0)
+    cut = cut.select("__key", F.monotonically_increasing_id().alias("row"), lines.alias("l")).withColumn("all", F.get(F.transform(F.array(F.flatten(F.col("l.w"))), _pairs), F.lit(0)))
+    cut = cut.join(F.broadcast(known)).filter(F.size(F.array_intersect("all", "grams")) >= share * F.col("size") - 1e-9).drop("all")
+    own = F.transform(F.col("l.w"), lambda w: F.when(F.size(w) > 1, _pairs(w)).otherwise(F.array().cast("array<string>")))
+    # bigrams over a line's end count with both of its lines
+    ahead = F.transform(F.col("l.w"), lambda w, i: F.concat(w, F.coalesce(F.slice(F.get(F.col("l.w"), i + 1), 1, 1), F.array().cast("array<string>"))))
+    behind = F.transform(F.col("l.w"), lambda w, i: F.concat(F.when(i > 0, F.slice(F.get(F.col("l.w"), i - 1), -1, 1)).otherwise(F.array().cast("array<string>")), w))
+    touched = lambda c: F.transform(c, lambda w: F.arrays_overlap(_pairs(w), F.col("grams")))
+    cut = cut.select("*", own.alias("own"), touched(ahead).alias("opens"), touched(behind).alias("closes"))
+    cut = cut.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("opens", i))))
+    # lines from i on that keep within the bounds: a full state no longer grows
+    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+    def grow(a: Column, g: Column) -> Column:
+        both = F.when(a["full"], a["seen"]).otherwise(F.array_union(a["seen"], g))
+        return F.get(F.transform(F.array(both), lambda s: F.struct(s.alias("seen"), (a["n"] + F.when(a["full"] | (F.size(s) > F.col("size") * high), 0).otherwise(1)).alias("n"), (a["full"] | (F.size(s) > F.col("size") * high)).alias("full"))), F.lit(0))
+
+    cut = cut.withColumn("n_lines", F.aggregate(F.slice("own", F.col("i") + 1, F.size("own")), start, grow)["n"]).filter("n_lines > 0")
+    cut = cut.withColumn("j", F.explode(F.filter(F.sequence(F.col("i"), F.col("i") + F.col("n_lines") - 1), lambda j: F.get("closes", j))))
+    unit = F.flatten(F.slice(F.col("l.w"), F.col("i") + 1, F.col("j") - F.col("i") + 1))
+    cut = cut.withColumn("g", F.get(F.transform(F.array(unit), _pairs), F.lit(0)))
+    cut = cut.select("*", (2 * F.size(F.array_intersect("g", "grams")) / (F.size("g") + F.col("size"))).alias("dice")).filter(F.col("dice") >= threshold)
+    line = lambda c: F.get(F.col("l.line"), F.col(c))
+    # orders by its fields, the least first; in whole units, so that ties are ties
+    order = F.struct((-F.round(F.col("dice") * F.size(F.array_intersect("g", "grams")) * 1e6).cast("long")).alias("worse"), (line("j") - line("i")).alias("more"), F.col("licence"), line("i").alias("first_line"), line("j").alias("last_line"), F.col("dice"))
+    best = cut.groupBy("row", "grams", "i").agg(F.first("__key").alias("__key"), F.min(order).alias("o"))
+    runs = best.groupBy("row").agg(F.first("__key").alias(key), F.array_distinct(F.collect_list("o")).alias("o"))
+    alone = F.filter("o", lambda x: ~F.exists("o", lambda y: (y < x) & (y["first_line"] <= x["last_line"]) & (x["first_line"] <= y["last_line"])))
+    found = runs.select(key, F.explode(alone).alias("o"))
+    return found.select(key, "o.first_line", "o.last_line", "o.licence", F.round("o.dice", 6).alias("dice"))
+
+
+def op10_licence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_runs(table(spark, sf_dir, "documents"))
+
+
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 

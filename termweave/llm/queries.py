@@ -13,5 +13,6 @@ QUERIES = {
     "op8_permutation_index": ann.op8_permutation_index,
     "op9_pii": pii.op9_pii,
     "op10_licences": licences.op10_licences,
+    "op10_licence_texts": licences.op10_licence_texts,
 }
 ORACLE_SQL = {"op3_chat": chat.ORACLE_SQL, "op6_line_dedup": linededup.ORACLE_SQL, "op7_host_quality": quality.ORACLE_SQL, "op10_licences": licences.ORACLE_SQL}
