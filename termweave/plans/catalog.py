@@ -145,6 +145,26 @@ def dictionary_tag(s, d):
     return search.dictionary_hits(_toks(s, d), _dictionary(s, d)).select("phrase_id", "doc_id", F.col("start").cast("long").alias("start"))
 
 
+def _all_ngrams(s, d):
+    """Every distinct run of five words of the benchmark items as a phrase; its id is the run."""
+    t = F.col("t")
+    w = F.transform(F.sequence(F.lit(1), F.size(t) - 4), lambda i: F.slice(t, i, 5))
+    items = _t(s, d, "benchmark").select(fn.tokens(F.col("text")).alias("t")).filter(F.size("t") >= 5)
+    return items.select(F.explode(w).alias("terms")).distinct().select(F.array_join("terms", " ").alias("phrase_id"), "terms")
+
+
+def _ngram_hits(s, d):
+    """doc_id, start, phrase_id of every five words of a text that are such a phrase: an equi-join on the whole run."""
+    t = F.col("t")
+    runs5 = F.transform(F.sequence(F.lit(0), F.size(t) - 5), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(t, i + 1, 5), " ").alias("phrase_id")))
+    places = _docs(s, d).select("doc_id", fn.tokens(F.col("text")).alias("t")).filter(F.size("t") >= 5).select("doc_id", F.inline(runs5))
+    return places.join(_all_ngrams(s, d).select("phrase_id"), "phrase_id")
+
+
+def dictionary_tag_whole(s, d):
+    return _ngram_hits(s, d).select(F.col("phrase_id").alias("phrase"), "doc_id", F.col("start").cast("long").alias("start"))
+
+
 def entity_relevance(s, d):
     hits = search.dictionary_hits(_toks(s, d), _dictionary(s, d))
     docs = index.doc_stats(_docs(s, d))
@@ -230,7 +250,7 @@ def stream_stats(s, d):
     return t.select("event_type", "n", "least", "most", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "total")])
 
 
-QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, entity_relevance, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_train, perceptron_score, hash_collisions, anti_judged, numeric_stats, stream_stats)}
+QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, dictionary_tag_whole, entity_relevance, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_train, perceptron_score, hash_collisions, anti_judged, numeric_stats, stream_stats)}
 
 _IN = "('the', 'for', 'that')"
 _QL = f"{TOKS}, q(qid, term) as (values {', '.join(f'({q!r}, {t!r})' for q, ts in TWO.items() for t in ts)}), tf as (select doc_id, term, count(*) tf from tok where term in (select term from q) group by all), kn as (select q.*, cf from q join st using (term)), ca as (select distinct qid, doc_id from tf join kn using (term)), pr as (select ca.qid, ca.doc_id, cf, coalesce(tf.tf, 0) tf, len, c from ca join kn using (qid) left join tf on tf.doc_id = ca.doc_id and tf.term = kn.term join dl on dl.doc_id = ca.doc_id, coll)"
@@ -246,6 +266,7 @@ _BOTH = f"{_QL}, {_ranked('a', _DIR)}, {_ranked('b', _JM)}"
 _POST = f"{_QL}, {_ranked('a', _DIR)}, po as (select *, exp(score - max(score) over (partition by qid)) e from a), pp as (select qid, doc_id, score, e / sum(e) over (partition by qid) posterior from po)"
 _STOP = "(" + ", ".join(map(repr, fn.STOPWORDS)) + ")"
 _TAG = f"{TOKS}, di as (select item_id phrase_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:5] t from benchmark), dp as (select phrase_id, unnest(t) term, unnest(range(5)) o from di where len(t) = 5), tag as (select phrase_id, doc_id, pos - o as start from tok join dp using (term) group by all having count(*) = 5)"
+_TAG5 = f"{TOKS}, bw as (select regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') w from benchmark), g5 as (select distinct array_to_string(w[i:i + 4], ' ') phrase from (select w, unnest(range(1, len(w) - 3)) i from bw)), tag5 as (select phrase, doc_id, i - 1 as start from (select doc_id, i, array_to_string(w[i:i + 4], ' ') phrase from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d)) join g5 using (phrase))"
 
 ORACLE_SQL = {
     "tokens_stats": f"{TOKS} select (select count(*) from documents) n_docs, (select c from coll) coll_len, (select count(*) from st) n_terms",
@@ -268,6 +289,7 @@ ORACLE_SQL = {
     "rm1_terms": f"{_POST}, rw as (select qid, term, round(sum(posterior * tf2 / len) / (select count(*) from pp x where x.qid = y.qid), 9) weight from (select pp.qid, pp.doc_id, posterior, term, count(*) tf2, any_value(len) len from pp join tok using (doc_id) join dl using (doc_id) where term not in {_STOP} group by all) y group by qid, term) select qid, term, weight from rw qualify row_number() over (partition by qid order by weight desc, term) <= 30",
     "lce_terms": f"{_POST}, top as (select * from pp where qid = 'q1'), t2 as (select doc_id, term, count(*) tf from tok where doc_id in (select doc_id from top) and term not in {_STOP} group by all), tt as (select term from t2 group by term having sum(tf) > 1) select term, round(sum(score + ln((coalesce(t2.tf, 0) + 1000.0 * cf / c) / (len + 1000.0)) - ln(cf / c)), 6) score from tt join st using (term) cross join top join dl on dl.doc_id = top.doc_id left join t2 on t2.term = tt.term and t2.doc_id = top.doc_id cross join coll group by term order by score desc, term limit 30",
     "dictionary_tag": f"{_TAG} select phrase_id, doc_id, start from tag",
+    "dictionary_tag_whole": f"{_TAG5} select phrase, doc_id, start from tag5",
     "entity_relevance": f"{_TAG}, ec as (select phrase_id, doc_id, count(*) n from tag group by all), ef as (select phrase_id, sum(n) cf from ec group by phrase_id) select phrase_id, round(sum(1 / (1 + len) * n / len), 6) rm, round(sum(1 / (1 + len) * n / len / (cf / c)), 6) drm, round(sum(ln(1 / (1 + len)) + ln(n / len) - ln(cf / c)), 6) gdrm, round(sum(ln(n / len) - ln(cf / c)), 6) gnb from ec join ef using (phrase_id) join dl using (doc_id), coll group by phrase_id",
     "mention_entity_prior": "select source, lang, count(*) n, round(ln(count(*) / sum(count(*)) over (partition by source)), 6) log_prior from documents group by source, lang",
     "covariates": "select lang x, source y, count(*) n from documents group by all",

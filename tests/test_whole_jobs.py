@@ -50,3 +50,13 @@ def test_perceptron_query_reads_whole_texts_and_scores_all(spark, tmp_path):
     words = {r.doc_id: r.w for r in docs.select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("w")).collect()}
     got = {r.doc_id: r.score for r in catalog.perceptron_score(spark, d).collect()}
     assert got == {i: round(weights[None] + sum(weights.get(f, 0.0) for f in w), 6) for i, w in words.items()}
+
+
+def test_dictionary_holds_every_run_of_five_words(spark, tmp_path):
+    items = ["a b c d e f g", "f g a b c d e", "too short", None]
+    texts = ["x c d e f g y a b c d e", "g a b c d e f g", "a b c d", "", None]
+    d = tables(tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark=spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    runs5 = lambda t: [(" ".join(w[i : i + 5]), i) for w in [(t or "").split()] for i in range(len(w) - 4)]
+    known = {g for t in items for g, _ in runs5(t)}
+    want = sorted((g, k, i) for k, t in enumerate(texts) for g, i in runs5(t) if g in known)
+    assert sorted(map(tuple, catalog.dictionary_tag_whole(spark, d).collect())) == want and len(want) == 6
