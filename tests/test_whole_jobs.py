@@ -60,3 +60,18 @@ def test_dictionary_holds_every_run_of_five_words(spark, tmp_path):
     known = {g for t in items for g, _ in runs5(t)}
     want = sorted((g, k, i) for k, t in enumerate(texts) for g, i in runs5(t) if g in known)
     assert sorted(map(tuple, catalog.dictionary_tag_whole(spark, d).collect())) == want and len(want) == 6
+
+
+def test_pagerank_runs_over_all_bigrams_until_it_settles(spark, tmp_path):
+    texts = ["a b c a d e f", "c b a", "g a b a", None]
+    d = tables(tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    edges = {(a, b) for t in texts for w in [(t or "").split()] for a, b in zip(w[:-1], w[1:], strict=True)}
+    nodes = sorted({x for e in edges for x in e})
+    out = {x: [b for a, b in edges if a == x] for x in nodes}
+    cur, change = dict.fromkeys(nodes, 1 / len(nodes)), 1.0
+    while change >= 1e-3:
+        lost = sum(cur[x] for x in nodes if not out[x])
+        new = {y: 0.15 / len(nodes) + 0.85 * (sum(cur[x] / len(out[x]) for x in nodes if y in out[x]) + lost / len(nodes)) for y in nodes}
+        cur, change = new, sum(abs(new[x] - cur[x]) for x in nodes)
+    got = {r.node: r.score for r in catalog.pagerank_terms(spark, d).collect()}
+    assert got.keys() == cur.keys() and all(abs(got[x] - cur[x]) < 1e-7 for x in nodes)
