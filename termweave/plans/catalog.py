@@ -172,6 +172,18 @@ def entity_relevance(s, d):
     return expansion.entity_scores(top, hits, docs, index.collection_stats(_docs(s, d)))
 
 
+def entity_relevance_ranked(s, d):
+    """Scores of the whole dictionary's phrases over the ranked documents of a query, by their softmax posteriors; all three queries' terms are one query."""
+    docs = index.doc_stats(_docs(s, d))
+    ranked = search.query_likelihood(_toks(s, d), docs, {"all": [t for ts in TWO.values() for t in ts]}, "dirichlet", None)
+    # every candidate is ranked, so the softmax is made of aggregates and not in the one partition of a window
+    ranked = index.cut(ranked.select("doc_id", "score"))
+    best = ranked.agg(F.max("score").alias("best"))
+    e = ranked.join(F.broadcast(best)).select("doc_id", F.exp(F.col("score") - F.col("best")).alias("e"))
+    top = e.join(F.broadcast(e.agg(F.sum("e").alias("total")))).select("doc_id", (F.col("e") / F.col("total")).alias("posterior"))
+    return expansion.entity_scores(top, _ngram_hits(s, d), docs, index.collection_stats(_docs(s, d)))
+
+
 def mention_entity_prior(s, d):
     n = _docs(s, d).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     total = n.groupBy("source").agg(F.sum("n").alias("total"))
@@ -250,7 +262,7 @@ def stream_stats(s, d):
     return t.select("event_type", "n", "least", "most", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "total")])
 
 
-QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, dictionary_tag_whole, entity_relevance, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_train, perceptron_score, hash_collisions, anti_judged, numeric_stats, stream_stats)}
+QUERIES = {f.__name__: f for f in (tokens_stats, term_stats_top, doc_lengths, postings_positions, match_and, match_or, phrase_locate, phrase_count_multi, passage_windows, bow_relaxed, bigrams_top, ubigrams_top, slices_merged, nearby_terms, pmi_terms, ql_dirichlet, ql_jm, sdm, posteriors_softmax, rm1_terms, lce_terms, dictionary_tag, dictionary_tag_whole, entity_relevance, entity_relevance_ranked, mention_entity_prior, covariates, sentence_search, majority_vote, qpp_overlap, pooling, run_metrics, zscore_features, pagerank_terms, perceptron_train, perceptron_score, hash_collisions, anti_judged, numeric_stats, stream_stats)}
 
 _IN = "('the', 'for', 'that')"
 _QL = f"{TOKS}, q(qid, term) as (values {', '.join(f'({q!r}, {t!r})' for q, ts in TWO.items() for t in ts)}), tf as (select doc_id, term, count(*) tf from tok where term in (select term from q) group by all), kn as (select q.*, cf from q join st using (term)), ca as (select distinct qid, doc_id from tf join kn using (term)), pr as (select ca.qid, ca.doc_id, cf, coalesce(tf.tf, 0) tf, len, c from ca join kn using (qid) left join tf on tf.doc_id = ca.doc_id and tf.term = kn.term join dl on dl.doc_id = ca.doc_id, coll)"

@@ -1,9 +1,11 @@
 """Queries do the whole job: no prefix, subset or fixed number of steps."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from termweave.functions import text
-from termweave.operators import labeling
+from termweave.operators import expansion, labeling
 from termweave.plans import catalog
 
 
@@ -75,3 +77,23 @@ def test_pagerank_runs_over_all_bigrams_until_it_settles(spark, tmp_path):
         cur, change = new, sum(abs(new[x] - cur[x]) for x in nodes)
     got = {r.node: r.score for r in catalog.pagerank_terms(spark, d).collect()}
     assert got.keys() == cur.keys() and all(abs(got[x] - cur[x]) < 1e-7 for x in nodes)
+
+
+def test_entity_scores_take_posteriors_of_a_ranking_without_a_broadcast(spark, tmp_path):
+    texts = ["a b c d e thing with", "thing a b c d e a b c d e", "a b c d e", "der und"]
+    d = tables(tmp_path, documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), benchmark=spark.createDataFrame([(1, "a b c d e")], "item_id long, text string"))
+    words = [t.split() for t in texts]
+    query = [t for ts in catalog.TWO.values() for t in ts if any(t in w for w in words)]
+    total, cf = sum(map(len, words)), {t: sum(w.count(t) for w in words) for t in query}
+    scores = {k: round(sum(math.log(w.count(t) + 1500 * cf[t] / total) - math.log(len(w) + 1500) for t in query) / len(query), 6) for k, w in enumerate(words) if set(w) & set(query)}
+    e = {k: math.exp(s - max(scores.values())) for k, s in scores.items()}
+    p = {k: x / sum(e.values()) for k, x in e.items()}
+    rate = {0: 1 / 7, 1: 2 / 11}  # document 2 has the phrase but isn't ranked
+    got = catalog.entity_relevance_ranked(spark, d).collect()
+    assert len(got) == 1 and abs(got[0].rm - sum(p[k] * r for k, r in rate.items())) < 2e-6
+    top = spark.createDataFrame([(0, 1.0)], "doc_id long, posterior double")
+    hits = spark.createDataFrame([(1, 0)], "phrase_id int, doc_id long")
+    docs = spark.createDataFrame([(0, 7)], "doc_id long, len long")
+    coll = spark.createDataFrame([(7,)], "coll_len long")
+    plan = expansion.entity_scores(top, hits, docs, coll)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("strategy=broadcast") == 1  # the collection's one row
