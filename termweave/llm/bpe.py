@@ -3,7 +3,8 @@
 Two tiers. A minimal perfect hash (hash and displace) resolves whole pre-tokens that are in the
 vocabulary. A pre-token that is not there is merged from its bytes: the bytes form a doubly linked
 list and a heap gives the adjacent pair of the lowest rank, leftmost first; ranks come from the same
-perfect hash. Each Python worker remembers what recent pre-tokens came to, up to a fixed number.
+perfect hash. A task remembers what recent pre-tokens came to, up to a fixed number of bytes, and
+forgets it at its end, so that reused Python workers keep nothing for the stages that follow.
 
 The driver reads the vocabulary file (its size is checked) and broadcasts the hash; the work is one
 map over the documents without any shuffle.
@@ -30,8 +31,8 @@ from .common import small_batches, table
 
 #: A vocabulary file beyond this size is refused rather than broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens and byte pairs that a worker remembers.
-MEMO = 1_000_000
+#: Pre-tokens, or byte pairs, of one generation that a task remembers; two generations are kept. And the longest one kept, in bytes.
+MEMO, LONGEST = 150_000, 64
 #: Characters after which a long text is split at the next safe place.
 PIECE = 1 << 18
 #: Bytes of results after which a batch is handed over.
@@ -83,25 +84,45 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
-class Ranks(dict):
-    """Ranks of neighbours' bytes taken together, NONE if they are no entry; holds those asked for of late."""
+class Recent(dict):
+    """What keys came to: the keys of late in the mapping itself, those of the generation before in older.
+
+    A key that is asked for again moves to the young generation, so frequent keys outlive rare ones.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def value_of(self, key: str | bytes) -> int | bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str | bytes) -> int | bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.value_of(key)
+        if len(key) <= LONGEST:
+            if len(self) >= MEMO:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Ranks(Recent):
+    """Ranks of neighbours' bytes taken together, NONE if they are no entry."""
 
     def __init__(self, vocabulary: PerfectHash):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, pair: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
+    def value_of(self, pair: bytes) -> int:
         rank = self.vocabulary.get(pair)
-        rank = NONE if rank is None else rank
-        if len(pair) <= 256:
-            self[pair] = rank
-        return rank
+        return NONE if rank is None else rank
 
 
-class Codec(dict):
-    """Encodes and decodes; as a mapping it holds the packed ids of the pre-tokens seen of late."""
+class Codec(Recent):
+    """Encodes and decodes; as a mapping it holds the packed ids of pre-tokens."""
 
     def __init__(self, vocabulary: PerfectHash, pattern: str):
         super().__init__()
@@ -109,15 +130,10 @@ class Codec(dict):
         self.packed = {v: v.to_bytes(4, "little") for v in vocabulary.values}
         self.bytes_of = dict(zip(vocabulary.values, vocabulary.keys, strict=True))
 
-    def __missing__(self, token: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
+    def value_of(self, token: str) -> bytes:
         raw = token.encode("utf-8", "replace")
         whole = self.vocabulary.get(raw)
-        ids = self.packed[whole] if whole is not None else self.merged(raw)
-        if len(raw) <= 256:
-            self[token] = ids
-        return ids
+        return self.packed[whole] if whole is not None else self.merged(raw)
 
     def merged(self, raw: bytes) -> bytes:
         """Ids of a pre-token that isn't in the vocabulary: a heap over linked bytes."""
@@ -184,28 +200,6 @@ def load(spark: SparkSession, vocabulary_path: str) -> PerfectHash:
     return PerfectHash({base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())})
 
 
-_codecs: dict[tuple[int, str], Codec] = {}
-
-
-def _codec(shared, pattern: str) -> Codec:
-    """One codec for each worker and vocabulary; a worker serves many tasks."""
-    if (key := (shared.id if hasattr(shared, "id") else shared._jbroadcast_id, pattern)) not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value, pattern)
-    return _codecs[key]
-
-
-class _Shared:
-    """A broadcast with a name by which workers keep what they build from it."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, id(broadcast)
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: key, n_tokens, ids (packed, little-endian unsigned 32-bit), decoded (the bytes they stand for).
 
@@ -213,12 +207,12 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = _Shared(spark.sparkContext.broadcast(load(spark, vocabulary_path)))
+    shared = spark.sparkContext.broadcast(load(spark, vocabulary_path))
     chosen = docs.select(F.col(key), F.col(text))
     schema = T.StructType([chosen.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = Codec(shared.value, pattern)
         for batch in batches:
             start, held, ids, back = 0, 0, [], []
             for at in range(batch.num_rows):
@@ -236,12 +230,12 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_
 def decode(encoded: DataFrame, vocabulary_path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and decoded (bytes) for each row of packed ids; null ids decode to no bytes. An id outside the vocabulary is an error."""
     spark = encoded.sparkSession
-    shared = _Shared(spark.sparkContext.broadcast(load(spark, vocabulary_path)))
+    shared = spark.sparkContext.broadcast(load(spark, vocabulary_path))
     chosen = encoded.select(F.col(key), F.col(ids))
     schema = T.StructType([chosen.schema[0], T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
+        codec = Codec(shared.value, pattern)
         for batch in batches:
             yield pa.record_batch([batch[0], pa.array([codec.decode(x.as_py() or b"") for x in batch[1]], pa.binary())], names=schema.names)
 
