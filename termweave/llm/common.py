@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,26 +24,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own only if the session names none (tests)."""
+    """The folder that driver and executors share. One of our own only if the session names none and all its tasks run in the driver's process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-termweave-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Where written tables lie, and for each thread those that wait to be removed by settled().
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scope = threading.local()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/termweave-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    if getattr(_scope, "open", None):
+        _scope.open[-1].append(path)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, written as a table; the tables that were written on the way are removed."""
+    _scope.open = getattr(_scope, "open", None) or []
+    _scope.open.append([])
+    try:
+        out = make()
+        spark = out.sparkSession
+        out = materialise(out)
+    finally:
+        paths = _scope.open.pop()
+    kept = _places[out]
+    for path in paths:
+        if path != kept:
+            _remove(spark, path)
+    if _scope.open:
+        _scope.open[-1].append(kept)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that materialise() or settled() wrote, once nothing reads it any more; other frames stay as they are."""
+    if path := _places.pop(df, None):
+        _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python workers get at most this many texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
+    """Python workers get at most this many texts at a time, unless the session asks for another number than Spark's own.
+
+    The setting counts when a plan is run and not when it is made, so it stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, TEXT_BATCH)
 
 
 def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

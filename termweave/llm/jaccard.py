@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, sized, small_batches, table
+from .common import materialise, settled, sized, small_batches, table
 
 WORDS = 5
 #: Sets of fewer shingles than this link with no other set: 3 of 4 is less than 0.8.
@@ -50,9 +50,11 @@ RARE = 16
 #: Frequent shingles that are broadcast at most (9 bytes each).
 HEAVY = 2_000_000
 #: Shingles, or postings, that a task packs at a time.
-PACK = 2_000_000
+PACK = 1_000_000
+#: Shingles, repeated ones too, that one bucket of the counts gets, about; the number of buckets follows from it.
+BUCKET = 1_000_000
 #: Bytes of text hashed at a time.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[32, 9, 10, 11, 12, 13]] = True
@@ -429,11 +431,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     if not first.groupBy("id").count().filter("count > 1").isEmpty():
         read = read.groupBy("id").agg(F.min("text").alias("text"))
         first = materialise(classes(read))
-    least = first.filter("n > 0").groupBy("fp").agg(F.min("id").alias("class"))
-    members = materialise(first.join(least, "fp", "left").select("id", "n", F.coalesce("class", "id").alias("class")))
+    # only sets that several rows have need a class; the rows of one set never meet but in partial counts
+    shared = materialise(first.filter("n > 0").groupBy("fp").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("fp", "class"))
+    members = materialise(first.join(sized(shared), "fp", "left").select("id", "n", F.coalesce("class", "id").alias("class")))
     copies = materialise(members.filter((F.col("id") != F.col("class")) | (F.col("n") < SMALLEST)).select("id"))
     unique = read.join(sized(copies), "id", "left_anti").select("id", "text")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = members.filter(F.col("id") == F.col("class")).agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET + 1)
     common = materialise(counts(unique, RARE, buckets))
     rare = RARE
     while common.filter(F.col("n") > rare).limit(HEAVY + 1).count() > HEAVY:
@@ -469,15 +473,19 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id for each row of docs."""
-    members, _, labels = link(docs, key, text)
-    known = members.join(labels.withColumnRenamed("id", "class"), "class", "left").select("id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
+    known = settled(lambda: _known(docs, key, text))
     ids = docs.select(F.col(key).alias(key))
     return ids.join(known, ids[key] == known["id"], "left").select(key, F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "component_id")
 
 
+def _known(docs: DataFrame, key: str, text: str) -> DataFrame:
+    members, _, labels = link(docs, key, text)
+    return members.join(sized(labels.withColumnRenamed("id", "class")), "class", "left").select("id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that have the least key of their component, all columns; rows without a key stay."""
-    gone = materialise(join(docs.filter(F.col(key).isNotNull()), key, text).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct())
+    gone = settled(lambda: join(docs.filter(F.col(key).isNotNull()), key, text).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct())
     row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
     return docs.select(row, F.col(key).alias("__key")).join(sized(gone), F.col("__key") == F.col("__gone"), "left_anti").select("__row.*")
 
