@@ -6,8 +6,8 @@ empirical beta prior fitted to the hosts' rates by moments, and hosts above a li
 documents.
 
 Measures stay inside one row, so no text is shuffled: repeated words come from the hashes of the 8-word
-windows of a document, of which only the repeated ones are sorted. The measures are written once to the
-shared folder, since the host totals and the verdicts both read them. Host totals are pre-aggregated,
+windows of a document, of which only the repeated ones are sorted. Each text is measured once: what comes of
+it is written to the shared folder, since the host totals and the verdicts both read it. Host totals are pre-aggregated,
 so a host with a third of all rows costs one row for each task.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; repeated
@@ -117,12 +117,15 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str =
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Texts aren't shuffled: only the hosts' verdicts are joined."""
-    hosts = materialise(host_totals(measures(docs, text, [F.col(host).alias("host")])))
-    good = host_verdicts(hosts, "host", max_rate).filter("host_ok").select(F.col("host").alias("__host"))
+    """The rows of docs that judge() keeps, with all their columns. Texts aren't shuffled: only the hosts' verdicts are joined.
+
+    The rows that pass the base rules are written once with their host; of the others the host alone.
+    """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
-    measured = measures(docs, text, [row, F.col(host).alias("__of")]).filter(~F.col("base_failed"))
-    return measured.join(sized(good), F.col("__of").eqNullSafe(F.col("__host")), "left_semi").select("__row.*")
+    measured = measures(docs, text, [row, F.col(host).alias("__of")])
+    measured = materialise(measured.select("__of", "base_failed", F.when(~F.col("base_failed"), F.col("__row")).alias("__row")))
+    good = materialise(host_verdicts(host_totals(measured, "__of"), "__of", max_rate).filter("host_ok").select(F.col("__of").alias("__host")))
+    return measured.filter(~F.col("base_failed")).join(sized(good), F.col("__of").eqNullSafe(F.col("__host")), "left_semi").select("__row.*")
 
 
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
