@@ -4,7 +4,8 @@ Each vector is represented by its NEAREST pivots in order of nearness. The index
 shard posts its vectors in pivot inverted files (for each pivot: vectors and the rank it has for them).
 Queries visit every shard in blocks: footrule distances over the query's pivots are summed from the posted
 ranks, the best part of the shard by footrule is reranked by exact inner products, and the shard's best
-are merged over shards with a top-k.
+are merged over shards with a top-k. Cuts keep ties: vectors as far by footrule as the last one reranked are
+reranked too, and of equal scores the smaller ids win, however many vectors share a score.
 
 Vectors that are equal are indexed once, with as many of their smallest ids as any answer can need, so a
 vector that a third of all rows share costs one entry. Shards and blocks have a bounded size each, set by
@@ -13,15 +14,16 @@ hash; the number of (shard, block) tasks grows with the data.
 Pivots are a bounded sample: the PIVOTS distinct vectors with the smallest hashes. Every row is indexed.
 Recall against brute force is measured in the tests (0.9 at least).
 
-Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part,
-nor do those whose length isn't the most frequent one (the smaller of equals); null ids take no part; of
-rows that share an id the least vector counts; ties in score go to the smaller id; a query with fewer
-than k candidates gets all of them.
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part;
+vectors of several lengths are several tables, as no inner product joins them (over WIDTHS lengths are an
+error); null ids take no part; of rows that share an id the least vector counts; ties in score go to the
+smaller id; a query with fewer than k candidates gets all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +38,8 @@ from .common import materialise, table
 PIVOTS, NEAREST, PART, LEAST = 512, 48, 0.35, 400
 #: Vectors in a shard and queries in a block, about.
 SHARD, BLOCK = 6_000, 1_000
+#: Lengths of vectors that one table may have.
+WIDTHS = 16
 
 
 def _usable(vector: Column) -> Column:
@@ -96,12 +100,30 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vecto
     read = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
     read = read.filter(F.col("id").isNotNull()).filter(_usable(F.col("vector")))
     read = materialise(read.groupBy("id").agg(F.min(F.struct("vector", "query")).alias("x")).select("id", F.transform("x.vector", lambda x: x + 0.0).alias("vector"), "x.query"))
-    schema = "query_id long, rank int, vec_id long, score double"
-    common = read.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if common is None:
-        return spark.createDataFrame([], schema)
-    width = common.width
-    read = read.filter(F.size("vector") == width).withColumn("hash", F.md5(F.array_join(F.transform("vector", lambda x: F.hex(x.cast("string").cast("binary"))), ",")))
+    widths = [r.width for r in read.select(F.size("vector").alias("width")).distinct().orderBy("width").limit(WIDTHS + 1).collect()]
+    if len(widths) > WIDTHS:
+        raise ValueError(f"vectors of over {WIDTHS} lengths")
+    found = [_search(read.filter(F.size("vector") == width), k) for width in widths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def nearest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best by score and then by id, best first; of any number of equal scores too."""
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        at = np.arange(len(scores))
+    return at[np.lexsort((ids[at], -scores[at]))][:k]
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products by one sum for each row, which comes out alike wherever a vector stands."""
+    return (vectors * query).sum(axis=1)
+
+
+def _search(read: DataFrame, k: int) -> DataFrame:
+    """search() over id, vector (all of one length), query."""
+    read = read.withColumn("hash", F.md5(F.array_join(F.transform("vector", lambda x: F.hex(x.cast("string").cast("binary"))), ",")))
     # of equal vectors the k + 1 smallest ids: one may be the query's own
     order = Window.partitionBy("hash").orderBy("id")
     members = read.select("hash", "id", "vector").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
@@ -123,27 +145,26 @@ def search(rows: DataFrame, is_query: Column, k: int, key: str = "vec_id", vecto
         index = index.sort_values("hash", ignore_index=True)
         vectors, ids = np.stack(index["vector"].to_list()), index["ids"].to_list()
         files = InvertedFiles(np.stack(index["perm"].to_list()), n_pivots)
+        first = np.array([x[0] for x in ids])
         part = min(len(index), max(LEAST, int(PART * len(index))))
         out: tuple[list, list, list] = ([], [], [])
         for h, q, perm in zip(queries["hash"], queries["vector"], queries["perm"], strict=True):
             far = files.footrule(perm)
-            near = np.argpartition(far, part - 1)[:part] if part < len(far) else np.arange(len(far))
-            score = vectors[near] @ q
-            if len(near) > k + 1:
-                near = near[np.argpartition(-score, k)[: k + 1]]
-            score = (vectors[near] * q).sum(axis=1)  # the same sum wherever a vector stands
-            out[0].extend([h] * len(near))
-            out[1].extend(ids[i] for i in near)
-            out[2].extend(score.tolist())
+            near = np.flatnonzero(far <= np.partition(far, part - 1)[part - 1])
+            score = products(vectors[near], q)
+            best = nearest(score, first[near], k + 1)
+            out[0].extend([h] * len(best))
+            out[1].extend(ids[i] for i in near[best])
+            out[2].extend(score[best].tolist())
         return pd.DataFrame({"hash": out[0], "ids": out[1], "score": out[2]})
 
     found = shards.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(visit, "hash string, ids array<long>, score double")
-    nearest = lambda by, own: Window.partitionBy(by).orderBy(F.desc("score"), own)
+    by_score = lambda by, own: Window.partitionBy(by).orderBy(F.desc("score"), own)
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("score"), F.get("ids", F.lit(0))))).filter(F.col("r") <= k + 1)
-    each = best.select("hash", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(nearest("hash", "vec_id"))).filter(F.col("r") <= k + 1)
+    each = best.select("hash", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(by_score("hash", "vec_id"))).filter(F.col("r") <= k + 1)
     asked = read.filter("query").select("hash", F.col("id").alias("query_id"))
     pairs = asked.join(each.select("hash", "vec_id", "score"), "hash").filter(F.col("vec_id") != F.col("query_id"))
-    ranked = pairs.withColumn("rank", F.row_number().over(nearest("query_id", "vec_id"))).filter(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(by_score("query_id", "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
