@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +35,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-# Cyrillic and Greek letters and the ASCII letters they look like, in natural order.
-CYRILLIC = dict(zip("АВЕКМНОРСТХавеіјкморсухѕ", "ABEKMHOPCTXaBeijkmopcyxs", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιονρυχ", "ABEZHIKMNOPTYXaiovpux", strict=True))
-#: Full-width forms stand at a fixed distance from ASCII; the other digits' blocks begin at these code points.
-HOMOGLYPHS = {ord(k): v for k, v in (CYRILLIC | GREEK).items()} | {0xFF01 + k: chr(0x21 + k) for k in range(94)} | {start + k: str(k) for start in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)} | {0x00A0: " ", 0x2007: " ", 0x202F: " ", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2024: ".", 0x3002: "."}
+# Letters of other scripts and the ASCII letters they look like, in natural order.
+ARMENIAN = dict(zip("\u0563\u0566\u0570\u0578\u057d\u0585", "gqhnuo", strict=True))
+CYRILLIC = dict(zip("\u0405\u0406\u0408АВЕКМНОРСТУХавекморсух\u0455\u0456\u0458\u04bb\u04c0\u04cf\u0501\u051b\u051d", "SIJABEKMHOPCTYXabekmopcyxsijhIldqw", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχ\u03f2", "ABEZHIKMNOPTYXaikvopuxc", strict=True))
+LATIN = dict(zip("\u0131\u0251\u0261\u210e\u212a", "iaghK", strict=True))
+#: Full-width forms stand at a fixed distance from ASCII, mathematical letters are thirteen alphabets in a row (each A-Z, a-z); the other digits' blocks begin at these code points.
+HOMOGLYPHS = {ord(k): v for k, v in (ARMENIAN | CYRILLIC | GREEK | LATIN).items()}
+HOMOGLYPHS |= {0xFF01 + k: chr(0x21 + k) for k in range(94)} | {0x1D400 + k: chr((65, 97)[k // 26 % 2] + k % 26) for k in range(13 * 52)}
+HOMOGLYPHS |= {start + k: str(k) for start in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)}
+HOMOGLYPHS |= {0x00A0: " ", 0x2007: " ", 0x202F: " ", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2024: ".", 0x3002: "."}
 ODD = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + "]")
-INVISIBLE = "­​‌‍⁠﻿"
+#: Soft hyphen, zero-width space, non-joiner and joiner, word joiner, byte order mark.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 # The English names of the digits.
 NAMES = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -50,14 +56,25 @@ DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
 AT = r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?"
 #: After a bare " at " these begin no host.
 COMMON = "(?:a|all|an|any|each|every|her|his|its|least|most|my|our|that|the|their|these|this|those|your)"
-#: What is rewritten. A bare " at " counts only before a host whose dots are disguised too; a digit's name only beside another or beside a disguised dot.
+#: Before a bare " at " and a host with a plain dot these are no name of a mailbox.
+ORDINARY = "|".join(["and", "are", "available", "based", "be", "find", "found", "here", "hosted", "is", "it", "listed", "located", "look", "me", "more", "online", "page", "posted", "published", "read", "see", "seen", "site", "start", "store", "that", "them", "there", "this", "up", "us", "visit", "was", "website", "you"])
+#: One mark that parts digits.
+GAP = "[ -]"
+#: What is rewritten. A bare " at " counts only before a host with a disguised dot, or after a possible mailbox and before a plain host;
+#: a digit's name only beside another, a figure or a disguised dot.
 REWRITE = re.compile(
-    rf"(?P<none>[{INVISIBLE}]+)|(?P<at>{AT})|(?P<bare>(?<=[A-Za-z0-9])\sat\s(?!{COMMON}\b)(?=[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}}\b))"
-    rf"|(?P<dot>(?<=[A-Za-z0-9]){DOT}(?=[A-Za-z0-9]))|(?P<plus>\bplus\s(?=[0-9]|{NAME}\b))|(?P<digits>\b{NAME}(?:[ -]{NAME})+\b|(?<=dot\s){NAME}\b|(?<=[\])}}>]){NAME}\b|\b{NAME}(?={DOT}))",
+    rf"(?P<at>{AT})|(?P<bare>(?<=[A-Za-z0-9])\sat\s(?!{COMMON}\b)(?=[A-Za-z0-9-]+(?:(?:{DOT}|\.)[A-Za-z0-9-]+)*(?:{DOT}|\.)[A-Za-z]{{2,}}\b))"
+    rf"|(?P<dot>(?<=[A-Za-z0-9]){DOT}(?=[A-Za-z0-9]))|(?P<plus>\bplus\s(?=[0-9]|{NAME}\b))"
+    rf"|(?P<digits>\b{NAME}(?:{GAP}{NAME})+\b|(?<=[0-9]{GAP}){NAME}\b|\b{NAME}(?={GAP}[0-9])|(?<=dot\s){NAME}\b|(?<=[\])}}>]){NAME}\b|(?<=[\])}}>]\s){NAME}\b|\b{NAME}(?={DOT}))",
     re.IGNORECASE,
 )
-#: One of these stands in every text that REWRITE can change; quicker to look for.
-TRIGGER = re.compile(rf"[\[({{<]\s?(?:at|dot|@|\.)\s?[\])}}>]|\sdot\s|[{INVISIBLE}]|\bplus\s|\b{NAME}[ -]{NAME}\b", re.IGNORECASE)
+NOT_SEEN = re.compile(f"[{INVISIBLE}]+")
+#: One of these stands in every text that a transducer can change, but for look-alikes; quicker to look for.
+TRIGGER = re.compile(rf"[\[({{<]\s?(?:at|dot|@|\.)|\s(?:at|dot)\s|[{INVISIBLE}]|\bplus\s|\b{NAME}\b", re.IGNORECASE)
+#: Ends what stands before a bare " at ", if that is no mailbox.
+NO_MAILBOX = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{ORDINARY})$", re.IGNORECASE)
+PLAIN_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![A-Za-z0-9-]|\sdot\s)")
+LONGEST_ORDINARY = max(map(len, ORDINARY.split("|"))) + 1
 ANY_NAME = re.compile(NAME, re.IGNORECASE)
 
 
@@ -104,39 +121,58 @@ def detect(text: str) -> list[list[tuple[int, int]]]:
     return found
 
 
-class Normalised:
-    """A text with disguises rewritten, and the way back: runs of characters kept or replaced."""
+class Transducer:
+    """A text with some parts replaced, and the way back: runs of characters kept or replaced."""
 
-    def __init__(self, source: str):
-        same = source.translate(HOMOGLYPHS) if not source.isascii() and ODD.search(source) else source  # one character for one
-        self.changed = [i for i, (a, b) in enumerate(zip(source, same, strict=True)) if a != b] if same is not source else []
+    def __init__(self, source: str, parts: Iterable[tuple[int, int, str]]):
         self.begins, self.runs, out, at, n = [], [], [], 0, 0
-        for m in REWRITE.finditer(same):
-            kind = m.lastgroup
-            new = {"none": "", "at": "@", "bare": "@", "dot": ".", "plus": "+"}.get(kind)
-            if new is None:
-                new = "".join(NAMES[x.lower()] for x in ANY_NAME.findall(m[0]))
-            for text, a, b, kept in ((same[at : m.start()], at, m.start(), True), (new, m.start(), m.end(), False)):
+        for start, end, new in parts:
+            for text, a, b, kept in ((source[at:start], at, start, True), (new, start, end, False)):
                 if text or not kept:
                     self.begins.append(n)
                     self.runs.append((a, b, kept))
                     out.append(text)
                     n += len(text)
-            at = m.end()
+            at = end
         self.begins.append(n)
-        self.runs.append((at, len(same), True))
-        self.text = "".join(out) + same[at:]
+        self.runs.append((at, len(source), True))
+        self.text = "".join(out) + source[at:]
 
     def back(self, start: int, end: int) -> tuple[int, int, bool]:
-        """The source span of a span, and whether it holds anything rewritten."""
+        """The source span of a span, and whether it holds anything replaced."""
         first = bisect_right(self.begins, start) - 1
         last = bisect_right(self.begins, end - 1) - 1
         a, _, kept = self.runs[first]
         b0, b1, kept_last = self.runs[last]
         a = a + start - self.begins[first] if kept else a
         b = b0 + end - self.begins[last] if kept_last else b1
-        rewritten = any(not kept for _, _, kept in self.runs[first : last + 1]) or bisect_right(self.changed, b - 1) > bisect_right(self.changed, a - 1)
-        return a, b, rewritten
+        return a, b, any(not kept for _, _, kept in self.runs[first : last + 1])
+
+
+def _disguises(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in REWRITE.finditer(text):
+        kind = m.lastgroup
+        if kind == "bare" and PLAIN_HOST.match(text, m.end()) and NO_MAILBOX.search(text[max(0, m.start() - LONGEST_ORDINARY) : m.start()]):
+            continue
+        new = {"at": "@", "bare": "@", "dot": ".", "plus": "+"}.get(kind)
+        yield m.start(), m.end(), "".join(NAMES[x.lower()] for x in ANY_NAME.findall(m[0])) if new is None else new
+
+
+class Normalised:
+    """A text after three transducers: look-alikes, one character for one; invisible characters go; disguises are rewritten."""
+
+    def __init__(self, source: str):
+        same = source.translate(HOMOGLYPHS) if not source.isascii() and ODD.search(source) else source
+        self.changed = [i for i, (a, b) in enumerate(zip(source, same, strict=True)) if a != b] if same is not source else []
+        self.seen = Transducer(same, ((m.start(), m.end(), "") for m in NOT_SEEN.finditer(same)))
+        self.plain = Transducer(self.seen.text, _disguises(self.seen.text))
+        self.text = self.plain.text
+
+    def back(self, start: int, end: int) -> tuple[int, int, bool]:
+        """The source span of a span, and whether it holds anything rewritten."""
+        a, b, rewritten = self.plain.back(start, end)
+        a, b, gone = self.seen.back(a, b)
+        return a, b, rewritten or gone or bisect_right(self.changed, b - 1) > bisect_right(self.changed, a - 1)
 
 
 def added(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
