@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value made once: the optimizer may write a column's expression out wherever the column stands, inside lambdas too, but not a lambda's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     """Parts that end at a full stop, an exclamation or a question mark, or at a line's end."""
     return F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: s != "")

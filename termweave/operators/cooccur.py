@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..functions.text import tokens as token_array
+from .index import cut
+
 
 def slices(hits: DataFrame, left: int, right: int) -> DataFrame:
     """doc_id, begin, end around hits (doc_id, start, size); begins are held at 0."""
@@ -48,6 +54,76 @@ def pmi_terms(toks: DataFrame, stats: DataFrame, hits: DataFrame, left: int = 5,
     return scored.orderBy(F.desc("pmi"), "term").limit(k)
 
 
+def near_phrase(docs: DataFrame, phrase: list[str], left: int = 5, right: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_hits, near (the terms of its merged slices, in order) for each document with a hit: one scan without a shuffle.
+
+    A token is near a hit if one begins among the places that reach it; those are as many as the slice is wide.
+    """
+    m = len(phrase)
+
+    def starts(t: Column) -> Column:
+        return F.transform(t, lambda x, i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == p, F.lit(False)) for k, p in enumerate(phrase)]))
+
+    def reached(s: Column, i: Column) -> Column:
+        first = F.greatest(i - (m + right) + 2, F.lit(1))
+        return F.exists(F.slice(s, first, i + left + 2 - first), lambda x: x)
+
+    def found(t: Column) -> Column:
+        return let(starts(t), lambda s: F.struct(F.size(F.filter(s, lambda x: x)).cast("long").alias("n_hits"), F.when(F.exists(s, lambda x: x), F.filter(t, lambda x, i: reached(s, i))).alias("near")))
+
+    rows = docs.select(F.col(key).alias("doc_id"), let(token_array(F.col(text)), lambda t: F.when(reduce(lambda a, b: a & b, [F.array_contains(t, p) for p in set(phrase)]), found(t))).alias("x"))
+    # made by a generator, so that the filter isn't worked out on its own
+    return rows.select("doc_id", F.inline(F.filter(F.array("x"), lambda x: x["n_hits"] > 0)))
+
+
+def pmi_terms_of(docs: DataFrame, phrase: list[str], left: int = 5, right: int = 5, least: int = 4, k: int = 30, text: str = "text") -> DataFrame:
+    """term, qpf, cf, pmi as pmi_terms() gives, from two scans of the texts: one for what is near, one to count these terms."""
+    near = cut(near_phrase(docs, phrase, left, right, text=text))
+    qpf = cut(near.select(F.explode("near").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("qpf")).filter(F.col("qpf") > least))
+    whole = docs.select(token_array(F.col(text)).alias("__t"))
+    cf = cut(whole.select(F.explode("__t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf")))
+    one = near.agg(F.coalesce(F.sum("n_hits"), F.lit(0)).alias("n_hits")).join(cf.agg(F.sum("cf").alias("coll")))
+    scored = qpf.join(cf, "term").join(F.broadcast(one))
+    return scored.select("term", "qpf", "cf", F.round(pmi(*map(F.col, ("qpf", "cf", "n_hits", "coll"))), 6).alias("pmi")).orderBy(F.desc("pmi"), "term").limit(k)
+
+
+def pmi_bigrams(docs: DataFrame, phrase: list[str], left: int = 5, right: int = 5, least: int = 4, k: int = 30, text: str = "text") -> DataFrame:
+    """t1, t2, qpf, cf, pmi: neighbours in slices (a gap between slices parts them), each with its exact frequency."""
+    hits = docs.select(F.col("doc_id"), token_array(F.col(text)).alias("__t"))
+    toks = hits.select("doc_id", F.posexplode("__t").alias("pos", "term"))
+    found = near_hits(hits, phrase)
+    pairs = bigram_places(hits)
+    inside_ = pairs.join(merged(slices(found, left, right)), "doc_id").filter("pos >= begin and pos + 1 < end")
+    near = inside_.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("qpf")).filter(F.col("qpf") > least)
+    cf = pairs.join(near.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("cf"))
+    one = found.agg(F.count(F.lit(1)).alias("n_hits")).join(toks.agg(F.count(F.lit(1)).alias("coll")))
+    scored = near.join(cf, ["t1", "t2"]).join(F.broadcast(one))
+    return scored.select("t1", "t2", "qpf", "cf", F.round(pmi(*map(F.col, ("qpf", "cf", "n_hits", "coll"))), 6).alias("pmi")).orderBy(F.desc("pmi"), "t1", "t2").limit(k)
+
+
+def near_hits(rows: DataFrame, phrase: list[str]) -> DataFrame:
+    """doc_id, start, size of every place of one phrase in rows of doc_id, __t (terms): found inside the row."""
+    t = F.col("__t")
+    at = F.filter(F.transform(t, lambda x, i: i), lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(t, i + k) == p, F.lit(False)) for k, p in enumerate(phrase)]))
+    return rows.select("doc_id", F.explode(at).alias("start")).select("doc_id", "start", F.lit(len(phrase)).alias("size"))
+
+
+def bigram_places(rows: DataFrame) -> DataFrame:
+    """doc_id, pos, t1, t2 of rows of doc_id, __t."""
+    t = F.col("__t")
+    made = F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.struct(i.alias("pos"), x.alias("t1"), F.get(t, i + 1).alias("t2")))
+    return rows.select("doc_id", F.inline(made))
+
+
+def snippets(docs: DataFrame, phrase: list[str], left: int, right: int, most: int = 200, text: str = "text") -> DataFrame:
+    """doc_id, start, snippet: the first hit of each of the first documents with one, by id, with the terms around it."""
+    rows = docs.select("doc_id", token_array(F.col(text)).alias("__t"))
+    hits = near_hits(rows, phrase).groupBy("doc_id").agg(F.min("start").alias("start")).orderBy("doc_id").limit(most)
+    first = F.greatest(F.col("start") - left, F.lit(0))
+    around = F.slice("__t", first + 1, F.col("start") + len(phrase) + right - first)
+    return rows.join(hits, "doc_id").select("doc_id", F.col("start").cast("long").alias("start"), F.array_join(around, " ").alias("snippet"))
+
+
 def pmi_entities(hits: DataFrame, mentions: DataFrame, coll: DataFrame, left: int = 5, right: int = 5, least: int = 1, k: int = 30) -> DataFrame:
     """phrase_id, qpf, cf, pmi: dictionary phrases near hits; a phrase counts once for each slice it overlaps."""
     near = overlapping(merged(slices(hits, left, right)), mentions).groupBy("phrase_id").agg(F.count(F.lit(1)).alias("qpf")).filter(F.col("qpf") >= least)

@@ -34,6 +34,18 @@ def expanded(query: dict[str, float], expansion: DataFrame, original: float = 0.
     return sorted(out.items())
 
 
+def mixed(queries: dict[str, dict[str, float]], expansion: DataFrame, original: float = 0.8) -> dict[str, dict[str, float]]:
+    """Weighted queries with the terms of expansion (qid, term, weight; a few rows a query) mixed in: original of the weight stays with the query."""
+    own: dict[str, dict[str, float]] = {q: {} for q in queries}
+    for r in expansion.select("qid", "term", "weight").collect():
+        own[r.qid][r.term] = own[r.qid].get(r.term, 0.0) + r.weight
+    out = {}
+    for q, terms in queries.items():
+        whole, more = sum(terms.values()) or 1.0, sum(own[q].values()) or 1.0
+        out[q] = {t: original * terms.get(t, 0.0) / whole + (1 - original) * own[q].get(t, 0.0) / more for t in [*terms, *(t for t in own[q] if t not in terms)]}
+    return out
+
+
 def local_context(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats: DataFrame, mu: float = 1000.0, k: int = 30, drop: list[str] | None = None) -> DataFrame:
     """term, score: sum over the ranked documents of score + ln((tf + mu cf/C) / (len + mu)) - ln(cf/C), for terms that occur there twice or more.
 

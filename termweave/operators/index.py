@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens as token_array
@@ -34,6 +34,13 @@ def term_stats(toks: DataFrame) -> DataFrame:
     return counts(toks).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
 
 
+def document_terms(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, cf, df in one shuffle of a row for each term and task: a document's tokens are sorted inside the row, where the first of equals counts for df."""
+    placed = F.transform(F.col("__t"), lambda x, i: F.struct(x.alias("term"), (F.coalesce(F.get(F.col("__t"), i - 1) != x, F.lit(True))).cast("int").alias("first")))
+    rows = docs.select(F.array_sort(token_array(F.col(text))).alias("__t")).select(F.inline(placed))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.sum("first").alias("df"))
+
+
 def collection_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """n_docs, coll_len: one row."""
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size(token_array(F.col(text))).cast("long")).alias("coll_len"))
@@ -53,6 +60,46 @@ def unordered_pairs(docs: DataFrame, width: int = 8, key: str = "doc_id", text:
     return docs.select(F.col(key).alias("doc_id"), token_array(F.col(text)).alias("__t")).select("doc_id", F.inline(near)).filter("t_lo <> t_hi")
 
 
+#: Keys of pairs that are looked up inside the row; with more of them at the limit, they are joined.
+LITERAL_KEYS = 1_000
+
+
+def _pair_keys(near: int) -> Column:
+    """key, x, y (places) for each two different terms of __t at most near apart; the key is a hash of the terms' hashes __h, alike in both orders."""
+    h = F.col("__h")
+    key = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b))
+    return F.flatten(F.transform(h, lambda a, i: F.filter(F.transform(F.slice(h, i + 2, F.lit(near)), lambda b, j: F.struct(F.when(a != b, key(a, b)).alias("key"), i.alias("x"), (i + j + 1).alias("y"))), lambda p: p["key"].isNotNull())))
+
+
+def top_unordered_pairs(docs: DataFrame, k: int, width: int = 8, text: str = "text") -> DataFrame:
+    """t_lo, t_hi, n: the k most frequent pairs of unordered_pairs, ties by terms.
+
+    Pairs are counted by a hash of 8 bytes first. Names are made for the pairs whose count by hash reaches the k-th
+    largest, and counted by name. Terms whose hashes collide only raise a count by hash, so the k best are among these
+    pairs if the k-th count by name reaches the limit; else the limit falls to that count.
+    """
+    rows = docs.select(token_array(F.col(text)).alias("__t")).select("__t", F.transform("__t", lambda x: F.xxhash64(x)).alias("__h"))
+    keys = rows.select(F.explode(F.transform(_pair_keys(width - 1), lambda p: p["key"])).alias("key"))
+    counted = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    best = counted.orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count(F.lit(1))).first()
+    limit = best[0] if best[1] == k else 0
+    while True:
+        wanted = counted.filter(F.col("n") >= (limit or 0)).select("key")
+        few = [r.key for r in wanted.limit(LITERAL_KEYS + 1).collect()]
+        term = lambda i: F.get(F.col("__t"), i)
+        named = lambda p: F.struct(p["key"].alias("key"), F.least(term(p["x"]), term(p["y"])).alias("t_lo"), F.greatest(term(p["x"]), term(p["y"])).alias("t_hi"))
+        if len(few) <= LITERAL_KEYS:
+            pairs = rows.select(F.inline(F.transform(F.filter(_pair_keys(width - 1), lambda p: p["key"].isin(few)), named)))
+        else:
+            pairs = rows.select(F.inline(F.transform(_pair_keys(width - 1), named))).join(wanted, "key", "left_semi")
+        top = cut(pairs.groupBy("t_lo", "t_hi").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t_lo", "t_hi").limit(k))
+        last = top.agg(F.min("n"), F.count(F.lit(1))).first()
+        reached = last[0] if last[1] == k else 0
+        if not limit or reached >= limit:
+            return top
+        limit = reached
+
+
 def covariate_cells(docs: DataFrame, x: str, y: str) -> DataFrame:
     """x, y, n: documents by two variables."""
     return docs.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))

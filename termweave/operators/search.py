@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens as token_array
+from .index import cut
+
 
 def _frame(toks: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(toks.sparkSession.createDataFrame(rows, schema))
@@ -94,20 +97,71 @@ def query_likelihood(toks: DataFrame, doc_stats: DataFrame, queries: dict[str, l
     return ranked(scored.withColumn("score", F.round("score", 6)), k)
 
 
+def likelihood(docs: DataFrame, queries: dict[str, dict[str, float]], smoothing: str = "dirichlet", k: int | None = 10, within: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """qid, doc_id, score, rank: the k best documents of weighted queries (qid to term to weight), in one scan of the texts.
+
+    A document's query terms are picked out inside its row and written with its length; frequencies are sums over these
+    few terms, and scores an expression of the row, so no token is shuffled. Candidates have any of a query's terms;
+    terms that occur nowhere are dropped; weights are taken by their sum. within (doc_id) leaves other documents out,
+    but not of the statistics. Queries are short lists of the caller's.
+    """
+    terms = sorted({t for own in queries.values() for t in own})
+    t = token_array(F.col(text))
+    view = cut(docs.select(F.col(key).alias("doc_id"), t.alias("__t")).select("doc_id", F.size("__t").cast("long").alias("len"), F.filter("__t", lambda x: x.isin(terms)).alias("own")))
+    coll = view.agg(F.sum("len")).first()[0] or 0
+    cf = {r.term: r.n for r in view.select(F.explode("own").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    model = jelinek_mercer if smoothing in ("jm", "linear") else dirichlet
+    rows = view.filter(F.size("own") > 0)
+    rows = rows if within is None else rows.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def scored(qid: str, own: dict[str, float]) -> Column:
+        known = {x: w for x, w in own.items() if cf.get(x)}
+        tf = lambda x: F.size(F.filter("own", lambda y: y == x))
+        total = sum(known.values())
+        score = reduce(lambda a, b: a + b, [w * model(tf(x), F.col("len"), F.lit(cf[x]), F.lit(coll)) for x, w in known.items()], F.lit(0.0)) / F.lit(total or 1.0)
+        any_ = F.arrays_overlap("own", F.array(*map(F.lit, known))) if known else F.lit(False)
+        return F.when(any_, F.struct(F.lit(qid).alias("qid"), F.round(score, 6).alias("score")))
+
+    made = F.array_compact(F.array(*[scored(q, own) for q, own in queries.items()]))
+    return ranked(rows.select("doc_id", F.inline(made)).select("qid", "doc_id", "score"), k)
+
+
+def counted(queries: dict[str, list[str]]) -> dict[str, dict[str, float]]:
+    """Queries as lists of terms as weighted ones: a term weighs as often as it stands there."""
+    return {q: {t: float(terms.count(t)) for t in dict.fromkeys(terms)} for q, terms in queries.items()}
+
+
+def synonyms(toks: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """name, doc_id, pos of the places where any term of a group stands, each place once."""
+    rows = [(name, t) for name, terms in groups.items() for t in set(terms)]
+    return toks.join(_frame(toks, rows, "name string, term string"), "term").select("name", "doc_id", "pos").distinct()
+
+
+def meaningful(terms: list[str], stopwords: list[str]) -> list[str]:
+    """The terms without stopwords, each once, unless all are stopwords."""
+    once = list(dict.fromkeys(terms))
+    return [t for t in once if t not in stopwords] or once
+
+
 def ranked(scored: DataFrame, k: int | None = None, by: str = "qid", doc: str = "doc_id") -> DataFrame:
     """Adds rank, from 1 by descending score and then by doc; only the k best where given."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), doc)).cast("long"))
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def sequential_dependence(toks: DataFrame, doc_stats: DataFrame, query: list[str], k: int = 10, weights: tuple[float, float, float] = (0.8, 0.15, 0.05), mu: float = 1500.0, stopwords: list[str] | None = None) -> DataFrame:
-    """doc_id, score, rank: unigrams, neighbours in order, and pairs within 8 tokens, each Dirichlet-smoothed with its own frequency."""
+def sequential_dependence(toks: DataFrame, doc_stats: DataFrame, query: list[str], k: int = 10, weights: tuple[float, float, float] = (0.8, 0.15, 0.05), mu: float = 1500.0, stopwords: list[str] | None = None, longest: int = 2, within: DataFrame | None = None) -> DataFrame:
+    """doc_id, score, rank: unigrams, runs of two to longest neighbours in order, and pairs within 8 tokens, each Dirichlet-smoothed with its own frequency.
+
+    within (doc_id) leaves other documents out of the ranking, but not of the frequencies. The documents that hold a
+    unit meet all units of the query: a cross join with a short list of the caller's.
+    """
     stop = set(stopwords or [])
     units = [("u", [t]) for t in query if t not in stop]
     if len(query) > 1:
         near = list(zip(query[:-1], query[1:], strict=True))
-        units += [("o", list(p)) for p in near] + [("w", list(p)) for p in near if p[0] not in stop and p[1] not in stop and p[0] != p[1]]
-    own = toks.filter(F.col("term").isin(sorted(set(query)))).cache()
+        units += [("o", query[i : i + n]) for n in range(2, longest + 1) for i in range(len(query) - n + 1)]
+        units += [("w", list(p)) for p in near if p[0] not in stop and p[1] not in stop and p[0] != p[1]]
+    own = cut(toks.filter(F.col("term").isin(sorted(set(query)))))
     total = {kind: sum(1 for k2, _ in units if k2 == kind) for kind in "uow"}
     share = dict(zip("uow", weights, strict=True)) if len(query) > 1 else {"u": 1.0}
     found = []
@@ -123,6 +177,8 @@ def sequential_dependence(toks: DataFrame, doc_stats: DataFrame, query: list[str
     cf = tf.groupBy("unit").agg(F.sum("tf").alias("cf"))
     weight = _frame(toks, [(n, share[kind] / total[kind]) for n, (kind, _) in enumerate(units)], "unit int, weight double").join(cf, "unit")
     coll = doc_stats.agg(F.sum("len").alias("coll"))
-    pairs = tf.select("doc_id").distinct().crossJoin(F.broadcast(weight)).join(tf, ["doc_id", "unit"], "left").join(doc_stats, "doc_id").join(F.broadcast(coll))
+    ranked_ = tf.select("doc_id").distinct()
+    ranked_ = ranked_ if within is None else ranked_.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = ranked_.crossJoin(F.broadcast(weight)).join(tf, ["doc_id", "unit"], "left").join(doc_stats, "doc_id").join(F.broadcast(coll))
     scored = pairs.groupBy("doc_id").agg(F.sum(F.col("weight") * dirichlet(F.coalesce("tf", F.lit(0)), F.col("len"), F.col("cf"), F.col("coll"), mu)).alias("score"))
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import cooccur, expansion, graph, index, labeling, runs, search
+from ..operators import cooccur, entities, expansion, graph, index, labeling, runs, search
 from ..streaming import stats
 
 PHRASE = ["of", "the"]
@@ -48,7 +48,7 @@ def tokens_stats(s, d):
 
 
 def term_stats_top(s, d):
-    return index.term_stats(_toks(s, d)).orderBy(F.desc("cf"), "term").limit(100)
+    return index.document_terms(_docs(s, d)).orderBy(F.desc("cf"), "term").limit(100)
 
 
 def doc_lengths(s, d):
@@ -89,7 +89,7 @@ def bigrams_top(s, d):
 
 
 def ubigrams_top(s, d):
-    return index.unordered_pairs(_docs(s, d)).groupBy("t_lo", "t_hi").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t_lo", "t_hi").limit(100)
+    return index.top_unordered_pairs(_docs(s, d), 100)
 
 
 def slices_merged(s, d):
@@ -102,16 +102,15 @@ def nearby_terms(s, d):
 
 
 def pmi_terms(s, d):
-    t = _toks(s, d)
-    return cooccur.pmi_terms(t, index.term_stats(t), _hits(s, d), 5, 5, 4, 30)
+    return cooccur.pmi_terms_of(_docs(s, d), PHRASE, 5, 5, 4, 30)
 
 
 def ql_dirichlet(s, d):
-    return search.query_likelihood(_toks(s, d), index.doc_stats(_docs(s, d)), TWO, "dirichlet", 10)
+    return search.likelihood(_docs(s, d), search.counted(TWO), "dirichlet", 10)
 
 
 def ql_jm(s, d):
-    return search.query_likelihood(_toks(s, d), index.doc_stats(_docs(s, d)), TWO, "jm", 10)
+    return search.likelihood(_docs(s, d), search.counted(TWO), "jm", 10)
 
 
 def sdm(s, d):
@@ -142,7 +141,7 @@ def _dictionary(s, d):
 
 
 def dictionary_tag(s, d):
-    return search.dictionary_hits(_toks(s, d), _dictionary(s, d)).select("phrase_id", "doc_id", F.col("start").cast("long").alias("start"))
+    return entities.mentions(_docs(s, d), _dictionary(s, d), "phrase_id").select(F.col("phrase").alias("phrase_id"), "doc_id", F.col("start").cast("long").alias("start"))
 
 
 def _all_ngrams(s, d):
@@ -154,11 +153,7 @@ def _all_ngrams(s, d):
 
 
 def _ngram_hits(s, d):
-    """doc_id, start, phrase_id of every five words of a text that are such a phrase: an equi-join on the whole run."""
-    t = F.col("t")
-    runs5 = F.transform(F.sequence(F.lit(0), F.size(t) - 5), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(t, i + 1, 5), " ").alias("phrase_id")))
-    places = _docs(s, d).select("doc_id", fn.tokens(F.col("text")).alias("t")).filter(F.size("t") >= 5).select("doc_id", F.inline(runs5))
-    return places.join(_all_ngrams(s, d).select("phrase_id"), "phrase_id")
+    return entities.mentions(_docs(s, d), _all_ngrams(s, d), "phrase_id").withColumnRenamed("phrase", "phrase_id")
 
 
 def dictionary_tag_whole(s, d):
@@ -166,7 +161,7 @@ def dictionary_tag_whole(s, d):
 
 
 def entity_relevance(s, d):
-    hits = search.dictionary_hits(_toks(s, d), _dictionary(s, d))
+    hits = entities.mentions(_docs(s, d), _dictionary(s, d), "phrase_id").withColumnRenamed("phrase", "phrase_id")
     docs = index.doc_stats(_docs(s, d))
     top = hits.select("doc_id").distinct().join(docs, "doc_id").withColumn("posterior", 1 / (1 + F.col("len"))).drop("len")
     return expansion.entity_scores(top, hits, docs, index.collection_stats(_docs(s, d)))
@@ -292,6 +287,8 @@ ORACLE_SQL = {
     "passage_windows": f"{TOKS}, own as (select * from tok where term in ('for', 'that')), nx as (select doc_id, pos, min(case when term = 'for' then pos end) over w a, min(case when term = 'that' then pos end) over w b from own window w as (partition by doc_id order by pos rows between current row and unbounded following)) select doc_id, pos from nx where greatest(a, b) + 1 - pos <= 8 and a is not null and b is not null",
     "bigrams_top": f"{TOKS} select a.term t1, b.term t2, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1 group by all order by n desc, t1, t2 limit 100",
     "ubigrams_top": f"{TOKS} select least(a.term, b.term) t_lo, greatest(a.term, b.term) t_hi, count(*) n from tok a join tok b on a.doc_id = b.doc_id and b.pos between a.pos + 1 and a.pos + 7 where a.term <> b.term group by all order by n desc, t_lo, t_hi limit 100",
+    "bow_relaxed": f"{TOKS}, own as (select * from tok where term in ('for', 'that', 'nicht')), nx as (select doc_id, pos, min(case when term = 'for' then pos end) over w a, min(case when term = 'that' then pos end) over w b, min(case when term = 'nicht' then pos end) over w n, bool_or(term = 'for') over v ha, bool_or(term = 'that') over v hb, bool_or(term = 'nicht') over v hn from own window w as (partition by doc_id order by pos rows between current row and unbounded following), v as (partition by doc_id)), f as (select pos, ha::int + hb::int + hn::int n_present from nx where greatest(case when ha then coalesce(a, 1 << 30) else -1 end, case when hb then coalesce(b, 1 << 30) else -1 end, case when hn then coalesce(n, 1 << 30) else -1 end) + 1 - pos <= 16), k as (select case when count(*) filter (where n_present >= 3) >= 10 then 3 when count(*) filter (where n_present >= 2) >= 10 then 2 else 1 end k from f) select cast(n_present as bigint) n_present, count(*) n, cast(sum(pos) as bigint) sum_pos from f, k where n_present >= k group by n_present",
+    "sdm": f"{TOKS}, own as (select * from tok where term in ('thing', 'with')), nx as (select doc_id, pos, min(case when term = 'thing' then pos end) over w a, min(case when term = 'with' then pos end) over w b from own window w as (partition by doc_id order by pos rows between current row and unbounded following)), tf as (select doc_id, case term when 'thing' then 0 else 1 end unit, count(*) tf from own group by all union all select x.doc_id, 2, count(*) from own x join own y on x.doc_id = y.doc_id and y.pos = x.pos + 1 where x.term = 'thing' and y.term = 'with' group by x.doc_id union all select doc_id, 3, count(*) from nx where greatest(a, b) + 1 - pos <= 8 and a is not null and b is not null group by doc_id), cf as (select unit, sum(tf) cf, case unit when 2 then 0.15 when 3 then 0.05 else 0.4 end w from tf group by unit), ds as (select distinct doc_id from tf) select ds.doc_id, round(sum(w * (ln(coalesce(tf, 0) + 1500.0 * cf / c) - ln(len + 1500.0))), 6) score from ds cross join cf left join tf on tf.doc_id = ds.doc_id and tf.unit = cf.unit join dl on dl.doc_id = ds.doc_id, coll group by ds.doc_id order by score desc, doc_id limit 20",
     "slices_merged": f"{HITS} select doc_id, b, e from mg",
     "nearby_terms": f"{HITS} select term, count(*) qpf from tok join mg on tok.doc_id = mg.doc_id and pos >= b and pos < e group by term",
     "pmi_terms": f"{HITS}, nt as (select term, count(*) qpf from tok join mg on tok.doc_id = mg.doc_id and pos >= b and pos < e group by term) select term, qpf, cf, round((qpf / c) / ((cf / c) * ((select count(*) from hits) / c)), 6) pmi from nt join st using (term), coll where qpf > 4 order by pmi desc, term limit 30",
