@@ -60,3 +60,59 @@ def fold_accents(text: Column) -> Column:
 def normal_name(text: Column) -> Column:
     """A title as a dictionary form: no parenthesis, blanks for underscores, lower case, no accents."""
     return fold_accents(F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"\(.*$", ""), "_", " "))))
+
+
+def links(html: Column) -> Column:
+    """array of struct(href, text) of the anchors of a page."""
+    whole = F.regexp_extract_all(html, F.lit(r'(?s)<a href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, '<a href="([^"]*)"', 1).alias("href"), F.regexp_extract(a, "(?s)<a [^>]*>(.*?)</a>", 1).alias("text")))
+
+
+def categories(text: Column) -> Column:
+    """The parts between commas of what stands in parentheses, trimmed."""
+    inner = F.regexp_extract_all(text, F.lit(r"\(([^()]*)\)"), F.lit(1))
+    return F.filter(F.flatten(F.transform(inner, lambda x: F.transform(F.split(x, ","), lambda y: F.trim(y)))), lambda y: y != "")
+
+
+def json_unescaped(text: Column) -> Column:
+    """A text between the quotes of a JSON string, without its escapes; null if it is none."""
+    return F.from_json(F.concat(F.lit('{"x":"'), text, F.lit('"}')), "x string")["x"]
+
+
+def url_encoded(text: Column) -> Column:
+    return F.url_encode(text)
+
+
+def url_decoded(text: Column) -> Column:
+    return F.try_url_decode(text)
+
+
+def take_after(text: Column, mark: str) -> Column:
+    """What stands behind the first mark; the whole text without one."""
+    return F.when(F.instr(text, mark) > 0, F.substr(text, F.instr(text, mark) + len(mark))).otherwise(text)
+
+
+def take_before_last(text: Column, mark: str) -> Column:
+    """What stands before the last mark; the whole text without one."""
+    parts = F.size(F.split(text, _quoted(mark))) - 1
+    return F.when(parts > 0, F.substr(text, F.lit(1), F.char_length(text) - F.char_length(F.substring_index(text, mark, -1)) - len(mark))).otherwise(text)
+
+
+def remove_front(text: Column, mark: str) -> Column:
+    return F.when(text.startswith(mark), F.substr(text, F.lit(len(mark) + 1))).otherwise(text)
+
+
+def remove_back(text: Column, mark: str) -> Column:
+    return F.when(text.endswith(mark), F.substr(text, F.lit(1), F.char_length(text) - len(mark))).otherwise(text)
+
+
+def counts_of(values: Column) -> Column:
+    """Map from each value of an array to how often it stands there; sorted first, so that it takes one pass."""
+    runs = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(x.alias("key"), i.alias("at"))), lambda p: F.coalesce(F.get(s, p["at"] - 1) != p["key"], F.lit(True)))
+    ends = lambda s, r: F.transform(r, lambda p, k: F.struct(p["key"].alias("key"), (F.coalesce(F.get(r, k + 1)["at"], F.size(s)) - p["at"]).alias("value")))
+    return F.map_from_entries(let(F.array_sort(values), lambda s: let(runs(s), lambda r: ends(s, r))))
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """Two maps of numbers added."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))

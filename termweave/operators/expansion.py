@@ -62,6 +62,26 @@ def local_context(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats:
     return pairs.groupBy("term").agg(F.round(F.sum(one), 6).alias("score")).orderBy(F.desc("score"), "term").limit(k)
 
 
+def local_contexts(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats: DataFrame, mu: float = 1000.0, k: int = 30, drop: list[str] | None = None) -> DataFrame:
+    """qid, term, score: local_context() for every query of the ranked lists (qid, doc_id, score), its k best terms.
+
+    A term scores ln((tf + mu cf/C) / (len + mu)) in documents with it; what documents without it add depends on the
+    term's frequency alone, but for their lengths, so terms meet the documents of their own query only.
+    """
+    own = top.join(doc_stats, "doc_id").select("qid", "doc_id", "score", "len")
+    tf = toks.join(top.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = tf.filter(~F.col("term").isin(drop)) if drop else tf
+    terms = own.join(tf, "doc_id").groupBy("qid", "term").agg(F.sum("tf").alias("n")).filter("n > 1").select("qid", "term")
+    coll = stats.agg(F.sum("cf").alias("coll"))
+    # an equi-join on the query: its terms with its ranked documents, both short lists
+    pairs = terms.join(stats.select("term", "cf"), "term").join(own, "qid").join(tf, ["doc_id", "term"], "left").join(F.broadcast(coll))
+    p = F.col("cf") / F.col("coll")
+    one = F.col("score") + F.ln((F.coalesce("tf", F.lit(0)) + mu * p) / (F.col("len") + mu)) - F.ln(p)
+    scored = pairs.groupBy("qid", "term").agg(F.round(F.sum(one), 6).alias("score"))
+    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "term"))
+    return scored.withColumn("r", r).filter(F.col("r") <= k).drop("r")
+
+
 #: Scores of an entity from each document that mentions it: posterior, mentions c, document length l, collection frequency cf and length.
 ENTITY_METHODS = ("rm", "drm", "gdrm", "gnb")
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .index import cut
+
 
 def pagerank(edges: DataFrame, jump: float = 0.15, steps: int = 1000, tolerance: float = 1e-3) -> DataFrame:
     """node, score. Edges (src, dst) count as often as they occur; nodes without edges out spread their score over all.
 
     Degrees and nodes are made once; each step is a join and an aggregate. A step reads the last one's scores
-    twice, so lineage is cut after each, in the shared checkpoint folder if the session names one.
+    twice, so it is written to the shared folder after each.
     """
-    spark = edges.sparkSession
-    cut = (lambda df: df.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
     links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
     degree = links.groupBy("src").agg(F.sum("n").alias("degree"))
     nodes = cut(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(degree, F.col("node") == F.col("src"), "left").select("node", "degree"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens as token_array
@@ -115,12 +116,61 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
         (df.repartitionByRange("term").sortWithinPartitions("term") if "term" in df.columns else df).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written to the shared checkpoint folder if the session names one, else persisted."""
-    spark = df.sparkSession
+def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> StoredIndex:
+    """Writes postings, counts of terms, lengths and variables (all columns but the text) of a corpus under folder, and opens it."""
+    kept = cut(postings(tokens(docs, key, text)))
+    stats = kept.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    save({"postings": kept, "terms": stats, "lengths": doc_stats(docs, key, text), "variables": docs.drop(text)}, folder)
+    return StoredIndex(docs.sparkSession, folder)
+
+
+class StoredIndex:
+    """Tables that build() wrote. A query's terms are pushed down to the scan, which reads the row groups that may hold them."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        return self.table("postings").filter(F.col("term").isin(sorted(set(terms))))
+
+    def tokens(self, terms: list[str]) -> DataFrame:
+        """doc_id, pos, term of these terms alone: what matching, phrases and ranking read."""
+        return self.postings(terms).select("doc_id", F.explode("positions").alias("pos"), "term")
+
+    def terms(self) -> DataFrame:
+        return self.table("terms")
+
+    def lengths(self) -> DataFrame:
+        return self.table("lengths")
+
+    def variables(self) -> DataFrame:
+        return self.table("variables")
+
+    def names_of(self, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+        return self.variables().join(ids.select(key).distinct(), key, "left_semi").select(key, name)
+
+    def ids_of(self, names: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+        return self.variables().join(names.select(name).distinct(), name, "left_semi").select(key, name)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share. One of our own only if the session names none and all its tasks run in the driver's process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/termweave-{uuid.uuid4().hex}"
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-termweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read again: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/termweave-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

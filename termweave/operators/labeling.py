@@ -75,3 +75,27 @@ def score_all(items: DataFrame, weights: DataFrame) -> DataFrame:
     parts = told.select("item_id", "weight").unionByName(items.select("item_id", F.lit(0.0).alias("weight")))
     bias = weights.filter(F.col("feature").isNull()).agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("bias"))
     return parts.groupBy("item_id").agg(F.sum("weight").alias("dot")).join(F.broadcast(bias)).select("item_id", F.round(F.col("dot") + F.col("bias"), 6).alias("score"))
+
+
+def difference_weights(items: DataFrame, judged: DataFrame) -> DataFrame:
+    """feature, weight: in how many more positive than negative items (item_id, positive) a feature stands; items: item_id, features (each once)."""
+    own = items.join(judged, "item_id").select(F.explode("features").alias("feature"), F.when(F.col("positive"), 1).otherwise(-1).alias("w"))
+    return own.groupBy("feature").agg(F.sum("w").alias("weight")).filter("weight <> 0")
+
+
+def strongest_by_size(weights: DataFrame, k: int) -> DataFrame:
+    """The k features of the largest weight either way, ties by feature."""
+    return weights.orderBy(F.desc(F.abs("weight")), "feature").limit(k)
+
+
+def svm_rows(items: DataFrame, ids: DataFrame, judged: DataFrame) -> DataFrame:
+    """item_id, line: 'label id:1 id:1 ...' in order of ids, from items (item_id, features), ids (term, id) and judged (item_id, label)."""
+    told = items.join(judged, "item_id").select("item_id", "label", F.explode("features").alias("term")).join(ids, "term")
+    row = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: F.concat(x.cast("string"), F.lit(":1"))), " ")
+    return told.groupBy("item_id", "label").agg(row.alias("f")).select("item_id", F.concat_ws(" ", F.col("label").cast("string"), "f").alias("line"))
+
+
+def judged_features(items: DataFrame, judged: DataFrame) -> DataFrame:
+    """feature, positive, negative: in how many judged items of each kind a feature stands."""
+    own = items.join(judged, "item_id").select("positive", F.explode("features").alias("feature"))
+    return own.groupBy("feature").agg(F.count_if("positive").alias("positive"), F.count_if(~F.col("positive")).alias("negative"))

@@ -1,7 +1,7 @@
 """The registered queries over the given tables, by theme."""
 
-from . import catalog, lookups, named, ranking
+from . import catalog, files, judging, lookups, named, ranking
 
-_MODULES = (catalog, lookups, named, ranking)
+_MODULES = (catalog, files, judging, lookups, named, ranking)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import json_unescaped, normal_name
+from ..functions.text import tokens as token_array
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("c"))
@@ -62,7 +65,7 @@ def json_documents(spark: SparkSession, path: str, variables: str = "") -> DataF
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """doc, sentence, pos, word, pos_tag, chunk, ner from four-column blocks; one file is one ordered stream, files run in parallel."""
-    v = spark.read.option("wholetext", True).text(path).select(F.md5("value").alias("file"), F.posexplode(F.split("value", r"\n")).alias("line", "value"))
+    v = spark.read.text(path, wholetext=True).select(F.md5("value").alias("file"), F.posexplode(F.split("value", r"\n")).alias("line", "value"))
     upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     marked = v.withColumns({"doc": F.sum(F.col("value").startswith("-DOCSTART-").cast("int")).over(upto), "sentence": F.sum((F.trim("value") == "").cast("int")).over(upto)})
     c = F.split(F.trim("value"), r"\s+")
@@ -82,3 +85,175 @@ def first_by_name(docs: DataFrame, name: str, order: str) -> DataFrame:
     """One row for each name: the first in order."""
     whole = F.struct(*docs.columns)
     return docs.groupBy(F.col(name).alias("__n")).agg(F.min_by(whole, F.col(order)).alias("x")).select("x.*")
+
+
+def escaped_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """name, title, body of tab-separated lines whose title and body are escaped as in JSON strings."""
+    parts = F.split("value", "\t", 3)
+    return spark.read.text(path).select(parts[0].alias("name"), json_unescaped(parts[1]).alias("title"), json_unescaped(parts[2]).alias("body"))
+
+
+def write_escaped_tsv(docs: DataFrame, path: str) -> None:
+    """The reverse, from name, title, body."""
+    inner = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(F.col(c), F.lit("")).alias("x"))), r'(?s)^\{"x":"(.*)"\}$', 1)
+    docs.select(F.concat_ws("\t", F.col("name").cast("string"), inner("title"), inner("body")).alias("value")).write.text(path)
+
+
+def _xml(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """x: the root element of each file, or of each line where lines hold whole elements. Malformed ones are null."""
+    return spark.read.text(path, wholetext=not lines).select(F.from_xml("value", schema).alias("x"))
+
+
+def page_scans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """archive, page, terms, boxes of scanned books in XML: an OBJECT is a page, a WORD a word with its coords. Pages without words are left out, the others keep their number."""
+    books = _xml(spark, path, "_archive string, BODY struct<OBJECT:array<struct<WORD:array<struct<_VALUE:string,_coords:string>>>>>", lines)
+    pages = books.select(F.col("x._archive").alias("archive"), F.posexplode("x.BODY.OBJECT").alias("page", "o"))
+    kept = F.filter("o.WORD", lambda w: F.trim(w["_VALUE"]) != "")
+    return pages.select("archive", F.col("page").cast("long").alias("page"), F.transform(kept, lambda w: F.trim(w["_VALUE"])).alias("terms"), F.transform(kept, lambda w: w["_coords"]).alias("boxes")).filter(F.size("terms") > 0)
+
+
+#: Spark types of a codebook's kinds of variables.
+KINDS = {"categorical": "string", "number": "bigint", "real": "double", "text": "string", "date": "date"}
+
+
+def codebook_csv(spark: SparkSession, path: str, codebook: dict[str, str]) -> DataFrame:
+    """A CSV with a header whose columns have the types that the codebook gives (column to kind, in order); unknown kinds are an error."""
+    if unknown := sorted(set(codebook.values()) - set(KINDS)):
+        raise ValueError(f"unknown kinds of variables: {', '.join(unknown)}")
+    schema = ", ".join(f"`{c}` {KINDS[k]}" for c, k in codebook.items())
+    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=False)
+
+
+def annotated(spark: SparkSession, path: str) -> DataFrame:
+    """name, no, terms, lemmas, begin, end from lines of 'name TAB json', json holding sentences of pos, lemmas and tokens; places count over the document."""
+    parts = F.split("value", "\t", 2)
+    told = F.from_json(parts[1], "sentences array<struct<tokens:array<string>,lemmas:array<string>,pos:array<string>>>")
+    rows = spark.read.text(path).select(parts[0].alias("name"), F.posexplode(told["sentences"]).alias("no", "s"))
+    before = Window.partitionBy("name").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.size("s.tokens").cast("long")
+    begin = F.coalesce(F.sum(n).over(before), F.lit(0))
+    return rows.select("name", F.col("no").cast("long").alias("no"), F.col("s.tokens").alias("terms"), F.col("s.lemmas").alias("lemmas"), begin.alias("begin"), (begin + n).alias("end"))
+
+
+def annotations_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """mention, entity: the third and the eighth of tab-separated columns."""
+    c = F.split("value", "\t")
+    return spark.read.text(path).select(F.get(c, F.lit(2)).alias("mention"), F.get(c, F.lit(7)).alias("entity")).filter("entity is not null")
+
+
+def queries_json(spark: SparkSession, path: str) -> DataFrame:
+    """qid, text of files of {"queries": [{"number": ..., "text": ...}]}."""
+    rows = spark.read.option("multiLine", True).schema("queries array<struct<number:string,text:string>>").json(path)
+    return rows.select(F.inline("queries")).select(F.col("number").alias("qid"), "text")
+
+
+def voted_csv(spark: SparkSession, path: str, slots: int = 5) -> DataFrame:
+    """worker, qid, item, vote of a CSV with a header that has columns worker, qid and for each slot item_k and vote_k; empty slots are left out."""
+    rows = spark.read.csv(path, header=True)
+    cells = F.array(*[F.struct(F.col(f"item_{k}").alias("item"), F.col(f"vote_{k}").cast("int").alias("vote")) for k in range(1, slots + 1)])
+    return rows.select("worker", "qid", F.inline(cells)).filter("item is not null")
+
+
+def difficulty_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """query, difficulty, entities (sorted): lines of query, difficulty and an entity, which stands in the fourth column where there are more than three."""
+    c = F.split("value", "\t")
+    entity = F.when(F.size(c) > 3, F.get(c, F.lit(3))).otherwise(F.get(c, F.lit(2)))
+    rows = spark.read.text(path).select(c[0].alias("query"), F.get(c, F.lit(1)).alias("difficulty"), entity.alias("entity"))
+    return rows.groupBy("query").agg(F.min("difficulty").alias("difficulty"), F.array_sort(F.collect_set("entity")).alias("entities"))
+
+
+def prior_tsv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", schema="id string, score double", quote="")
+
+
+def topics_xml(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """qid, title, description of <topics> of <topic number=""><title/><description/></topic>."""
+    rows = _xml(spark, path, "topic array<struct<_number:string,title:string,description:string>>", lines).select(F.inline("x.topic"))
+    return rows.select(F.col("_number").alias("qid"), F.trim("title").alias("title"), F.trim("description").alias("description"))
+
+
+def topics_html(spark: SparkSession, path: str) -> DataFrame:
+    """qid, title from pages with <b>number</b> title parts, one a line."""
+    v = spark.read.text(path).filter(F.col("value").contains("<b>"))
+    return v.select(F.regexp_extract("value", "<b>([^<]*)</b>", 1).alias("qid"), F.trim(F.regexp_replace(F.regexp_extract("value", "</b>(.*)$", 1), "<[^>]*>", "")).alias("title"))
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """id, name, email of lines 'candidate-N name ... email'."""
+    c = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter(F.col("value").startswith("candidate-")).select(c[0].alias("id"), F.array_join(F.slice(c, 2, F.greatest(F.size(c) - 2, F.lit(0))), " ").alias("name"), F.element_at(c, -1).alias("email"))
+
+
+def zip_codes(spark: SparkSession, path: str) -> DataFrame:
+    """zip, city, state of a CSV without a header; the code 99999 stands for none."""
+    return spark.read.csv(path, schema="zip string, city string, state string").filter("zip <> '99999'")
+
+
+def surface_forms(people: DataFrame) -> DataFrame:
+    """form, id, kind: names, names without accents, and addresses as forms in lower case; people: id, name, email. Each form of an entity once."""
+    forms = F.array(F.struct(F.lower("name").alias("form"), F.lit("name").alias("kind")), F.struct(normal_name(F.col("name")).alias("form"), F.lit("plain").alias("kind")), F.struct(F.lower("email").alias("form"), F.lit("email").alias("kind")))
+    rows = people.select("id", F.inline(forms)).filter("form <> ''")
+    return rows.groupBy("form", "id").agg(F.min("kind").alias("kind"))
+
+
+def place_forms(zips: DataFrame, state_names: dict[str, str]) -> DataFrame:
+    """form, zip: a code alone, with city and state in several orders, and cities with the state's name; in lower case, each once."""
+    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in state_names.items() for x in pair]), F.col("state")), F.col("state")) if state_names else F.col("state")
+    c, st, z, sep = F.col("city"), F.col("state"), F.col("zip"), F.lit(" ")
+    made = [z, F.concat(c, sep, st), F.concat(c, sep, name), F.concat(c, sep, st, sep, z), F.concat(c, sep, name, sep, z), F.concat(c, sep, z), F.concat(st, sep, z), F.concat(name, sep, z), F.concat(z, sep, c), F.concat(z, sep, c, sep, st), F.concat(z, sep, c, sep, name), F.concat(z, sep, st), F.concat(z, sep, name)]
+    return zips.select("zip", F.explode(F.array_distinct(F.array(*[F.lower(x) for x in made]))).alias("form")).select("form", "zip")
+
+
+def dictionary_of_titles(titles: DataFrame, longest: int, title: str = "title") -> DataFrame:
+    """title, terms: titles in their dictionary form of one to longest terms; others are left out."""
+    return titles.select(F.col(title).alias("title"), token_array(normal_name(F.col(title))).alias("terms")).filter(F.size("terms").between(1, longest))
+
+
+def by_position(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Lines of two texts side by side: the rows of one number. Numbers come from Spark's row places in files read whole, in order."""
+    return left.join(right, "no").select("no", left["value"].alias("left"), right["value"].alias("right"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """no, value: the lines of one text file with their numbers; the file is one ordered stream."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("no", "value"))
+
+
+def parts_of_triples(spark: SparkSession, path: str, predicate: str, mark: str = "Category:") -> DataFrame:
+    """src, category of N-Triples with the predicate whose object's last part begins with mark."""
+    rows = triples(spark, path, predicate)
+    return rows.filter(F.col("dst").startswith(mark)).select("src", F.substr("dst", F.lit(len(mark) + 1)).alias("category"))
+
+
+def write_lines(rows: DataFrame, columns: list[Column | str], path: str, sep: str = "\t", most: int = 0) -> None:
+    """Columns joined by sep as lines, most lines in a file at most (0: any number)."""
+    text = F.concat_ws(sep, *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
+    writer = rows.select(text.alias("value")).write
+    (writer.option("maxRecordsPerFile", most) if most else writer).text(path)
+
+
+def write_qrels(grades: DataFrame, path: str) -> None:
+    """Lines 'qid 0 doc grade'."""
+    write_lines(grades, ["qid", F.lit("0"), "doc", "grade"], path, " ")
+
+
+def write_pages(rows: DataFrame, path: str, slots: int = 5) -> None:
+    """qid and slots items a line, with a header, from qid, item: items of a query in order, the last page filled up with the query's first items again."""
+    own = Window.partitionBy("qid").orderBy("item")
+    numbered = rows.select("qid", "item", (F.row_number().over(own) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("qid")).alias("n"))
+    lack = F.pmod(-F.col("n"), F.lit(slots))
+    again = numbered.filter(F.col("r") < lack).select("qid", "item", (F.col("r") + F.col("n")).alias("r"), "n")
+    placed = numbered.unionByName(again).withColumn("page", F.floor(F.col("r") / slots))
+    wide = placed.groupBy("qid", "page").agg(*[F.max(F.when(F.pmod("r", F.lit(slots)) == k, F.col("item"))).alias(f"item_{k + 1}") for k in range(slots)])
+    wide.select("qid", *[f"item_{k + 1}" for k in range(slots)]).write.csv(path, header=True)
+
+
+def named_archive(docs: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One compressed JSON line for each name: the first text in order of the other columns that a name has."""
+    first_by_name(docs.select(F.col(name).alias("name"), F.col(text).alias("text")), "name", "text").write.option("compression", "gzip").json(path)
+
+
+def dataset(spark: SparkSession, path: str) -> dict:
+    """What a dataset's configuration (one small JSON file) says: name, path of the documents, variables, tokenizer. Missing members are null."""
+    row = spark.read.option("multiLine", True).schema("name string, documents string, variables map<string,string>, tokenizer string").json(path).first()
+    return {} if row is None else row.asDict()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import shared
+
 
 def summaries(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key, n, mean, variance, stddev, least, most, total of each key's values; nulls don't count. For batches and streams.
@@ -25,8 +26,7 @@ def run_available(spark: SparkSession, path: str, key: str, value: str) -> DataF
     Each micro-batch replaces the written table of one row for each key, so a batch that is tried again does no harm.
     State and table stand in the session's shared checkpoint folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-termweave-")
-    own = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    own = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).select(key, value).schema
     live = summaries(spark.readStream.schema(schema).parquet(path), key, value)
 
