@@ -45,7 +45,7 @@ HOMOGLYPHS = {ord(k): v for k, v in (ARMENIAN | CYRILLIC | GREEK | LATIN).items(
 HOMOGLYPHS |= {0xFF01 + k: chr(0x21 + k) for k in range(94)} | {0x1D400 + k: chr((65, 97)[k // 26 % 2] + k % 26) for k in range(13 * 52)}
 HOMOGLYPHS |= {start + k: str(k) for start in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for k in range(10)}
 HOMOGLYPHS |= {0x00A0: " ", 0x2007: " ", 0x202F: " ", 0x2010: "-", 0x2011: "-", 0x2012: "-", 0x2013: "-", 0x2024: ".", 0x3002: "."}
-ODD = re.compile("[" + "".join(map(re.escape, map(chr, HOMOGLYPHS))) + "]")
+ODD = frozenset(map(chr, HOMOGLYPHS))
 #: Soft hyphen, zero-width space, non-joiner and joiner, word joiner, byte order mark.
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
@@ -69,8 +69,10 @@ REWRITE = re.compile(
     re.IGNORECASE,
 )
 NOT_SEEN = re.compile(f"[{INVISIBLE}]+")
-#: One of these stands in every text that a transducer can change, but for look-alikes; quicker to look for.
-TRIGGER = re.compile(rf"[\[({{<]\s?(?:at|dot|@|\.)|\s(?:at|dot)\s|[{INVISIBLE}]|\bplus\s|\b{NAME}\b", re.IGNORECASE)
+#: One of these stands in the case-folded form of every text that a transducer can change, but for look-alikes; quicker to look for.
+TRIGGER = re.compile(
+    rf"[\[({{<]\s?(?:at|dot|@|\.)|\sdot\s|\sat\s[a-z0-9-]+(?:{DOT}|\.)|[{INVISIBLE}]|plus\s(?:[0-9]|{NAME})|{NAME}(?:{GAP}(?:[0-9]|{NAME})|{DOT})|(?:[0-9]{GAP}|dot\s|[\])}}>]\s?){NAME}"
+)
 #: Ends what stands before a bare " at ", if that is no mailbox.
 NO_MAILBOX = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{ORDINARY})$", re.IGNORECASE)
 PLAIN_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![A-Za-z0-9-]|\sdot\s)")
@@ -149,6 +151,10 @@ class Transducer:
         return a, b, any(not kept for _, _, kept in self.runs[first : last + 1])
 
 
+def _odd(text: str) -> bool:
+    return not (text.isascii() or ODD.isdisjoint(text))
+
+
 def _disguises(text: str) -> Iterator[tuple[int, int, str]]:
     for m in REWRITE.finditer(text):
         kind = m.lastgroup
@@ -162,7 +168,7 @@ class Normalised:
     """A text after three transducers: look-alikes, one character for one; invisible characters go; disguises are rewritten."""
 
     def __init__(self, source: str):
-        same = source.translate(HOMOGLYPHS) if not source.isascii() and ODD.search(source) else source
+        same = source.translate(HOMOGLYPHS) if _odd(source) else source
         self.changed = [i for i, (a, b) in enumerate(zip(source, same, strict=True)) if a != b] if same is not source else []
         self.seen = Transducer(same, ((m.start(), m.end(), "") for m in NOT_SEEN.finditer(same)))
         self.plain = Transducer(self.seen.text, _disguises(self.seen.text))
@@ -177,7 +183,7 @@ class Normalised:
 
 def added(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
     """Spans that show only in the normalised text."""
-    if not (TRIGGER.search(text) or not text.isascii() and ODD.search(text)):
+    if not (_odd(text) or TRIGGER.search(text.casefold())):
         return [[], [], [], []]
     plain = Normalised(text)
     out = []
