@@ -7,29 +7,37 @@ from pyspark.sql import functions as F
 
 from .index import cut
 
+#: Nodes up to which scores are broadcast to the edges (16 bytes each); beyond it a step shuffles the edges by source.
+BROADCAST_NODES = 1_000_000
+
 
 def pagerank(edges: DataFrame, jump: float = 0.15, steps: int = 1000, tolerance: float = 1e-3) -> DataFrame:
     """node, score. Edges (src, dst) count as often as they occur; nodes without edges out spread their score over all.
 
-    Degrees and nodes are made once; each step is a join and an aggregate. A step reads the last one's scores
-    twice, so it is written to the shared folder after each.
+    Nodes are numbered once, so that steps move numbers only. A step is a join of edges with scores and a sum by
+    target, which is pre-aggregated in each task, so a target of a third of all edges costs a row for each task; its
+    result is written to the shared folder. What dangling nodes hold and how much changed come from one aggregate of it.
     """
     links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
     degree = links.groupBy("src").agg(F.sum("n").alias("degree"))
-    nodes = cut(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(degree, F.col("node") == F.col("src"), "left").select("node", "degree"))
+    names = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(degree, F.col("node") == F.col("src"), "left").select("node", "degree")
+    nodes = cut(names.withColumn("id", F.monotonically_increasing_id()))
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
-    share = cut(links.join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("part")))
-    rank = nodes.select("node", "degree", F.lit(1.0 / n).alias("score"))
+    small = n <= BROADCAST_NODES
+    sent = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    ids = nodes.select("node", "id", "degree")
+    share = links.join(sent(ids.select(F.col("node").alias("src"), F.col("id").alias("from"), "degree")), "src").join(sent(ids.select(F.col("node").alias("dst"), F.col("id").alias("to"))), "dst")
+    share = cut(share.select("from", "to", (F.col("n") / F.col("degree")).alias("part")))
+    rank = cut(nodes.select("id", F.col("degree").isNull().alias("open"), F.lit(1.0 / n).alias("score")))
+    lost = rank.agg(F.sum(F.when(F.col("open"), F.col("score")))).first()[0] or 0.0
     for _ in range(steps):
-        lost = F.sum(F.when(F.col("degree").isNull(), F.col("score")).otherwise(0.0))
-        got = share.join(rank.select(F.col("node").alias("src"), "score"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
-        dangling = F.broadcast(rank.agg(lost.alias("lost")))
-        new = rank.withColumnRenamed("score", "old").join(got, "node", "left").join(dangling)
-        new = new.select("node", "degree", "old", (jump / n + (1 - jump) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score"))
-        new = cut(new)
-        rank = new.select("node", "degree", "score")
-        if new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
+        got = share.join(sent(rank.select(F.col("id").alias("from"), "score")), "from").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("score") * F.col("part")).alias("got"))
+        score = jump / n + (1 - jump) * (F.coalesce("got", F.lit(0.0)) + lost / n)
+        new = cut(rank.withColumnRenamed("score", "old").join(got, "id", "left").select("id", "open", "old", score.alias("score")))
+        change, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("open"), F.col("score"))), F.lit(0.0))).first()
+        rank = new.select("id", "open", "score")
+        if change < tolerance:
             break
-    return rank.select("node", "score")
+    return nodes.select("node", "id").join(rank.select("id", "score"), "id").select("node", "score")

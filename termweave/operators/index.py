@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens as token_array
@@ -61,44 +65,98 @@ def unordered_pairs(docs: DataFrame, width: int = 8, key: str = "doc_id", text:
     return docs.select(F.col(key).alias("doc_id"), token_array(F.col(text)).alias("__t")).select("doc_id", F.inline(near)).filter("t_lo <> t_hi")
 
 
-#: Keys of pairs that are looked up inside the row; with more of them at the limit, they are joined.
-LITERAL_KEYS = 1_000
+#: Pairs that are counted together before a unit of them reports, and candidates that are broadcast at most (8 bytes each).
+UNIT, CANDIDATES = 4_000_000, 2_000_000
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def _pair_keys(near: int) -> Column:
-    """key, x, y (places) for each two different terms of __t at most near apart; the key is a hash of the terms' hashes __h, alike in both orders."""
-    h = F.col("__h")
-    key = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b))
-    return F.flatten(F.transform(h, lambda a, i: F.filter(F.transform(F.slice(h, i + 2, F.lit(near)), lambda b, j: F.struct(F.when(a != b, key(a, b)).alias("key"), i.alias("x"), (i + j + 1).alias("y"))), lambda p: p["key"].isNotNull())))
+def _pairs_of(terms: pa.Array, width: int, ordered: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of pairs less than width apart and the places of their terms, a distance at a time, from lists of hashed terms; of unordered pairs those of two different terms."""
+    flat = terms.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    row = np.repeat(np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+    for d in range(1, width):
+        x, y = flat[:-d], flat[d:]
+        at = np.flatnonzero((row[:-d] == row[d:]) & (ordered | (x != y)))
+        x, y = x[at], y[at]
+        first, last = (x, y) if ordered else (np.minimum(x, y), np.maximum(x, y))
+        key = first * _SPREAD[0] + (last ^ (last >> np.uint64(29))) * _SPREAD[1]
+        yield key ^ (key >> np.uint64(32)), at, at + d
 
 
-def top_unordered_pairs(docs: DataFrame, k: int, width: int = 8, text: str = "text") -> DataFrame:
-    """t_lo, t_hi, n: the k most frequent pairs of unordered_pairs, ties by terms.
+def _unit_counts(hashed: DataFrame, width: int, ordered: bool, k: int | None, least: int) -> DataFrame:
+    """unit, key, n: for each unit of about UNIT pairs its k most frequent keys, or all that come least times or more in it."""
 
-    Pairs are counted by a hash of 8 bytes first. Names are made for the pairs whose count by hash reaches the k-th
-    largest, and counted by name. Terms whose hashes collide only raise a count by hash, so the k best are among these
-    pairs if the k-th count by name reaches the limit; else the limit falls to that count.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def report() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            # ties at the cut may go: a unit's best only have to give a lower bound
+            at = np.argsort(-n, kind="stable")[:k] if k is not None else np.flatnonzero(n >= least)
+            return pa.record_batch([pa.array([uuid.uuid4().hex] * len(at), pa.string()), pa.array(keys[at].view(np.int64)), pa.array(n[at].astype(np.int64))], names=["unit", "key", "n"])
+
+        for batch in batches:
+            for keys, _, _ in _pairs_of(batch[0], width, ordered):
+                held.append(keys)
+                size += len(keys)
+            if size >= UNIT:
+                yield report()
+                size = 0
+        if size:
+            yield report()
+
+    return hashed.mapInArrow(run, "unit string, key long, n long")
+
+
+def top_pairs(docs: DataFrame, k: int, width: int = 2, ordered: bool = True, text: str = "text") -> DataFrame:
+    """first, last, n: the k most frequent pairs of terms less than width apart, ties by terms; unordered pairs are of two different terms, first the lesser.
+
+    Pairs aren't shuffled. Every unit of about UNIT pairs reports its k best, whose sums bound the k-th best count from
+    below; a pair that reaches the bound has its share of it in some unit, so the pairs that have that there are all
+    candidates, and only these are counted by name. Keys are hashes: two pairs of one key only raise its counts, and
+    counting by name parts them again.
     """
-    rows = docs.select(token_array(F.col(text)).alias("__t")).select("__t", F.transform("__t", lambda x: F.xxhash64(x)).alias("__h"))
-    keys = rows.select(F.explode(F.transform(_pair_keys(width - 1), lambda p: p["key"])).alias("key"))
-    counted = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    best = counted.orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count(F.lit(1))).first()
-    limit = best[0] if best[1] == k else 0
+    spark = docs.sparkSession
+    rows = docs.select(token_array(F.col(text)).alias("__t"))
+    hashed = rows.select(F.transform("__t", lambda x: F.xxhash64(x)).alias("__h"))
+    ends = (F.col("x"), F.col("y")) if ordered else (F.least("x", "y"), F.greatest("x", "y"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(ends[0].alias("first"), ends[1].alias("last")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first", "last").limit(k)
+
+    reported = cut(_unit_counts(hashed, width, ordered, k, 0))
+    units = reported.select("unit").distinct().count()
+    bound = reported.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count(F.lit(1))).first()
+    # by name a key's count may be less than by hash, which takes two pairs of one key among the best: the bound then falls
+    least = (bound[0] or 0) if bound[1] == k else 0
     while True:
-        wanted = counted.filter(F.col("n") >= (limit or 0)).select("key")
-        few = [r.key for r in wanted.limit(LITERAL_KEYS + 1).collect()]
-        term = lambda i: F.get(F.col("__t"), i)
-        named = lambda p: F.struct(p["key"].alias("key"), F.least(term(p["x"]), term(p["y"])).alias("t_lo"), F.greatest(term(p["x"]), term(p["y"])).alias("t_hi"))
-        if len(few) <= LITERAL_KEYS:
-            pairs = rows.select(F.inline(F.transform(F.filter(_pair_keys(width - 1), lambda p: p["key"].isin(few)), named)))
+        wanted = cut(_unit_counts(hashed, width, ordered, None, max(1, -(-least // max(units, 1)))).select("key").distinct())
+        if wanted.limit(CANDIDATES + 1).count() > CANDIDATES:
+            shared = None
         else:
-            pairs = rows.select(F.inline(F.transform(_pair_keys(width - 1), named))).join(wanted, "key", "left_semi")
-        top = cut(pairs.groupBy("t_lo", "t_hi").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t_lo", "t_hi").limit(k))
+            shared = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
+
+        def named(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                terms = batch[0].flatten()
+                for keys, x, y in _pairs_of(batch[1], width, ordered):
+                    if shared is not None and len(keys):
+                        known = shared.value
+                        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                        hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                        x, y = x[hit], y[hit]
+                    for a in range(0, len(x), 100_000):
+                        yield pa.record_batch([terms.take(pa.array(x[a : a + 100_000])), terms.take(pa.array(y[a : a + 100_000])), pa.array(np.ones(len(x[a : a + 100_000]), np.int64))], names=["x", "y", "n"])
+
+        both = rows.select("__t", F.transform("__t", lambda x: F.xxhash64(x)).alias("__h"))
+        top = cut(best(both.mapInArrow(named, "x string, y string, n long")))
         last = top.agg(F.min("n"), F.count(F.lit(1))).first()
         reached = last[0] if last[1] == k else 0
-        if not limit or reached >= limit:
+        if least <= max(reached, 1):
             return top
-        limit = reached
+        least = reached
 
 
 def covariate_cells(docs: DataFrame, x: str, y: str) -> DataFrame:

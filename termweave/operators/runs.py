@@ -115,7 +115,7 @@ def evaluated(scored: DataFrame, cuts: list[int]) -> DataFrame:
     best = scored.orderBy(F.desc("score"), "item_id").limit(max(cuts))
     best = best.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")))
     at = best.agg(*[F.round(F.count_if(F.col("positive") & (F.col("r") <= k)) / k, 6).alias(f"p_{k}") for k in cuts])
-    shown = whole.select("n", "tp", F.round(F.col("tp") / F.col("n"), 6).alias("accuracy"), F.round(F.col("tp") / F.col("kind"), 6).alias("precision"))
+    shown = whole.select("n", "tp", F.round(F.try_divide("tp", "n"), 6).alias("accuracy"), F.round(F.try_divide("tp", "kind"), 6).alias("precision"))
     return shown.join(F.broadcast(at))
 
 

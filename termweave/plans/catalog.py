@@ -85,11 +85,11 @@ def bow_relaxed(s, d):
 
 
 def bigrams_top(s, d):
-    return index.bigrams(_docs(s, d)).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t1", "t2").limit(100)
+    return index.top_pairs(_docs(s, d), 100).withColumnsRenamed({"first": "t1", "last": "t2"})
 
 
 def ubigrams_top(s, d):
-    return index.top_unordered_pairs(_docs(s, d), 100)
+    return index.top_pairs(_docs(s, d), 100, 8, ordered=False).withColumnsRenamed({"first": "t_lo", "last": "t_hi"})
 
 
 def slices_merged(s, d):
@@ -275,7 +275,17 @@ _STOP = "(" + ", ".join(map(repr, fn.STOPWORDS)) + ")"
 _TAG = f"{TOKS}, di as (select item_id phrase_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:5] t from benchmark), dp as (select phrase_id, unnest(t) term, unnest(range(5)) o from di where len(t) = 5), tag as (select phrase_id, doc_id, pos - o as start from tok join dp using (term) group by all having count(*) = 5)"
 _TAG5 = f"{TOKS}, bw as (select regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') w from benchmark), g5 as (select distinct array_to_string(w[i:i + 4], ' ') phrase from (select w, unnest(range(1, len(w) - 3)) i from bw)), tag5 as (select phrase, doc_id, i - 1 as start from (select doc_id, i, array_to_string(w[i:i + 4], ' ') phrase from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d)) join g5 using (phrase))"
 
+
+def _ranks(steps: int = 20) -> str:
+    """CTEs that end in r<steps>(n, score): steps of PageRank, each kept as it is once a step has changed less than 0.001."""
+    out = f"{TOKS}, ed as materialized (select distinct a.term s, b.term t from tok a join tok b on a.doc_id = b.doc_id and b.pos = a.pos + 1), dg as materialized (select s, count(*) d from ed group by s), nn as materialized (select s n from ed union select t from ed), k as materialized (select count(*)::double k from nn), r0 as materialized (select n, 1 / k score from nn, k), done0 as (select false stop)"
+    for i in range(1, steps + 1):
+        out += f", g{i} as materialized (select t n, sum(score / d) got from r{i - 1} join ed on n = s join dg using (s) group by t), l{i} as materialized (select coalesce(sum(score), 0) lost from r{i - 1} where n not in (select s from dg)), x{i} as materialized (select r.n, r.score old, 0.15::double / k + 0.85::double * (coalesce(got, 0) + lost / k) score from r{i - 1} r left join g{i} using (n), l{i}, k), r{i} as materialized (select n, case when stop then old else score end score from x{i}, done{i - 1}), done{i} as materialized (select stop or (select sum(abs(score - old)) from x{i}) < 1e-3 stop from done{i - 1})"
+    return out
+
+
 ORACLE_SQL = {
+    "pagerank_terms": f"{_ranks()} select n node, round(score, 8) score from r20",
     "tokens_stats": f"{TOKS} select (select count(*) from documents) n_docs, (select c from coll) coll_len, (select count(*) from st) n_terms",
     "term_stats_top": f"{TOKS} select term, cf, df from st order by cf desc, term limit 100",
     "doc_lengths": f"{TOKS} select doc_id, len from dl",

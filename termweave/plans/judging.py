@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..operators import expansion, graph, index, labeling, lookup, runs, search
 from ..sources import readers
-from .catalog import _BOTH, _POST, _STOP, TOKS, _both, _docs, _t, _toks, _top, _word_sets, pooling, ql_dirichlet
+from .catalog import _BOTH, _POST, _STOP, TOKS, _both, _docs, _ranks, _t, _toks, _word_sets, pooling, ql_dirichlet
 
 CUTS = [1, 5, 10, 20, 50, 100]
 SEEDS = [10, 50, 200]
@@ -236,5 +236,6 @@ ORACLE_SQL = {
     "category_counts": "with c as (select trim(unnest(flatten(list_transform(regexp_extract_all(text, '\\(([^()]*)\\)', 1), lambda x: string_split(x, ','))))) category from documents) select category, count(*) n from c where category <> '' group by category",
     "lce_all": f"{_POST}, t2 as (select qid, doc_id, term, count(*) tf from pp join tok using (doc_id) where term not in {_STOP} group by all), tt as (select qid, term from t2 group by all having sum(tf) > 1), sc as (select tt.qid, term, round(sum(score + ln((coalesce(t2.tf, 0) + 1000.0 * cf / c) / (len + 1000.0)) - ln(cf / c)), 6) score from tt join st using (term) join pp using (qid) join dl on dl.doc_id = pp.doc_id left join t2 on t2.term = tt.term and t2.doc_id = pp.doc_id and t2.qid = tt.qid cross join coll group by tt.qid, term) select qid, term, score from sc qualify row_number() over (partition by qid order by score desc, term) <= 30",
     "text_functions": "select page_id, split_part(url, '/', 1) \"before\", case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else url end \"after\", split_part(url, '/', -1) after_last, case when strpos(url, '/') > 0 then substr(url, 1, length(url) - length(split_part(url, '/', -1)) - 1) else url end before_last, case when starts_with(url, 'http://') then substr(url, 8) else url end no_front, case when ends_with(url, '/') then substr(url, 1, length(url) - 1) else url end no_back, replace(replace(url_encode(url), '%20', '+'), '~', '%7E') encoded, case when url is not null then true end decoded, md5(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')) plain_md5 from pages",
+    "pagerank_top": f"{_ranks()} select n node, round(ln(score), 6) score from r20 order by score desc, node limit 100",
     "term_maps": f"{TOKS} select d.doc_id, cast(len(list_distinct(w)) as bigint) n_terms, coalesce(m, 0) most from d left join (select doc_id, max(n) m from (select doc_id, term, count(*) n from tok group by all) group by doc_id) using (doc_id)",
 }
