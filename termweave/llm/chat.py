@@ -20,15 +20,36 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, materialise, table
 
-#: For each tool: the arguments it must have, and for each argument its longest length in characters and the values allowed (none: any).
+#: For each tool: the arguments it must have, and for each argument its longest length in characters, the values allowed
+#: (none: any) and its type (none: string); whether others than the arguments named in any of these are an error.
 SCHEMAS = {
-    "instruct": {"required": ["prompt"], "max_chars": {"prompt": 2000}, "one_of": {}},
-    "reply": {"required": ["prompt"], "max_chars": {"prompt": 400}, "one_of": {"role": ["user"]}},
+    "instruct": {"required": ["prompt"], "max_chars": {"prompt": 2000}, "one_of": {}, "types": {"prompt": "string", "role": "string"}, "closed": True},
+    "reply": {"required": ["prompt"], "max_chars": {"prompt": 400}, "one_of": {"role": ["user"]}, "types": {"prompt": "string", "role": "string"}, "closed": True},
 }
 
 
+def of_type(value: Column, kind: str | dict) -> Column:
+    """Whether an argument, given as text, is of a type: string, integer, number, boolean, array, object, or an object with a type for each member that it must have."""
+    if isinstance(kind, dict):
+        holds = of_type(value, "object")
+        for member, inner in sorted(kind.items()):
+            got = F.get_json_object(value, f"$['{member}']")
+            holds = holds & got.isNotNull() & of_type(got, inner)
+        return holds
+    whole = F.get_json_object(value, "$")
+    told = {
+        "string": F.lit(True),
+        "integer": value.rlike(r"^-?(?:0|[1-9][0-9]*)$"),
+        "number": value.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"),
+        "boolean": value.isin("true", "false"),
+        "array": whole.isNotNull() & F.ltrim(value).startswith("["),
+        "object": whole.isNotNull() & F.ltrim(value).startswith("{"),
+    }
+    return told[kind]
+
+
 def valid(name: Column, arguments: Column, schemas: dict) -> Column:
-    """Whether a map of arguments satisfies the schema of the tool; false for unknown tools."""
+    """Whether a map of arguments satisfies the schema of the tool; false for unknown tools. A null argument counts as missing."""
     out = F.lit(False)
     for tool, schema in sorted(schemas.items()):
         value = lambda key: F.element_at(arguments, F.lit(key))
@@ -39,6 +60,11 @@ def valid(name: Column, arguments: Column, schemas: dict) -> Column:
             holds = holds & F.coalesce(F.char_length(value(key)) <= most, F.lit(True))
         for key, allowed in sorted(schema["one_of"].items()):
             holds = holds & F.coalesce(value(key).isin(allowed), F.lit(True))
+        for key, kind in sorted(schema.get("types", {}).items()):
+            holds = holds & (value(key).isNull() | F.coalesce(of_type(value(key), kind), F.lit(False)))
+        if schema.get("closed"):
+            named = sorted({*schema["required"], *schema["max_chars"], *schema["one_of"], *schema.get("types", {})})
+            holds = holds & F.coalesce(F.size(F.array_except(F.map_keys(arguments), F.array(*map(F.lit, named)))) == 0, F.lit(True))
         out = F.when(name == tool, holds).otherwise(out)
     return F.coalesce(out, F.lit(False))
 

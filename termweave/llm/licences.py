@@ -1,8 +1,8 @@
 """Licence scans in DataFrame functions only.
 
 Texts and templates are normalised (lower case, words of ASCII letters and digits), cut into sets of word
-bigrams and compared by the Dice coefficient. Units are the lines of a document and the document as a
-whole. A unit meets only those templates whose size bounds allow the threshold; before that, units
+bigrams and compared by the Dice coefficient. Units are the lines of a document, its paragraphs of several
+lines (parted by lines without words) and the document as a whole; scan_runs() takes all runs of lines. A unit meets only those templates whose size bounds allow the threshold; before that, units
 without any of the words that a match must have are left out. Templates are a short fixed list and become a literal of the plan; units never leave their row, so
 nothing is shuffled.
 
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import SEPARATORS, lower_ascii, table
 
 #: Notices by which texts are put under public licences.
 TEMPLATES = {
@@ -96,22 +96,33 @@ def markers(known: list[tuple[str, list[str], int]], threshold: float) -> list[s
     return sorted(w for w in out if not any(v != w and v in w for v in out))  # letters and digits only
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each unit that reaches the threshold: key, line (from 0; -1 for the whole text), licence, dice."""
-    names = sorted((templates or TEMPLATES).items())
+#: Parts paragraphs.
+BLANK = f"\\n(?:[{SEPARATORS}]*\\n)+"
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each unit that reaches the threshold: key, unit (line, paragraph, text), number (from 0, of its kind), licence, dice.
+
+    A document of one line is that line alone, one of one paragraph that paragraph's lines and the whole text.
+    """
+    names = sorted(set(templates or [*TEMPLATES.items(), *TEXTS]))
     spark = docs.sparkSession
     known = spark.createDataFrame(names, "licence string, notice string").select("licence", bigrams(F.col("notice")).alias("grams")).collect()
     known = [(r.licence, r.grams, len(r.grams)) for r in known if r.grams]
     if not known:
-        return docs.select(F.col(key).alias(key), F.lit(0).alias("line"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).filter(F.lit(False))
+        return docs.select(F.col(key).alias(key), F.lit("").alias("unit"), F.lit(0).alias("number"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).filter(F.lit(False))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     marked = lambda c: c.rlike("(?i)" + "|".join(markers(known, threshold)))
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(F.col("t"), "\n")
-    units = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("unit")))
-    whole = F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.col("t").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
-    cut = docs.select(F.col(key).alias(key), t.alias("t")).filter(marked(F.col("t"))).select(key, F.inline(F.concat(units, whole))).filter(marked(F.col("unit")))
-    cut = cut.select(key, "line", bigrams(F.col("unit")).alias("grams"))
+    lines, parts = F.split(F.col("t"), "\n"), F.split(F.col("t"), BLANK)
+    unit = lambda kind, number, x: F.struct(F.lit(kind).alias("unit"), number.alias("number"), x.alias("part"))
+    several = lambda u: u["part"].contains("\n")
+    none = F.array().cast("array<struct<unit:string,number:int,part:string>>")
+    of_lines = F.transform(lines, lambda x, i: unit("line", i, x))
+    of_parts = F.when(F.size(parts) > 1, F.filter(F.transform(parts, lambda x, i: unit("paragraph", i, x)), several)).otherwise(none)
+    whole = F.when(F.size(lines) > 1, F.array(unit("text", F.lit(0), F.col("t")))).otherwise(none)
+    cut = docs.select(F.col(key).alias(key), t.alias("t")).filter(marked(F.col("t"))).select(key, F.inline(F.concat(of_lines, of_parts, whole))).filter(marked(F.col("part")))
+    cut = cut.select(key, "unit", "number", bigrams(F.col("part")).alias("grams"))
     n = F.size("grams")
 
     def dice(order: int, name: str, grams: list[str], size: int) -> Column:
@@ -121,8 +132,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     # the greatest by dice, then the name that sorts first: templates are in reverse order of names
     best = F.array_max(F.array(*[dice(k, *x) for k, x in enumerate(reversed(known))]))
-    found = cut.select(key, "line", F.explode(F.array(best)).alias("best")).filter(F.col("best").isNotNull())
-    return found.select(key, "line", F.col("best.licence").alias("licence"), F.round("best.dice", 6).alias("dice"))
+    found = cut.select(key, "unit", "number", F.explode(F.array(best)).alias("best")).filter(F.col("best").isNotNull())
+    return found.select(key, "unit", "number", F.col("best.licence").alias("licence"), F.round("best.dice", 6).alias("dice"))
 
 
 def scan_runs(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,18 +200,21 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    return ", ".join(f"('{a}', '{b}')" for a, b in sorted(TEMPLATES.items()))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in sorted({*TEMPLATES.items(), *TEXTS}))
 
 
 _GRAMS = "case when len(w) <= 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end"
 ORACLE_SQL = f"""
 with t as (select licence, list_filter(string_split_regex(lower(notice), '[^a-z0-9]+'), lambda x: x <> '') w from (values {_values()}) v(licence, notice)),
 known as (select licence, {_GRAMS} g from t),
-lines as (select doc_id, string_split(coalesce(text, ''), chr(10)) l, coalesce(text, '') text from documents),
-units as (select doc_id, unnest(range(0, len(l))) line, unnest(l) unit from lines union all select doc_id, -1, text from lines where len(l) > 1),
-words as (select doc_id, line, list_filter(string_split_regex(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') w from units),
-grams as (select doc_id, line, {_GRAMS} g from words where len(w) > 0),
-scored as (select doc_id, line, licence, 2 * len(list_intersect(grams.g, known.g)) / (len(grams.g) + len(known.g)) dice
+texts as (select doc_id, coalesce(text, '') text, string_split(coalesce(text, ''), chr(10)) l, string_split_regex(coalesce(text, ''), '{BLANK}') p from documents),
+units as (select doc_id, 'line' unit, unnest(range(0, len(l))) number, unnest(l) part from texts
+  union all select * from (select doc_id, 'paragraph', unnest(range(0, len(p))), unnest(p) part from texts where len(p) > 1) where contains(part, chr(10))
+  union all select doc_id, 'text', 0, text from texts where len(l) > 1),
+words as (select doc_id, unit, number, list_filter(string_split_regex(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') w from units),
+grams as (select doc_id, unit, number, {_GRAMS} g from words where len(w) > 0),
+scored as (select doc_id, unit, number, licence, 2 * len(list_intersect(grams.g, known.g)) / (len(grams.g) + len(known.g)) dice
   from grams join known on len(grams.g) between len(known.g) * {THRESHOLD / (2 - THRESHOLD)!r} and len(known.g) * {(2 - THRESHOLD) / THRESHOLD!r})
-select doc_id, cast(line as integer) line, licence, round(dice, 6) dice from scored where dice >= {THRESHOLD}
-qualify row_number() over (partition by doc_id, line order by dice desc, licence) = 1"""
+select doc_id, unit, cast(number as integer) number, licence, round(dice, 6) dice from scored where dice >= {THRESHOLD}
+qualify row_number() over (partition by doc_id, unit, number order by dice desc, licence) = 1"""

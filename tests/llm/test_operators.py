@@ -111,7 +111,23 @@ def test_urls(spark):
 
 def test_licences(spark):
     got = licences.scan(spark.createDataFrame([(1, "hello\nlicensed under the apache license version 2.0"), (2, None), (3, "")], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.line, r.licence, r.dice) for r in got) == [(1, -1, "Apache-2.0", 0.933333), (1, 1, "Apache-2.0", 1.0)]
+    assert sorted((r.doc_id, r.unit, r.number, r.licence, r.dice) for r in got) == [(1, "line", 1, "Apache-2.0", 1.0), (1, "text", 0, "Apache-2.0", 0.933333)]
+
+
+def test_licence_paragraphs_and_repeated_rows(spark):
+    """Whole licences, wrapped or not, as paragraphs of longer texts; ties go to the name that sorts first."""
+    wrapped = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    texts = dict(licences.TEXTS)
+    story = "\n".join(f"line {k} says thing {k * 7}" for k in range(80))
+    rows = [(1, f"{story}\n \n{wrapped(texts['MIT'], 9)}\n\n{story}", "a", 5), (2, f"{story}\n\n{texts['ISC']}", "a", 5), (3, wrapped(texts["BSD-3-Clause"], 12), "a", 5), (3, wrapped(texts["BSD-3-Clause"], 12), "a", 5), (4, "", "a", 5), (5, story * 300, "a", 5), (None, None, "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, unit string, number int")
+    got = sorted((r.doc_id, r.unit, r.number, r.licence) for r in licences.scan(docs).collect() if r.unit != "line")
+    assert got == [(1, "paragraph", 1, "MIT"), (3, "text", 0, "BSD-3-Clause"), (3, "text", 0, "BSD-3-Clause")]
+    lines = [(r.doc_id, r.number, r.licence) for r in licences.scan(docs).collect() if r.unit == "line"]
+    assert (2, 81, "ISC") in lines
+    assert licences.scan(docs.limit(0)).count() == 0
+    twins = [("B", "one two three four"), ("A", "one two three four")]
+    assert [r.licence for r in licences.scan(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string"), twins).collect()] == ["A"]
 
 
 def test_chat_order_and_cycles(spark):
@@ -122,6 +138,15 @@ def test_chat_order_and_cycles(spark):
     assert got["a"].line == '{"arguments":{"prompt":"p","role":"user"},"id":"a","name":"reply","result":"r"}'
 
 
+def test_chat_schema_types(spark):
+    schemas = {"t": {"required": ["n"], "max_chars": {}, "one_of": {"unit": ["c", "f"]}, "types": {"n": "integer", "x": "number", "b": "boolean", "l": "array", "o": {"a": "integer", "s": {"k": "string"}}}, "closed": True}}
+    good = [{"n": "3"}, {"n": "-12", "x": "1.5e3", "b": "true"}, {"n": "0", "l": "[1,2]", "o": '{"a": 1, "s": {"k": "v"}}'}, {"n": "1", "unit": "c", "x": None}]
+    bad = [{}, {"n": "3.0"}, {"n": "x"}, {"n": "1", "x": "1."}, {"n": "1", "b": "yes"}, {"n": "1", "l": "{}"}, {"n": "1", "o": "[]"}, {"n": "1", "o": '{"a": "z", "s": {"k": "v"}}'}, {"n": "1", "o": '{"a": 1}'}, {"n": "1", "more": "1"}, {"n": "1", "unit": "k"}, {"n": None}]
+    rows = spark.createDataFrame([(k, "t", a, "clash") for k, a in enumerate(good + bad)] + [(99, "unknown", {"n": "1"}, "clash"), (98, None, None, None)], "k int, name string, arguments map<string,string>, content string")
+    got = {r.k: r.v for r in rows.select("k", chat.valid(F.col("name"), F.col("arguments"), schemas).alias("v")).collect()}
+    assert got == {k: k < len(good) for k in range(len(good + bad))} | {99: False, 98: False}
+
+
 def test_chat_levels_equal_longest_paths(spark):
     rng = np.random.default_rng(5)
     waits = {f"c{k}": [f"c{k - 1}"] if k % 40 else [] for k in range(1, 120)} | {"c0": []}  # chains of forty
