@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -17,6 +18,38 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def words(text: Column) -> Column:
+    """Lower-case parts between white space."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
+
+
+def cased(text: Column) -> Column:
+    """Runs of letters and digits as they are written."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+#: Tokenizers by name: a text column to an array of terms.
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"tokens": tokens, "words": words, "cased": cased}
+
+
+def register_tokenizer(name: str, tokenizer: Callable[[Column], Column]) -> None:
+    if name in TOKENIZERS:
+        raise ValueError(f"there is a tokenizer {name}")
+    TOKENIZERS[name] = tokenizer
+
+
+def tokenizer(name: str) -> Callable[[Column], Column]:
+    if name not in TOKENIZERS:
+        raise KeyError(f"no tokenizer {name}; known: {', '.join(sorted(TOKENIZERS))}")
+    return TOKENIZERS[name]
+
+
+def visible(html: Column) -> Column:
+    """What a page shows: without scripts, styles, comments and tags, white space compacted."""
+    bare = F.regexp_replace(strip_comments(html), r"(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")
+    return compact_spaces(F.regexp_replace(bare, r"<[^>]*>", " "))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value made once: the optimizer may write a column's expression out wherever the column stands, inside lambdas too, but not a lambda's variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -52,9 +85,24 @@ def strip_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
 
 
+def _folds() -> tuple[str, str]:
+    """Letters with marks of the Latin, Greek and Cyrillic blocks, and the letters without them: those that decompose into one base and marks alone."""
+    marked, plain = [], []
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        base = [c for c in parts if not unicodedata.combining(c)]
+        if len(parts) > 1 and len(base) == 1:
+            marked.append(chr(code))
+            plain.append(base[0])
+    return "".join(marked), "".join(plain)
+
+
+MARKED, PLAIN = _folds()
+
+
 def fold_accents(text: Column) -> Column:
-    """Letters without their marks, for the Latin letters of Western Europe."""
-    return F.translate(text, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+    """Letters without their marks: precomposed ones, and combining marks behind any letter."""
+    return F.translate(F.regexp_replace(text, "[\u0300-\u036f]", ""), MARKED, PLAIN)
 
 
 def normal_name(text: Column) -> Column:

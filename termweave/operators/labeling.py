@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,3 +101,42 @@ def judged_features(items: DataFrame, judged: DataFrame) -> DataFrame:
     """feature, positive, negative: in how many judged items of each kind a feature stands."""
     own = items.join(judged, "item_id").select("positive", F.explode("features").alias("feature"))
     return own.groupBy("feature").agg(F.count_if("positive").alias("positive"), F.count_if(~F.col("positive")).alias("negative"))
+
+
+class Classifier(Protocol):
+    """What a classifier of items by features offers: examples are item_id, positive, features; a model is feature, weight (the bias has feature null)."""
+
+    def train(self, examples: DataFrame) -> DataFrame: ...
+
+    def score(self, items: DataFrame, model: DataFrame) -> DataFrame: ...
+
+
+class Perceptron:
+    """Averaged shards of perceptrons."""
+
+    def __init__(self, passes: int = 10):
+        self.passes = passes
+
+    def train(self, examples: DataFrame) -> DataFrame:
+        return train_perceptron(examples.select(F.lit(1).cast("long").alias("label_id"), "item_id", "positive", "features"), self.passes).select("feature", "weight")
+
+    def score(self, items: DataFrame, model: DataFrame) -> DataFrame:
+        return score_all(items, model)
+
+
+class Difference:
+    """Counts of positive less negative items; the features strongest either way."""
+
+    def __init__(self, features: int = 100):
+        self.features = features
+
+    def train(self, examples: DataFrame) -> DataFrame:
+        weights = difference_weights(examples.select("item_id", "features"), examples.select("item_id", "positive"))
+        return strongest_by_size(weights, self.features).select("feature", F.col("weight").cast("double").alias("weight"))
+
+    def score(self, items: DataFrame, model: DataFrame) -> DataFrame:
+        return score_all(items, model)
+
+
+#: Classifiers by name.
+CLASSIFIERS: dict[str, type] = {"perceptron": Perceptron, "difference": Difference}

@@ -182,3 +182,22 @@ def sequential_dependence(toks: DataFrame, doc_stats: DataFrame, query: list[str
     pairs = ranked_.crossJoin(F.broadcast(weight)).join(tf, ["doc_id", "unit"], "left").join(doc_stats, "doc_id").join(F.broadcast(coll))
     scored = pairs.groupBy("doc_id").agg(F.sum(F.col("weight") * dirichlet(F.coalesce("tf", F.lit(0)), F.col("len"), F.col("cf"), F.col("coll"), mu)).alias("score"))
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def _bag(toks: DataFrame, terms: list[str], width: int, stopwords: list[str]) -> DataFrame:
+    return relaxed_passages(toks, meaningful(terms, stopwords), width).select("doc_id", F.col("pos").alias("start"), F.lit(width).alias("size"))
+
+
+#: Ways to find a query's hits by name: doc_id, start, size from tokens, terms, a width and stopwords.
+METHODS = {
+    "phrase": lambda toks, terms, width, stopwords: phrases(toks, {0: terms}).select("doc_id", "start", "size"),
+    "window": lambda toks, terms, width, stopwords: passages(toks, terms, width).filter(F.col("n_present") == len(set(terms))).select("doc_id", F.col("pos").alias("start"), F.lit(width).alias("size")),
+    "bag": _bag,
+}
+
+
+def find_hits(toks: DataFrame, terms: list[str], method: str = "phrase", width: int = 32, stopwords: list[str] | None = None) -> DataFrame:
+    """doc_id, start, size of a query's hits by one of METHODS; an unknown method is an error."""
+    if method not in METHODS:
+        raise KeyError(f"no method {method}; known: {', '.join(sorted(METHODS))}")
+    return METHODS[method](toks, terms, width, stopwords or [])

@@ -81,10 +81,11 @@ def mention_counts(spark: SparkSession, path: str) -> DataFrame:
     return v.select("mention", F.substring_index("x", " ", 1).alias("entity"), F.substring_index("x", " ", -1).cast("long").alias("n"))
 
 
-def first_by_name(docs: DataFrame, name: str, order: str) -> DataFrame:
-    """One row for each name: the first in order."""
+def first_by_name(docs: DataFrame, name: str, order: str, prefix: str = "") -> DataFrame:
+    """One row for each name: the first in order; prefix goes before the names, so that corpora can be put together."""
     whole = F.struct(*docs.columns)
-    return docs.groupBy(F.col(name).alias("__n")).agg(F.min_by(whole, F.col(order)).alias("x")).select("x.*")
+    out = docs.groupBy(F.col(name).alias("__n")).agg(F.min_by(whole, F.col(order)).alias("x")).select("x.*")
+    return out.withColumn(name, F.concat(F.lit(prefix), F.col(name))) if prefix else out
 
 
 def escaped_tsv(spark: SparkSession, path: str) -> DataFrame:
