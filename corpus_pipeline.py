@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators: quality rules, line dedup, near-duplicate removal, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the shared
-folder and reads them again for the next. All stages but the last return the columns of documents.
+folder and reads them again for the next, and removes what is no longer read. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm import bpe, jaccard, linededup, mixing, quality
-from termweave.llm.common import materialise, table
+from termweave.llm.common import discard, settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if not k else materialise(docs), sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

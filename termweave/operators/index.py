@@ -216,13 +216,13 @@ class StoredIndex:
 
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share. One of our own only if the session names none and all its tasks run in the driver's process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if spark.sparkContext.master.partition("[")[0] != "local":
+        if context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-termweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-termweave-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
