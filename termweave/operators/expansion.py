@@ -15,11 +15,11 @@ def posteriors(scored: DataFrame, by: str = "qid") -> DataFrame:
 
 def relevance_model(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, terms: int = 30, drop: list[str] | None = None) -> DataFrame:
     """qid, term, weight: mean over the ranked documents (qid, doc_id, posterior) of posterior times tf / length, the best terms of each query."""
-    tf = toks.join(F.broadcast(top.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = toks.join(top.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = tf.filter(~F.col("term").isin(drop)) if drop else tf
     joined = top.join(tf, "doc_id").join(doc_stats, "doc_id")
     n = top.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    weight = joined.groupBy("qid", "term").agg(F.sum(F.col("posterior") * F.col("tf") / F.col("len")).alias("w")).join(F.broadcast(n), "qid").select("qid", "term", F.round(F.col("w") / F.col("n"), 9).alias("weight"))
+    weight = joined.groupBy("qid", "term").agg(F.sum(F.col("posterior") * F.col("tf") / F.col("len")).alias("w")).join(n, "qid").select("qid", "term", F.round(F.col("w") / F.col("n"), 9).alias("weight"))
     r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("weight"), "term"))
     return weight.withColumn("r", r).filter(F.col("r") <= terms).drop("r")
 
@@ -46,27 +46,11 @@ def mixed(queries: dict[str, dict[str, float]], expansion: DataFrame, original:
     return out
 
 
-def local_context(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats: DataFrame, mu: float = 1000.0, k: int = 30, drop: list[str] | None = None) -> DataFrame:
-    """term, score: sum over the ranked documents of score + ln((tf + mu cf/C) / (len + mu)) - ln(cf/C), for terms that occur there twice or more.
-
-    Documents without the term count too, so each term meets each ranked document: both sides are short lists.
-    """
-    own = toks.join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi")
-    tf = own.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("n")).filter("n > 1").select("term")
-    terms = terms.filter(~F.col("term").isin(drop)) if drop else terms
-    coll = stats.agg(F.sum("cf").alias("coll"))
-    pairs = terms.join(stats.select("term", "cf"), "term").join(F.broadcast(top.join(doc_stats, "doc_id").select("doc_id", "score", "len"))).join(tf, ["doc_id", "term"], "left").join(F.broadcast(coll))
-    p = F.col("cf") / F.col("coll")
-    one = F.col("score") + F.ln((F.coalesce("tf", F.lit(0)) + mu * p) / (F.col("len") + mu)) - F.ln(p)
-    return pairs.groupBy("term").agg(F.round(F.sum(one), 6).alias("score")).orderBy(F.desc("score"), "term").limit(k)
-
-
 def local_contexts(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats: DataFrame, mu: float = 1000.0, k: int = 30, drop: list[str] | None = None) -> DataFrame:
-    """qid, term, score: local_context() for every query of the ranked lists (qid, doc_id, score), its k best terms.
+    """qid, term, score for the ranked lists (qid, doc_id, score): a query's k best terms that occur in its documents twice or more.
 
-    A term scores ln((tf + mu cf/C) / (len + mu)) in documents with it; what documents without it add depends on the
-    term's frequency alone, but for their lengths, so terms meet the documents of their own query only.
+    A term's score is the sum over its query's documents of score + ln((tf + mu cf/C) / (len + mu)) - ln(cf/C); documents
+    without the term count too, so terms meet all documents of their own query, which are a short list.
     """
     own = top.join(doc_stats, "doc_id").select("qid", "doc_id", "score", "len")
     tf = toks.join(top.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -40,7 +40,7 @@ def z_scores(features: DataFrame) -> DataFrame:
     """qid, doc_id, fid, z from long features: means and deviations by feature are an aggregate, joined back."""
     s = features.groupBy("fid").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     z = F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0)
-    return features.join(F.broadcast(s), "fid").select("qid", "doc_id", "fid", F.round(z, 6).alias("z"))
+    return features.join(s, "fid").select("qid", "doc_id", "fid", F.round(z, 6).alias("z"))
 
 
 def impute_least(features: DataFrame, pairs: DataFrame) -> DataFrame:

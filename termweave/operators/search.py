@@ -33,13 +33,6 @@ def phrases(toks: DataFrame, wanted: dict[int, list[str]]) -> DataFrame:
     return placed.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count(F.lit(1)).alias("n")).filter("n = size").drop("n")
 
 
-def dictionary_hits(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The same for a dictionary of any length (phrase_id, terms): joins on the first term's place, then by part."""
-    parts = dictionary.select("phrase_id", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    votes = toks.join(parts, "term").select("phrase_id", "doc_id", (F.col("pos") - F.col("offset")).alias("start"), "size")
-    return votes.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count(F.lit(1)).alias("n")).filter("n = size").drop("n")
-
-
 def passages(toks: DataFrame, terms: list[str], width: int) -> DataFrame:
     """doc_id, pos, n_present: starts of unordered windows of width over all terms that the document has.
 

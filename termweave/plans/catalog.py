@@ -131,7 +131,7 @@ def rm1_terms(s, d):
 
 def lce_terms(s, d):
     t = _toks(s, d)
-    return expansion.local_context(ql_dirichlet(s, d).filter("qid = 'q1'"), t, index.doc_stats(_docs(s, d)), index.term_stats(t), drop=fn.STOPWORDS)
+    return expansion.local_contexts(ql_dirichlet(s, d).filter("qid = 'q1'"), t, index.doc_stats(_docs(s, d)), index.term_stats(t), drop=fn.STOPWORDS).select("term", "score")
 
 
 def _dictionary(s, d):

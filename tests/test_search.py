@@ -1,7 +1,7 @@
-"""Small corpora with results worked out by hand, and every query against its SQL."""
+"""Small corpora with results worked out by hand."""
 
 from termweave.functions import text
-from termweave.operators import cooccur, graph, index, labeling, runs, search
+from termweave.operators import cooccur, entities, graph, index, labeling, runs, search
 from termweave.plans import catalog
 
 TOY = ["this is the time for all good men to come to the party", "the quick brown fox jumped over the lazy dog", "any dog would want to go to a party"]
@@ -21,7 +21,8 @@ def test_phrases(spark):
     words = {78: "party", 90: "dog", 80: "lazy dog", 77: "all good men", 79: "quick brown fox", 144: "not in here"}
     d = spark.createDataFrame([(k, v.split()) for k, v in words.items()], "phrase_id int, terms array<string>")
     want = [(0, 5, 3, 77), (0, 12, 1, 78), (1, 1, 3, 79), (1, 7, 2, 80), (1, 8, 1, 90), (2, 1, 1, 90), (2, 8, 1, 78)]
-    assert rows(search.dictionary_hits(t, d), "doc_id", "start", "size", "phrase_id") == want
+    docs = spark.createDataFrame(list(enumerate(TOY)), "doc_id long, text string")
+    assert rows(entities.mentions(docs, d, "phrase_id"), "doc_id", "start", "size", "phrase") == want
 
 
 def test_overlapping_patterns(spark):
