@@ -65,7 +65,7 @@ def json_documents(spark: SparkSession, path: str, variables: str = "") -> DataF
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """doc, sentence, pos, word, pos_tag, chunk, ner from four-column blocks; one file is one ordered stream, files run in parallel."""
-    v = spark.read.text(path, wholetext=True).select(F.md5("value").alias("file"), F.posexplode(F.split("value", r"\n")).alias("line", "value"))
+    v = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").select("file", F.posexplode(F.split("value", r"\n")).alias("line", "value"))
     upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     marked = v.withColumns({"doc": F.sum(F.col("value").startswith("-DOCSTART-").cast("int")).over(upto), "sentence": F.sum((F.trim("value") == "").cast("int")).over(upto)})
     c = F.split(F.trim("value"), r"\s+")
@@ -129,7 +129,8 @@ def annotated(spark: SparkSession, path: str) -> DataFrame:
     """name, no, terms, lemmas, begin, end from lines of 'name TAB json', json holding sentences of pos, lemmas and tokens; places count over the document."""
     parts = F.split("value", "\t", 2)
     told = F.from_json(parts[1], "sentences array<struct<tokens:array<string>,lemmas:array<string>,pos:array<string>>>")
-    rows = spark.read.text(path).select(parts[0].alias("name"), F.posexplode(told["sentences"]).alias("no", "s"))
+    # names first: next to a generator they would be made again for each sentence
+    rows = spark.read.text(path).select(parts[0].alias("name"), told["sentences"].alias("s")).select("name", F.posexplode("s").alias("no", "s"))
     before = Window.partitionBy("name").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     n = F.size("s.tokens").cast("long")
     begin = F.coalesce(F.sum(n).over(before), F.lit(0))
