@@ -14,6 +14,7 @@ repeated rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
+#: Letters from which a word seldom stands in texts that are no licence.
+LONG_WORD = 7
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
@@ -83,17 +86,39 @@ def _pairs(w: Column) -> Column:
 
 
 def markers(known: list[tuple[str, list[str], int]], threshold: float) -> list[str]:
-    """Words of which every unit that reaches the threshold has one, as a substring of its lower-case text.
+    """Patterns of which every unit that reaches the threshold matches one, in its lower-case text: long words, or two short ones beside each other.
 
     Such a unit shares at least threshold / 2 * (1 + low) of a template's bigrams, so among any more than the
-    rest one is shared; the longest are taken, and of each its longer word.
+    rest one is shared. Long words are taken by how many such bigrams they cover, so that a few that a template
+    repeats stand for many; what then is still needed are bigrams.
     """
     share = threshold / 2 * (1 + threshold / (2 - threshold))
-    out = set()
+    words: set[str] = set()
+    pairs: set[str] = set()
     for _, grams, size in known:
-        spare = size - math.ceil(share * size - 1e-9) + 1
-        out |= {max(g.split(" "), key=len) for g in sorted(grams, key=lambda g: (-max(map(len, g.split(" "))), g))[:spare]}
-    return sorted(w for w in out if not any(v != w and v in w for v in out))  # letters and digits only
+        covered = [g for g in grams if g in pairs or any(w in words for w in g.split(" "))]
+        spare = size - math.ceil(share * size - 1e-9) + 1 - len(covered)
+        left = [g for g in grams if g not in covered]
+        while spare > 0 and left:
+            covers = Counter(w for g in left for w in set(g.split(" ")) if len(w) >= LONG_WORD)
+            if covers:
+                best = min(covers, key=lambda w: (-covers[w], -len(w), w))
+                words.add(best)
+                spare, left = spare - covers[best], [g for g in left if best not in g.split(" ")]
+            else:
+                left.sort(key=lambda g: (-len(g), g))
+                pairs.add(left.pop(0))
+                spare -= 1
+    words = {w for w in words if not any(v != w and v in w for v in words)}  # letters and digits only
+    return sorted(words | {"[^a-z0-9]+".join(g.split(" ")) for g in pairs})
+
+
+def _any_of(patterns: list[str]) -> str:
+    """A pattern for any of these in either case, by first letters, so that a place is tried once for each letter."""
+    by: dict[str, list[str]] = {}
+    for w in patterns:
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?i)" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by.items()))
 
 
 #: Parts paragraphs.
@@ -112,7 +137,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     if not known:
         return docs.select(F.col(key).alias(key), F.lit("").alias("unit"), F.lit(0).alias("number"), F.lit("").alias("licence"), F.lit(0.0).alias("dice")).filter(F.lit(False))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    marked = lambda c: c.rlike("(?i)" + "|".join(markers(known, threshold)))
+    marked = lambda c: c.rlike(_any_of(markers(known, threshold)))
     t = F.coalesce(F.col(text), F.lit(""))
     lines, parts = F.split(F.col("t"), "\n"), F.split(F.col("t"), BLANK)
     unit = lambda kind, number, x: F.struct(F.lit(kind).alias("unit"), number.alias("number"), x.alias("part"))
@@ -157,7 +182,7 @@ def scan_runs(docs: DataFrame, templates: list[tuple[str, str]] | None = None, t
     share = threshold / 2 * (1 + low)
     t = F.coalesce(F.col(text), F.lit(""))
     cut = docs.select(F.col(key).alias("__key"), t.alias("t"))
-    cut = cut.filter(F.col("t").rlike("(?i)" + "|".join(markers(told, threshold)))) if told else cut
+    cut = cut.filter(F.col("t").rlike(_any_of(markers(told, threshold)))) if told else cut
     # lines with words, their numbers, and all bigrams of the text
     lines = F.filter(F.transform(F.split(F.col("t"), "\n"), lambda x, i: F.struct(i.alias("line"), _words(x).alias("w"))), lambda x: F.size(x["w"]) > 0)
     cut = cut.select("__key", F.monotonically_increasing_id().alias("row"), lines.alias("l")).withColumn("all", F.get(F.transform(F.array(F.flatten(F.col("l.w"))), _pairs), F.lit(0)))
