@@ -32,6 +32,8 @@ ALPHABET = 71
 BEGIN, OTHER = "\x02", "\x03"
 #: One in so many URLs is held out, by hash of the URL.
 HOLD_OUT = 5
+#: URLs that a task cuts into grams, about.
+TASK = 20_000
 #: Scores are compared with thresholds on this grid.
 GRID = 0.02
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -89,7 +91,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """For each row of pages: key, url, host, path, rule, verdict, score, threshold."""
-    u = F.col("url")
+    spark, u = pages.sparkSession, F.col("url")
     read = pages.select(F.col(key).alias("id"), F.col(url).alias("url"))
     # a URL that occurs often is judged once
     urls = read.filter(u.isNotNull() & (u != "")).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
@@ -97,7 +99,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     fold = F.pmod(F.xxhash64("url"), F.lit(HOLD_OUT)) == 0
     train = lambda verdict: F.sum(F.when((F.col("by") == verdict) & ~F.col("held"), F.col("n")).otherwise(0))
     urls = materialise(urls.select("url", "n", "by", fold.alias("held"), F.xxhash64("url").alias("u"), F.xxhash64("url", F.lit(1)).alias("v")))
-    cut = urls.select("u", "v", "n", "by", "held", F.explode(_grams(u)).alias("gram"))
+    # URLs are small and their grams many: dealt out by their number, not by their bytes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), urls.count() // TASK + 1)
+    cut = urls.repartition(parts, "u").select("u", "v", "n", "by", "held", F.explode(_grams(u)).alias("gram"))
     grams = materialise(cut.groupBy("gram").agg(train("allow").alias("a"), train("block").alias("r")))
     scores = gram_scores(grams)
     scored = cut.join(scores, "gram").groupBy("u", "v").agg(F.avg(F.col("score").cast("decimal(20,9)")).cast("double").alias("score"), F.first("n").alias("n"), F.first("by").alias("by"), F.first("held").alias("held"))
