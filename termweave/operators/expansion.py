@@ -70,12 +70,12 @@ def local_contexts(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats:
 ENTITY_METHODS = ("rm", "drm", "gdrm", "gnb")
 
 
-def entity_scores(top: DataFrame, mentions: DataFrame, doc_stats: DataFrame, coll: DataFrame) -> DataFrame:
-    """phrase_id and a score for each of ENTITY_METHODS, over ranked documents (doc_id, posterior) of any number."""
+def entity_scores(top: DataFrame, mentions: DataFrame, doc_stats: DataFrame, coll: DataFrame, places: int = 6) -> DataFrame:
+    """phrase_id and a score for each of ENTITY_METHODS, rounded to places, over ranked documents (doc_id, posterior) of any number."""
     c = mentions.groupBy("phrase_id", "doc_id").agg(F.count(F.lit(1)).alias("c"))
     cf = c.groupBy("phrase_id").agg(F.sum("c").alias("cf"))
     x = c.join(top.select("doc_id", "posterior"), "doc_id").join(doc_stats, "doc_id").join(cf, "phrase_id").join(F.broadcast(coll.select("coll_len")))
     rate: Column = F.col("c") / F.col("len")
     background = F.col("cf") / F.col("coll_len")
     scores = {"rm": F.col("posterior") * rate, "drm": F.col("posterior") * rate / background, "gdrm": F.ln("posterior") + F.ln(rate) - F.ln(background), "gnb": F.ln(rate) - F.ln(background)}
-    return x.groupBy("phrase_id").agg(*[F.round(F.sum(s), 6).alias(m) for m, s in scores.items()])
+    return x.groupBy("phrase_id").agg(*[F.round(F.sum(s), places).alias(m) for m, s in scores.items()])
