@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.text import tokens as token_array
 from .index import cut
 
@@ -23,24 +24,28 @@ def names(items: DataFrame, size: int, key: str = "item_id", text: str = "text")
 def mentions(docs: DataFrame, dictionary: DataFrame, phrase: str = "phrase", key: str = "doc_id", text: str = "text") -> DataFrame:
     """phrase, doc_id, start, size: every place of every phrase of a dictionary (phrase, terms: array<string>), overlapping ones too.
 
-    Runs of the sizes that the dictionary has are hashed inside the row; a run meets the dictionary by its hash and is
-    then compared by its terms. A frequent word in many phrases makes no rows, and no run is shuffled while the
-    dictionary is small enough to broadcast.
+    Terms are hashed once, inside the row, and runs of the sizes that the dictionary has by their terms' hashes: 64 bits
+    to meet the dictionary by and 32 of another hash to tell, so runs are the same by 96 bits. A frequent word in many
+    phrases makes no rows, and no run is shuffled while the dictionary is small enough to broadcast.
     """
     known = dictionary.select(F.col(phrase).alias("phrase"), "terms").distinct().filter(F.size("terms") > 0)
-    known = cut(known.withColumn("hash", F.xxhash64("terms")))
-    sizes = sorted(r.n for r in known.select(F.size("terms").alias("n")).distinct().collect())
+    known = known.select("phrase", F.size("terms").alias("size"), F.transform("terms", lambda x: F.xxhash64(x)).alias("h"), F.transform("terms", lambda x: F.hash(x)).alias("g"))
+    known = cut(known.select("phrase", "size", F.xxhash64("h").alias("hash"), F.hash("g").alias("check")))
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     if known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
         known = F.broadcast(known)
-    t = F.col("__t")
+    kind = "array<struct<start:int,size:int,hash:bigint,check:int>>"
+
+    def runs(n: int, h: Column, g: Column) -> Column:
+        at = lambda i: F.struct((i - 1).alias("start"), F.lit(n).alias("size"), F.xxhash64(F.slice(h, i, n)).alias("hash"), F.hash(F.slice(g, i, n)).alias("check"))
+        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), at)).otherwise(F.array().cast(kind))
 
-    def runs(n: int):
-        found = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.struct((i - 1).alias("start"), F.lit(n).alias("size"), F.xxhash64(F.slice(t, i, n)).alias("hash"), F.slice(t, i, n).alias("own")))
-        return F.when(F.size(t) >= n, found).otherwise(F.array().cast("array<struct<start:int,size:int,hash:bigint,own:array<string>>>"))
+    def placed_in(t: Column) -> Column:
+        both = lambda h, g: F.concat(*[runs(n, h, g) for n in sizes]) if sizes else F.array().cast(kind)
+        return let(F.transform(t, lambda x: F.xxhash64(x)), lambda h: let(F.transform(t, lambda x: F.hash(x)), lambda g: both(h, g)))
 
-    rows = docs.select(F.col(key).alias("doc_id"), token_array(F.col(text)).alias("__t"))
-    placed = rows.select("doc_id", F.inline(F.concat(*[runs(n) for n in sizes]) if sizes else F.array().cast("array<struct<start:int,size:int,hash:bigint,own:array<string>>>")))
-    return placed.join(known, "hash").filter(F.col("own") == F.col("terms")).select("phrase", "doc_id", "start", "size")
+    placed = docs.select(F.col(key).alias("doc_id"), F.inline(let(token_array(F.col(text)), placed_in)))
+    return placed.join(known, ["hash", "check", "size"]).select("phrase", "doc_id", "start", "size")
 
 
 def ambiguity(dictionary: DataFrame) -> DataFrame:

@@ -11,14 +11,14 @@ from .index import cut
 BROADCAST_NODES = 1_000_000
 
 
-def pagerank(edges: DataFrame, jump: float = 0.15, steps: int = 1000, tolerance: float = 1e-3) -> DataFrame:
-    """node, score. Edges (src, dst) count as often as they occur; nodes without edges out spread their score over all.
+def pagerank(edges: DataFrame, jump: float = 0.15, steps: int = 1000, tolerance: float = 1e-3, weighted: bool = True) -> DataFrame:
+    """node, score. Edges (src, dst) count as often as they occur, or once if not weighted; nodes without edges out spread their score over all.
 
     Nodes are numbered once, so that steps move numbers only. A step is a join of edges with scores and a sum by
     target, which is pre-aggregated in each task, so a target of a third of all edges costs a row for each task; its
     result is written to the shared folder. What dangling nodes hold and how much changed come from one aggregate of it.
     """
-    links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")))
+    links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")) if weighted else edges.select("src", "dst").distinct().withColumn("n", F.lit(1).cast("long")))
     degree = links.groupBy("src").agg(F.sum("n").alias("degree"))
     names = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(degree, F.col("node") == F.col("src"), "left").select("node", "degree")
     nodes = cut(names.withColumn("id", F.monotonically_increasing_id()))

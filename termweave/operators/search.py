@@ -119,6 +119,22 @@ def likelihood(docs: DataFrame, queries: dict[str, dict[str, float]], smoothing:
     return ranked(rows.select("doc_id", F.inline(made)).select("qid", "doc_id", "score"), k)
 
 
+def likelihood_of_many(toks: DataFrame, doc_stats: DataFrame, queries: DataFrame, k: int = 10, smoothing: str = "dirichlet") -> DataFrame:
+    """qid, doc_id, score, rank for any number of queries (qid, term, weight): joins of postings with queries by term, nothing of either is collected."""
+    tf = toks.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(tf)
+    cf = tf.groupBy("term").agg(F.sum("tf").alias("cf"))
+    known = queries.join(cf, "term")
+    coll = doc_stats.agg(F.sum("len").alias("coll"))
+    one = jelinek_mercer if smoothing in ("jm", "linear") else dirichlet
+    own = tf.join(known, "term").select("qid", "doc_id", "term", "weight", "tf", "cf")
+    candidates = own.select("qid", "doc_id").distinct()
+    pairs = candidates.join(known, "qid").join(own.select("qid", "doc_id", "term", "tf"), ["qid", "doc_id", "term"], "left").join(doc_stats, "doc_id").join(F.broadcast(coll))
+    each = one(F.coalesce("tf", F.lit(0)), F.col("len"), F.col("cf"), F.col("coll"))
+    scored = pairs.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * each) / F.sum("weight"), 6).alias("score"))
+    return ranked(scored, k)
+
+
 def counted(queries: dict[str, list[str]]) -> dict[str, dict[str, float]]:
     """Queries as lists of terms as weighted ones: a term weighs as often as it stands there."""
     return {q: {t: float(terms.count(t)) for t in dict.fromkeys(terms)} for q, terms in queries.items()}

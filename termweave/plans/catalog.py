@@ -222,8 +222,8 @@ def zscore_features(s, d):
 
 
 def pagerank_terms(s, d):
-    edges = index.bigrams(_docs(s, d)).select(F.col("t1").alias("src"), F.col("t2").alias("dst")).distinct()
-    return graph.pagerank(edges).select("node", F.round("score", 8).alias("score"))
+    edges = index.bigrams(_docs(s, d)).select(F.col("t1").alias("src"), F.col("t2").alias("dst"))
+    return graph.pagerank(edges, weighted=False).select("node", F.round("score", 8).alias("score"))
 
 
 def _word_sets(s, d):

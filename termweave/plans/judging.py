@@ -187,8 +187,8 @@ def term_maps(s, d):
 
 def pagerank_top(s, d):
     """The hundred best terms of the graph of neighbours by the logarithm of their scores, iterated until they settle."""
-    edges = index.bigrams(_docs(s, d)).select(F.col("t1").alias("src"), F.col("t2").alias("dst")).distinct()
-    return graph.pagerank(edges).select("node", F.round(F.ln("score"), 6).alias("score")).orderBy(F.desc("score"), "node").limit(100)
+    edges = index.bigrams(_docs(s, d)).select(F.col("t1").alias("src"), F.col("t2").alias("dst"))
+    return graph.pagerank(edges, weighted=False).select("node", F.round(F.ln("score"), 6).alias("score")).orderBy(F.desc("score"), "node").limit(100)
 
 
 QUERIES = {f.__name__: f for f in (run_semi_filter, run_semi_first, run_subset, run_pool_fill, baseline_run, qpp_overlap_docs, vote_details, judgments_per_label, letor_min_impute, rerank_features, kcv_tuning, fold_split, join_skipped, dedup_first, covariate_range, judged_features, classifier_weights, rank_by_classifier, classify_documents, classifier_eval, seed_experiment, svm_rows, oldest_query, fact_sample, page_links, category_counts, lce_all, text_functions, term_maps, pagerank_top)}

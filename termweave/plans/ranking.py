@@ -67,7 +67,14 @@ def best_first(s, d):
     return _top(s, d).groupBy("qid").agg(F.array_join(F.transform(order, lambda x: x["doc_id"].cast("string")), ",").alias("docs"))
 
 
-QUERIES = {f.__name__: f for f in (ql_weighted, rm3_rerank, pmi_rerank, pmi_bigrams, two_stage_sdm, sdm_runs, synonym_counts, find_phrase, snippets, best_first)}
+def fact_ranking(s, d):
+    """Each item asks by its first ten terms that are no stopwords, for ten documents."""
+    w = F.slice(F.filter(fn.tokens(F.col("text")), lambda x: ~x.isin(fn.STOPWORDS)), 1, 10)
+    asked = _t(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(w).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return search.likelihood_of_many(_toks(s, d), index.doc_stats(_docs(s, d)), asked, 10)
+
+
+QUERIES = {f.__name__: f for f in (fact_ranking, ql_weighted, rm3_rerank, pmi_rerank, pmi_bigrams, two_stage_sdm, sdm_runs, synonym_counts, find_phrase, snippets, best_first)}
 
 _STOP = "(" + ", ".join(map(repr, fn.STOPWORDS)) + ")"
 _ALL = "(" + ", ".join(repr(t) for ts in TWO.values() for t in ts) + ")"
@@ -113,6 +120,7 @@ def _window(a: str, b: str, width: int = 8) -> str:
 
 
 ORACLE_SQL = {
+    "fact_ranking": f"{TOKS}, fw as (select item_id qid, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x not in {_STOP})[1:10] w from benchmark), wq as (select qid, term, count(*)::double w from (select qid, unnest(w) term from fw) group by all), {_WQ} {_best(10)}",
     "ql_weighted": f"{TOKS}, wq(qid, term, w) as (values {_values((q, t, w) for q, ts in WEIGHTED.items() for t, w in ts.items())}), {_WQ} {_best(20)}",
     "rm3_rerank": f"{_RM}, oq(qid, term, w) as (values {_values((q, t, 1.0) for q, ts in _ORIG.items() for t in ts)}), {_MIX}, {_WQ} {_best(10)}",
     "pmi_rerank": f"{_NT}, oq(qid, term, w) as (values {_values(('p', t, 1.0) for t in PHRASE)}), rx as (select 'p' qid, term, {_PMI} weight from nt join st using (term), coll where qpf > 4 order by weight desc, term limit 20), {_MIX}, {_WQ}, wi as (select * from ws where doc_id in (select doc_id from hits)) {_best(20, 'wi')}",
