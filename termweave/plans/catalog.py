@@ -134,14 +134,14 @@ def lce_terms(s, d):
     return expansion.local_contexts(ql_dirichlet(s, d).filter("qid = 'q1'"), t, index.doc_stats(_docs(s, d)), index.term_stats(t), drop=fn.STOPWORDS).select("term", "score")
 
 
-def _dictionary(s, d):
-    """The first five words of each benchmark item, by text, as phrases."""
-    w = F.slice(fn.tokens(F.col("text")), 1, 5)
-    return _t(s, d, "benchmark").select(F.col("item_id").alias("phrase_id"), w.alias("terms")).filter(F.size("terms") == 5)
+def _item_hits(s, d):
+    """phrase_id (an item), doc_id, start, size: places of every run of five words of an item, for each item that holds it."""
+    known = entities.names(_t(s, d, "benchmark"), 5)
+    return entities.mentions(_docs(s, d), known).join(known.select("phrase", F.col("entity").alias("phrase_id")), "phrase").select("phrase_id", "doc_id", "start", "size")
 
 
 def dictionary_tag(s, d):
-    return entities.mentions(_docs(s, d), _dictionary(s, d), "phrase_id").select(F.col("phrase").alias("phrase_id"), "doc_id", F.col("start").cast("long").alias("start"))
+    return _item_hits(s, d).select("phrase_id", "doc_id", F.col("start").cast("long").alias("start"))
 
 
 def _all_ngrams(s, d):
@@ -161,7 +161,7 @@ def dictionary_tag_whole(s, d):
 
 
 def entity_relevance(s, d):
-    hits = entities.mentions(_docs(s, d), _dictionary(s, d), "phrase_id").withColumnRenamed("phrase", "phrase_id")
+    hits = _item_hits(s, d)
     docs = index.doc_stats(_docs(s, d))
     top = hits.select("doc_id").distinct().join(docs, "doc_id").withColumn("posterior", 1 / (1 + F.col("len"))).drop("len")
     return expansion.entity_scores(top, hits, docs, index.collection_stats(_docs(s, d)))
@@ -272,8 +272,8 @@ def _ranked(name: str, formula: str) -> str:
 _BOTH = f"{_QL}, {_ranked('a', _DIR)}, {_ranked('b', _JM)}"
 _POST = f"{_QL}, {_ranked('a', _DIR)}, po as (select *, exp(score - max(score) over (partition by qid)) e from a), pp as (select qid, doc_id, score, e / sum(e) over (partition by qid) posterior from po)"
 _STOP = "(" + ", ".join(map(repr, fn.STOPWORDS)) + ")"
-_TAG = f"{TOKS}, di as (select item_id phrase_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:5] t from benchmark), dp as (select phrase_id, unnest(t) term, unnest(range(5)) o from di where len(t) = 5), tag as (select phrase_id, doc_id, pos - o as start from tok join dp using (term) group by all having count(*) = 5)"
 _TAG5 = f"{TOKS}, bw as (select regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') w from benchmark), g5 as (select distinct array_to_string(w[i:i + 4], ' ') phrase from (select w, unnest(range(1, len(w) - 3)) i from bw)), tag5 as (select phrase, doc_id, i - 1 as start from (select doc_id, i, array_to_string(w[i:i + 4], ' ') phrase from (select doc_id, w, unnest(range(1, len(w) - 3)) i from d)) join g5 using (phrase))"
+_TAG = f"{_TAG5}, i5 as (select distinct item_id phrase_id, array_to_string(w[i:i + 4], ' ') phrase from (select item_id, w, unnest(range(1, len(w) - 3)) i from (select item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') w from benchmark))), tag as (select phrase_id, doc_id, start from tag5 join i5 using (phrase))"
 
 
 def _ranks(steps: int = 20) -> str:

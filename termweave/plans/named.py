@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import cooccur, entities, expansion, index, search
-from .catalog import TOKS, TWO, _docs, _hits, _t, _toks
+from .catalog import _TAG5, TOKS, TWO, _docs, _hits, _t, _toks
 
 
 def _dictionary(s, d):
@@ -159,6 +159,7 @@ ORACLE_SQL = {
     "linker_pmi": f"{_NEAR}, pr as (select phrase, entity, ln(n / sum(n) over (partition by phrase)) log_p from uses) select entity, round(sum(ln(pmi) + log_p), 6) score from lp join pr using (phrase) group by entity",
     "category_pmi": f"{_NEAR}, cc as (select source category, count(*) filter (where doc_id in (select doc_id from hits)) near, count(*) total from documents group by source) select category, round(ln((near / (select sum(near) from cc)) / (total / (select sum(total) from cc))), 6) pmi from cc where near > 4 order by pmi desc, category limit 5",
     "entity_scores": f"{_ERM} select entity, round(sum(posterior * r), 6) rm, round(sum(posterior * r / g), 6) drm, round(sum(ln(posterior) + ln(r) - ln(g)), 6) gdrm, round(sum(ln(r) - ln(g)), 6) gnb, round(sum(posterior * r * p), 6) wrm, round(sum(posterior * r / g * p), 6) wdrm, round(sum(ln(posterior) + ln(r) - ln(g) + ln(p)), 6) wgdrm, round(sum(ln(r) - ln(g) + ln(p)), 6) wgnb from x join pn using (phrase) group by entity",
+    "entity_relevance_ranked": f"{_TAG5}, {_RANKED}, ec as (select phrase, doc_id, count(*) n from tag5 group by all), ef as (select phrase, sum(n) cf from ec group by phrase) select phrase phrase_id, round(sum(posterior * n / len), 6) rm, round(sum(posterior * n / len / (cf / c)), 6) drm, round(sum(ln(posterior) + ln(n / len) - ln(cf / c)), 6) gdrm, round(sum(ln(n / len) - ln(cf / c)), 6) gnb from ec join ef using (phrase) join rk using (doc_id) join dl using (doc_id), coll group by phrase",
     "expert_scores": f"{_ERM}, sp as (select phrase, sum(posterior * r) rm, sum(posterior * r / g) drm, sum(ln(posterior) + ln(r) - ln(g)) gdrm, sum(ln(r) - ln(g)) gnb from x group by phrase), fk as (select entity, count(*) k from dic group by entity) select entity, round(sum(rm) / any_value(k), 6) rm, round(sum(drm) / any_value(k), 6) drm, round(sum(gdrm) / any_value(k), 6) gdrm, round(sum(gnb) / any_value(k), 6) gnb from sp join dic using (phrase) join fk using (entity) group by entity",
     "spread_scores": f"{_ERM}, own as (select phrase, doc_id, entity from men join dic using (phrase)), m as (select entity, count(*) m from own group by entity), e as (select doc_id, count(distinct entity) e from own group by doc_id), od as (select entity, count(*) odds from dic group by entity) select entity, round(sum(1 / m / e * posterior * odds), 6) score from own join m using (entity) join e using (doc_id) join rk using (doc_id) join od using (entity) group by entity",
     "query_tags": "with b as (select regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from benchmark), p as (select distinct w[i] || ' ' || w[i + 1] phrase from (select w, unnest(range(1, len(w))) i from b)), c as (select conv_id || ':' || turn qid, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from conversations) select phrase, qid, i - 1 as start from (select qid, i, w[i] || ' ' || w[i + 1] phrase from (select qid, w, unnest(range(1, len(w))) i from c)) join p using (phrase)",
