@@ -349,8 +349,8 @@ def rare_pairs(posted: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs a, b (a written table) whose sets reach the similarity. A pair's whole sets meet in its row."""
+def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """Those of the pairs a, b (a written table) whose sets reach the similarity, in percent. A pair's whole sets meet in its row."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.join(sized(ids), "id", "left_semi")
 
@@ -361,7 +361,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     sets = materialise(texts.select("id", "text").mapInArrow(packed, "id long, n long, tokens binary"))
     sizes = sets.select("id", "n")
-    fit = pairs.join(sizes.toDF("b", "nb"), "b").join(sizes.toDF("a", "na"), "a").filter((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")))
+    fit = pairs.join(sizes.toDF("b", "nb"), "b").join(sizes.toDF("a", "na"), "a").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     met = fit.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +376,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 both = np.concatenate([a, tb])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= 80 * (len(a) + len(tb) - shared))
+                keep.append(100 * shared >= percent * (len(a) + len(tb) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.record_batch([batch[0].filter(mask), batch[1].filter(mask)], names=["a", "b"])
 
