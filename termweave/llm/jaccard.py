@@ -349,9 +349,8 @@ def rare_pairs(posted: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
-    """Those of the pairs a, b (a written table) whose sets reach the similarity, in percent. A pair's whole sets meet in its row."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, tokens (packed) of the sets of rows of id, text whose ids are among ids (a written table of distinct ones)."""
     texts = docs.join(sized(ids), "id", "left_semi")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +358,12 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
             sets = [s for _, s in _sets(batch)]
             yield pa.record_batch([batch[0], pa.array([len(s) for s in sets], pa.int64()), pa.array([_planes(s) for s in sets], pa.binary())], names=["id", "n", "tokens"])
 
-    sets = materialise(texts.select("id", "text").mapInArrow(packed, "id long, n long, tokens binary"))
+    return materialise(texts.select("id", "text").mapInArrow(packed, "id long, n long, tokens binary"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int = 80) -> DataFrame:
+    """Those of the pairs a, b (a written table) whose sets reach the similarity, in percent. A pair's whole sets meet in its row."""
+    sets = sets_of(docs, materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     sizes = sets.select("id", "n")
     fit = pairs.join(sizes.toDF("b", "nb"), "b").join(sizes.toDF("a", "na"), "a").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     met = fit.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").select("a", "b", "ta", "tb")

@@ -12,7 +12,8 @@ standard deviations below 0.85, go. (4) The rest is verified on full sets, read
 
 A list of classes with one band isn't expanded: its least member is tried against the others; lists whose members still
 lie in several components get a second try with another member, and what remains then is cut into blocks of BLOCK
-members. Two blocks meet in one row, where sketches alone are compared and only pairs of different components over the estimate come out. So a
+members. Two blocks meet in one task: by sketches for the members that have a likely partner of another component (in the first band that the
+two share), then these alone by whole sets, where links enough to join their components come out. So a
 hot list is dealt over many tasks, its pairs are never rows, and no link between components is lost.
 
 Scale. One pass over the texts for sketches (256 bytes a document), one shuffle of 32 bands of 8 bytes a class; sets are made and shuffled
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, settled, sized, small_batches, table
-from .jaccard import _mix, _ordered, components, shingle_sets, verified
+from .jaccard import _mix, _ordered, _unplanes, components, sets_of, shingle_sets, verified
 
 PERCENT = 85
 BUCKETS = 128
@@ -47,8 +48,8 @@ BAND = 4
 ESTIMATE = 0.6
 #: Sets of fewer shingles link with no other set: 5 of 6 is less than 0.85.
 SMALLEST = 6
-#: Members of a list's block in the last try.
-BLOCK = 512
+#: Members of a list's block in the last try, and hashes of their sets, about.
+BLOCK, HASHES = 512, 2_000_000
 _SHIFT = np.uint64(64 - (BUCKETS - 1).bit_length())
 _EDGES = np.arange(BUCKETS, dtype=np.uint64) << _SHIFT
 
@@ -137,33 +138,63 @@ def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def _remaining(left: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b: likely pairs of different components in the lists band, key, id, component; block meets block in one row."""
+def _pairs_of_blocks(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a meeting that are compared, and with which: of two blocks the first with the second, of one block each with those behind it."""
+    one = own == own.min()
+    return (one, ~one) if not one.all() else (one, one)
+
+
+def _hopeful(rows: pa.Table) -> pa.Table:
+    """The members of a meeting that have a likely partner of another component, whose first common band is this one."""
+    own, ids, n, component = (rows[c].to_numpy() for c in ("own", "id", "n", "component"))
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    band = sketch.view(np.int64)
+    one, other = _pairs_of_blocks(own)
+    keep = np.zeros(len(ids), bool)
+    for i in np.flatnonzero(one):
+        j = np.flatnonzero(other & (component != component[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        # a pair with several bands in common is for the first of them
+        j = j[(band[j] == band[i]).argmax(axis=1) == rows["band"][0].as_py()]
+        if len(j) and len(j := j[estimates(sketch[i], sketch[j], n[i], n[j]) >= ESTIMATE]):
+            keep[j] = keep[i] = True
+    return rows.select(["band", "key", "meeting", "own", "id", "component"]).filter(pa.array(keep))
+
+
+def _spanning(rows: pa.Table) -> pa.Table:
+    """Links between the members of a meeting that are enough to join the components which links of whole sets join."""
+    own, ids, n, root = (rows[c].to_numpy() for c in ("own", "id", "n", "component"))
+    root, (one, other), out = root.copy(), _pairs_of_blocks(own), [np.zeros((0, 2), np.int64)]
+    sets = [_unplanes(x.as_py()) for x in rows["tokens"]]
+    # an inverted list for each hash: an i's lists tell what it shares with every other
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    order = np.argsort(number, kind="stable")
+    holder, after = np.repeat(np.arange(len(ids)), n)[order], np.cumsum(np.bincount(number))
+    for i in np.flatnonzero(one):
+        own_numbers = number[ends[i] - n[i] : ends[i]]
+        length = after[own_numbers] - np.append([0], after)[own_numbers]
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(after[own_numbers] - length, length)
+        shared = np.bincount(holder[at], minlength=len(ids))
+        for j in np.flatnonzero(other & (root != root[i]) & (100 * shared >= PERCENT * (n + n[i] - shared))):
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append(np.sort(np.array([[ids[i], ids[j]]]), axis=1))
+    both = np.concatenate(out)
+    return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+
+def _remaining(left: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: links enough to join what links join of the different components in the lists band, key, id, component; block meets block in one row."""
     rows = left.join(known.select("id", "n", "sketch"), "id")
-    sizes = left.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / HASHES)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
     # a member of block x goes to the meetings (x, y) and (y, x) with every block y
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("own", y).alias("x"), F.greatest("own", y).alias("y"))))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.least("own", y).cast("long") * (1 << 31) + F.greatest("own", y)))
     met = dealt.withColumn("meeting", other).select("band", "key", "meeting", "own", "id", "n", "component", "sketch")
-
-    def run(rows: pa.Table) -> pa.Table:
-        own, ids, n, component = (rows[c].to_numpy() for c in ("own", "id", "n", "component"))
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        one = own == own.min()
-        # of one block with itself every pair comes twice and is told once
-        other, alone = (~one, False) if not one.all() else (one, True)
-        found = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(one):
-            fit = other & (component != component[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
-            if alone:
-                fit &= ids > ids[i]
-            j = np.flatnonzero(fit)
-            j = j[estimates(sketch[i], sketch[j], n[i], n[j]) >= ESTIMATE] if len(j) else j
-            found.append(np.stack([np.full(len(j), ids[i]), ids[j]], axis=1))
-        out = np.sort(np.concatenate(found), axis=1)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
-
-    return met.groupBy("band", "key", "meeting").applyInArrow(run, "a long, b long").distinct()
+    kind = "band int, key long, meeting long, own int, id long, component long"
+    hopeful = materialise(met.groupBy("band", "key", "meeting").applyInArrow(_hopeful, kind))
+    sets = sets_of(docs, materialise(hopeful.select("id").distinct()))
+    return hopeful.join(sets, "id").groupBy("band", "key", "meeting").applyInArrow(_spanning, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -191,14 +222,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
         if left.isEmpty():
             break
         if last:
-            more = _remaining(left, known)
+            links = materialise(links.union(_remaining(left, known, read)))
         else:
             other = left.groupBy("band", "key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("key", "id")).alias("x"))
             more = _ordered(left.join(other, ["band", "key"]).filter("component <> x.component").select(F.col("id").alias("a"), F.col("x.id").alias("b")))
-        more = materialise(more.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(more)
-        # what remained is over the estimate already
-        links = materialise(links.union(verified(read, more if last else materialise(likely(more, known)), PERCENT)))
+            more = materialise(more.join(tried, ["a", "b"], "left_anti"))
+            links = materialise(links.union(verified(read, materialise(likely(more, known)), PERCENT)))
         labels = components(links)
     return members.select("id", F.col("n").alias("n_shingles"), "class"), links, labels
 

@@ -120,19 +120,35 @@ def test_bands_lose_no_pair_at_the_threshold():
 
 
 def test_lists_that_stay_apart_meet_in_blocks(spark):
-    """1,300 sets of one band list: every likely pair of different components comes out once, pairs of one component don't."""
+    """1,300 sets in one list, of which many link only in part: links join what brute force joins, in fewer rows than there are sets a meeting."""
     rng = random.Random(1)
     base = [f"w{k}" for k in range(120)]
-    texts = _family(rng, base, 1300, 40)
+    texts = [t for k in range(13) for t in _family(rng, base[k:] + base[:k], 100, 9)]
     sets = list(shingle_sets(texts))
     sketch = minhash.registers(sets)
-    rows = [(k, len(s), r.tobytes(), k % 3 and k) for k, (s, r) in enumerate(zip(sets, sketch, strict=True))]
+    band = sketch.view(np.int64)
+    band[:, 0] = 77  # one list of all
+    rows = [(k, len(s), r.tobytes(), k - k % 2 if k < 20 else k) for k, (s, r) in enumerate(zip(sets, sketch, strict=True))]
     known = materialise(spark.createDataFrame([r[:3] for r in rows], "id long, n long, sketch binary"))
-    left = spark.createDataFrame([(5, 77, r[0], r[3]) for r in rows], "band int, key long, id long, component long")
-    n = np.array([len(s) for s in sets])
-    want = set()
-    for a in range(len(rows)):
-        close = minhash.estimates(sketch[a], sketch, n[a], n) >= minhash.ESTIMATE
-        want |= {(a, int(b)) for b in np.flatnonzero(close) if b > a and rows[a][3] != rows[b][3] and 100 * min(n[a], n[b]) >= 85 * max(n[a], n[b])}
-    got = [(r.a, r.b) for r in minhash._remaining(left, known).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    left = spark.createDataFrame([(0, 77, r[0], r[3]) for r in rows], "band int, key long, id long, component long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [(r.a, r.b) for r in minhash._remaining(left, known, docs).collect()]
+
+    def classes(links):
+        of = {r[0]: r[3] for r in rows}
+        while True:
+            new = dict(of)
+            for a, b in links:
+                x = min(new[a], new[b])
+                for v in (new[a], new[b]):
+                    for k in (k for k, y in new.items() if y == v):
+                        new[k] = x
+            if new == of:
+                return of
+            of = new
+
+    whole = [_set(t) for t in texts]
+    want = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if 100 * len(whole[a] & whole[b]) >= 85 * len(whole[a] | whole[b])]
+    assert set(got) <= set(want) and len(got) == len(set(got)) and len(got) < 6 * 1300 < len(want)
+    sizes = [len(set(c.values())) for c in (classes(got), classes(want))]
+    assert classes(got) == classes(want) and 20 < sizes[0] < 1250
