@@ -56,11 +56,15 @@ DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
 AT = r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?"
 #: After a bare " at " these begin no host.
 COMMON = "(?:a|all|an|any|each|every|her|his|its|least|most|my|our|that|the|their|these|this|those|your)"
-#: Before a bare " at " and a host with a plain dot these are no name of a mailbox.
-ORDINARY = "|".join(["and", "are", "available", "based", "be", "find", "found", "here", "hosted", "is", "it", "listed", "located", "look", "me", "more", "online", "page", "posted", "published", "read", "see", "seen", "site", "start", "store", "that", "them", "there", "this", "up", "us", "visit", "was", "website", "you"])
+#: Before a bare " at " and a host with a plain dot these are no name of a mailbox, whatever stands before them.
+ORDINARY = "|".join(["and", "are", "at", "back", "be", "by", "call", "here", "him", "is", "it", "me", "online", "or", "out", "page", "site", "that", "them", "there", "this", "up", "us", "was", "website", "you"])
+#: What announces an address, right before a mailbox.
+LABEL = r"(?:address|contact|e-?mail|mail|reach|write)(?:s|ed|es|ing)?"
+# Top-level domains that a host with a plain dot must end with, the general ones and those of larger countries.
+TOP_LEVEL = frozenset("com org net edu gov mil int info biz name pro io dev app ai co me tv ac ae ar at au be bg br ca ch cl cn cz de dk eg es eu fi fr gr hk hu id ie il in ir is it jp kr lt lu lv mx my ng nl no nz pe ph pl pt ro rs ru sa se sg si sk th tr tw ua uk us vn za".split())
 #: One mark that parts digits.
 GAP = "[ -]"
-#: What is rewritten. A bare " at " counts only before a host with a disguised dot, or after a possible mailbox and before a plain host;
+#: What is rewritten. A bare " at " counts only before a host with a disguised dot, or where _address() holds;
 #: a digit's name only beside another, a figure or a disguised dot.
 REWRITE = re.compile(
     rf"(?P<at>{AT})|(?P<bare>(?<=[A-Za-z0-9])\sat\s(?!{COMMON}\b)(?=[A-Za-z0-9-]+(?:(?:{DOT}|\.)[A-Za-z0-9-]+)*(?:{DOT}|\.)[A-Za-z]{{2,}}\b))"
@@ -73,10 +77,13 @@ NOT_SEEN = re.compile(f"[{INVISIBLE}]+")
 TRIGGER = re.compile(
     rf"[\[({{<]\s?(?:at|dot|@|\.)|\sdot\s|\sat\s[a-z0-9-]+(?:{DOT}|\.)|[{INVISIBLE}]|plus\s(?:[0-9]|{NAME})|{NAME}(?:{GAP}(?:[0-9]|{NAME})|{DOT})|(?:[0-9]{GAP}|dot\s|[\])}}>]\s?){NAME}"
 )
-#: Ends what stands before a bare " at ", if that is no mailbox.
-NO_MAILBOX = re.compile(rf"(?<![A-Za-z0-9._%+-])(?:{ORDINARY})$", re.IGNORECASE)
+#: A word before a bare " at " that is made as mailboxes are: letters with a digit or with an inner dot, underscore, plus or percent sign.
+MAILBOX = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]*[A-Za-z])[A-Za-z0-9-]*(?:[0-9._%+][A-Za-z0-9._%+-]*)?[A-Za-z0-9]$")
+MADE = re.compile(r"[0-9]|(?<=[A-Za-z0-9])[._%+]")
+NAMED = re.compile(rf"\b{LABEL}[\s:=,(<\"'-]+(?:(?:to|via|address)[\s:=,(<\"'-]+)?(?!(?:{ORDINARY})$)[A-Za-z-]+$", re.IGNORECASE)
 PLAIN_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![A-Za-z0-9-]|\sdot\s)")
-LONGEST_ORDINARY = max(map(len, ORDINARY.split("|"))) + 1
+#: Characters before a bare " at " that are looked at.
+BEFORE = 64
 ANY_NAME = re.compile(NAME, re.IGNORECASE)
 
 
@@ -155,10 +162,21 @@ def _odd(text: str) -> bool:
     return not (text.isascii() or ODD.isdisjoint(text))
 
 
+def _address(text: str, at: int, host: str) -> bool:
+    """Whether a bare " at " that begins there and a host with plain dots are an address, by their structure: the host ends in a known top-level
+    domain, in lower case unless all of it is in upper case, and what stands before is made like a mailbox or announced."""
+    top = host.rpartition(".")[2]
+    if top.lower() not in TOP_LEVEL or not (top.islower() or host.isupper()):
+        return False
+    before = text[max(0, at - BEFORE) : at]
+    m = MAILBOX.search(before)
+    return bool(m and MADE.search(m[0]) or NAMED.search(before))
+
+
 def _disguises(text: str) -> Iterator[tuple[int, int, str]]:
     for m in REWRITE.finditer(text):
         kind = m.lastgroup
-        if kind == "bare" and PLAIN_HOST.match(text, m.end()) and NO_MAILBOX.search(text[max(0, m.start() - LONGEST_ORDINARY) : m.start()]):
+        if kind == "bare" and (host := PLAIN_HOST.match(text, m.end())) and not _address(text, m.start(), host[0]):
             continue
         new = {"at": "@", "bare": "@", "dot": ".", "plus": "+"}.get(kind)
         yield m.start(), m.end(), "".join(NAMES[x.lower()] for x in ANY_NAME.findall(m[0])) if new is None else new
