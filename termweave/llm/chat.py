@@ -3,14 +3,15 @@
 Calls and results are joined by hash on their identifier. Calls that refer to earlier results are put in
 topological order: a call's level is one more than the deepest call it waits for; chains of calls are
 followed by doubling, so a conversation of n turns takes about log2(n) passes. Arguments are checked
-against the schema of the tool, and each call becomes one line of canonical JSON (keys sorted, no spare
-white space, null members left out). Conversations are never gathered in a task: links, levels and checks
+against the schema of the tool, and each call becomes one line of canonical JSON: keys sorted at every level, no spare
+white space, null members left out; an argument whose schema's type isn't string is JSON itself and stands as that (numbers, booleans,
+arrays and objects bare), any other as a string. Conversations are never gathered in a task: links, levels and checks
 are equi-joins on identifiers, so a conversation of any length is spread over tasks.
 
 Defined results: calls and results without an identifier are dropped; of rows that repeat an identifier
 the least by value counts; a result without a call gives no row; a call without a result is "unresolved";
 references to unknown calls are ignored; calls that wait for themselves (a cycle) get level -1 and status
-"cyclic"; null arguments fail a schema's required keys.
+"cyclic"; null arguments are an empty object and fail a schema's required keys.
 """
 
 from __future__ import annotations
@@ -69,6 +70,33 @@ def valid(name: Column, arguments: Column, schemas: dict) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _quoted(value: Column) -> Column:
+    """A string as JSON writes it."""
+    made = F.to_json(F.struct(value.alias("x")))
+    return F.substr(made, F.lit(6), F.char_length(made) - 6)
+
+
+def json_text(value: Column) -> Column:
+    """Canonical text of JSON: null where it isn't JSON. A variant holds objects with sorted keys and numbers as numbers, and is written without white space."""
+    return F.to_json(F.try_parse_json(value))
+
+
+def canonical(name: Column, arguments: Column, schemas: dict) -> Column:
+    """The object of arguments (sorted entries of key, value): those whose type in the tool's schema isn't string as JSON, where they are JSON."""
+    bare = F.lit(False)
+    key = lambda x: x["key"]
+    entries = F.filter(arguments, lambda x: x["value"].isNotNull())
+    typed = {tool: sorted(k for k, kind in schema.get("types", {}).items() if kind != "string") for tool, schema in sorted(schemas.items())}
+
+    def member(x: Column) -> Column:
+        told = bare
+        for tool, keys in typed.items():
+            told = told | ((name == tool) & key(x).isin(keys)) if keys else told
+        return F.concat(_quoted(key(x)), F.lit(":"), F.when(told, F.coalesce(json_text(x["value"]), _quoted(x["value"]))).otherwise(_quoted(x["value"])))
+
+    return F.concat(F.lit("{"), F.coalesce(F.array_join(F.transform(entries, member), ","), F.lit("")), F.lit("}"))
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """call_id, level for each row (call_id, waits_for: array of call ids); -1 on cycles and for what waits for one.
 
@@ -132,7 +160,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     arguments = F.map_from_entries("arguments")
     right = valid(F.col("name"), arguments, schemas)
     status = F.when(F.col("level") < 0, "cyclic").when(F.col("found").isNull(), "unresolved").when(~right, "invalid").otherwise("ok")
-    line = F.to_json(F.struct(F.map_from_entries(F.filter("arguments", lambda x: x["value"].isNotNull())).alias("arguments"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("content").alias("result")))
+    line = F.concat(F.lit('{"arguments":'), canonical(F.col("name"), F.col("arguments"), schemas), F.lit(","), F.substr(F.to_json(F.struct(F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("content").alias("result"))), F.lit(2)))
     return joined.select("call_id", "name", "level", status.alias("status"), line.alias("line"))
 
 

@@ -165,3 +165,18 @@ def test_mixing_tells_domains_apart(spark):
     got = mixing.mix(docs, labels).collect()
     assert len(got) == 401
     assert all((r.p_toxic > 0.5) == (r.doc_id % 4 == 0) for r in got if r.doc_id < 400)  # the held-in labels are told apart
+
+
+def test_lines_of_calls_are_canonical_at_every_level(spark):
+    schemas = {"f": {"required": [], "max_chars": {}, "one_of": {}, "types": {"o": {"a": "integer"}, "n": "integer", "l": "array", "b": "boolean", "x": "number", "s": "string"}}}
+    calls = spark.createDataFrame(
+        [("1", "f", {"o": '{"b":1,"a":2}', "n": "3", "s": "3"}, None), ("2", "f", {"s": "3", "n": "3", "o": '{"a": 2, "b":1}'}, None), ("3", "f", {"l": '[ {"z" : null, "y":[true, "é\\u0041"]} ]', "b": "true", "x": "1.5", "n": "no number", "q": '{"b":1}'}, None), ("4", "g", {"o": '{"b": 1}'}, None), ("5", "f", None, None), ("6", None, {'k"y': "a\nb"}, None)],
+        "call_id string, name string, arguments map<string,string>, waits_for array<string>",
+    )
+    results = spark.createDataFrame([("1", "r")], "call_id string, content string")
+    got = {r.call_id: r.line for r in chat.link(calls, results, schemas).collect()}
+    assert got["1"] == '{"arguments":{"n":3,"o":{"a":2,"b":1},"s":"3"},"id":"1","name":"f","result":"r"}'
+    assert got["2"] == '{"arguments":{"n":3,"o":{"a":2,"b":1},"s":"3"},"id":"2","name":"f"}'
+    assert got["3"] == '{"arguments":{"b":true,"l":[{"y":[true,"éA"],"z":null}],"n":"no number","q":"{\\"b\\":1}","x":1.5},"id":"3","name":"f"}'
+    assert got["4"] == '{"arguments":{"o":"{\\"b\\": 1}"},"id":"4","name":"g"}'
+    assert got["5"] == '{"arguments":{},"id":"5","name":"f"}' and got["6"] == '{"arguments":{"k\\"y":"a\\nb"},"id":"6"}'
