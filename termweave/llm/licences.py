@@ -6,6 +6,10 @@ lines (parted by lines without words) and the document as a whole; scan_runs() t
 without any of the words that a match must have are left out. Templates are a short fixed list and become a literal of the plan; units never leave their row, so
 nothing is shuffled.
 
+Where several templates reach the threshold, the greatest coefficient wins: licences that differ by a word or a version have templates of
+their own, so that each of them is told by the bigrams that the other lacks. A first sentence that several licences of a family share is a template by
+itself and is reported as the family (BSD).
+
 Defined results: null and empty texts, and lines without words, match nothing; a unit of one word has
 that word as its only bigram; ties between templates go to the name that sorts first; repeated rows give
 repeated rows.
@@ -24,7 +28,7 @@ from .common import SEPARATORS, lower_ascii, table
 #: Notices by which texts are put under public licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -32,13 +36,13 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "MIT-line": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
 #: Letters from which a word seldom stands in texts that are no licence.
 LONG_WORD = 7
 
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
 _MIT_KEEP = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
@@ -53,6 +57,9 @@ _GPL = "This program is free software: you can redistribute it and/or modify it
 _GPL_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
 _APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
 _APACHE_END = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_UNLICENSE_END = "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
 #: Whole licence and notice texts, and the grants that often stand alone, for runs of lines.
 TEXTS = [
     ("Apache-2.0", _APACHE),
@@ -65,8 +72,22 @@ TEXTS = [
     ("GPL-3.0", f"{_GPL.format(3)} {_GPL_END}"),
     ("ISC", _ISC),
     ("ISC", f"{_ISC} {_ISC_END}"),
+    ("MIT", "Released under the MIT License."),
     ("MIT", _MIT),
     ("MIT", f"{_MIT} {_MIT_KEEP} {_WARRANTY}"),
+    ("AGPL-3.0", _GPL.format(3).replace("GNU General", "GNU Affero General")),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", _GPL.format(3).replace("GNU General", "GNU Lesser General")),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", f"{_UNLICENSE} {_UNLICENSE_END} {_WARRANTY}"),
+    ("Zlib", _ZLIB),
+    *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in _CC),
+    *((f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {v} 4.0 International License.") for k, v in _CC.items()),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
 

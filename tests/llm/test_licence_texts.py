@@ -51,3 +51,29 @@ def test_runs_equal_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {tuple(r) for r in licences.scan_runs(docs).collect()}
     assert got == {(k, *x) for k, t in enumerate(texts) for x in brute(t or "")} and {r[0] for r in got} >= {4, 5, 7}
+
+
+def test_every_template_is_told_from_every_other(spark):
+    known = sorted({*licences.TEMPLATES.items(), *licences.TEXTS})
+    docs = spark.createDataFrame([(k, f"{text}\nwords of the document that follow it") for k, (_, text) in enumerate(known)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(docs).filter("unit = 'line'").collect()}
+    for k, (name, _) in enumerate(known):
+        assert got[k].licence == name and got[k].dice == 1.0, name
+    grams = [set(licences_pairs(text)) for _, text in known]
+    for i, (a, _) in enumerate(known):
+        for j, (b, _) in enumerate(known):
+            assert a == b or grams[i] != grams[j]
+
+
+def licences_pairs(text):
+    w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+    return list(zip(w, w[1:], strict=False))
+
+
+def test_notices_with_a_name_or_a_year_keep_their_licence(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. Copyright 2020 someone."
+    told = [(gpl.format("GNU Lesser General Public License", 3), "LGPL-3.0"), (gpl.format("GNU Affero General Public License", 3), "AGPL-3.0"), (gpl.format("GNU General Public License", 2), "GPL-2.0"), ("It is licensed under the GNU General Public License, version 2.", "GPL-2.0")]
+    told += [("The work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("Work licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "BSD")]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(told)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(docs).collect()}
+    assert got == {k: name for k, (_, name) in enumerate(told)}
