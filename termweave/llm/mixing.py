@@ -20,6 +20,7 @@ document belongs to is left out of the sum; targets must not be negative.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,9 +204,11 @@ def rates(scored: DataFrame, weights: dict[str, float], max_rate: float | None =
     its gradient over its tokens, so that long and short documents of one posterior keep one rate; as
     posteriors sum to 1, no step length above 1 has to be ruled out: the curvature's largest eigenvalue is 1.
     Steps go on until the totals settle, at the targets or, where max_rate or the mixed posteriors rule these out,
-    as near as rates get; a fit that doesn't settle is an error.
+    as near as rates get; a fit that doesn't settle is an error. A rate follows from the posterior alone, so steps run over the
+    distinct posteriors with their tokens, and rates are joined back to the documents once.
     """
-    scored = materialise(scored)
+    everyone, own = materialise(scored), [f"p_{d}" for d in DOMAINS]
+    scored = materialise(everyone.groupBy(*own).agg(F.sum("n_tokens").alias("n_tokens")))
     tokens = {d: F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS}
     total = lambda rate: {d: v or 0.0 for d, v in scored.agg(*[F.sum(tokens[d] * rate).alias(d) for d in DOMAINS]).first().asDict().items()}
     rate: Column = F.lit(1.0)
@@ -228,7 +231,9 @@ def rates(scored: DataFrame, weights: dict[str, float], max_rate: float | None =
             raise RuntimeError(f"rates did not settle in {STEPS} steps: {got} for {target}")
         if steps % 20 == 0:  # keeps the expression short
             scored, rate = materialise(scored.withColumn("__rate", rate)), F.col("__rate")
-    return scored.withColumn("rate", rate).drop("__rate")
+    settled_rates = materialise(scored.select(*[F.col(c).alias(f"__{c}") for c in own], rate.alias("rate")))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in own])
+    return everyone.join(sized(settled_rates), same).drop(*[f"__{c}" for c in own])
 
 
 def copies(key: Column, rate: Column) -> Column:
