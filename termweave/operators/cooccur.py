@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from ..functions.text import tokens as token_array
 from .index import cut
+from .spans import overlapping, stabbed
 
 
 def slices(hits: DataFrame, left: int, right: int) -> DataFrame:
@@ -26,19 +27,14 @@ def merged(cut: DataFrame) -> DataFrame:
 
 
 def inside(toks: DataFrame, cut: DataFrame) -> DataFrame:
-    """Tokens of the slices: an equi-join on the document with the interval as a residual."""
-    return toks.join(cut, "doc_id").filter("pos >= begin and pos < end").select("doc_id", "begin", "pos", "term")
+    """Tokens of the slices."""
+    return stabbed(toks, cut).select("doc_id", "begin", "pos", "term")
 
 
 def term_counts(toks: DataFrame, cut: DataFrame) -> DataFrame:
     return inside(toks, cut).groupBy("term").agg(F.count(F.lit(1)).alias("qpf"))
 
 
-def overlapping(cut: DataFrame, hits: DataFrame) -> DataFrame:
-    """One row for each slice and dictionary hit (doc_id, start, size, phrase_id) that overlap, as half-open intervals."""
-    return cut.join(hits, "doc_id").filter("begin < start + size and start < end")
-
-
 def pmi(qpf: Column, cf: Column, n_hits: Column, coll: Column) -> Column:
     """How much likelier the term is near a hit than by chance; not a logarithm."""
     return (qpf / coll) / ((cf / coll) * (n_hits / coll))
@@ -93,7 +89,7 @@ def pmi_bigrams(docs: DataFrame, phrase: list[str], left: int = 5, right: int =
     toks = hits.select("doc_id", F.posexplode("__t").alias("pos", "term"))
     found = near_hits(hits, phrase)
     pairs = bigram_places(hits)
-    inside_ = pairs.join(merged(slices(found, left, right)), "doc_id").filter("pos >= begin and pos + 1 < end")
+    inside_ = stabbed(pairs, merged(slices(found, left, right))).filter("pos + 1 < end")
     near = inside_.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("qpf")).filter(F.col("qpf") > least)
     cf = pairs.join(near.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("cf"))
     one = found.agg(F.count(F.lit(1)).alias("n_hits")).join(toks.agg(F.count(F.lit(1)).alias("coll")))

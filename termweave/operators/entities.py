@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..functions.text import tokens as token_array
+from .blooms import bloom, may_hold
 from .index import cut
 
-#: Phrases up to which a dictionary's hashes are broadcast (16 bytes each and their terms); beyond it the join shuffles.
+#: Phrases up to which a dictionary's hashes are broadcast (16 bytes each and their terms); beyond it a Bloom filter of them is, and what passes is shuffled.
 BROADCAST_PHRASES = 500_000
 
 
@@ -21,19 +22,19 @@ def names(items: DataFrame, size: int, key: str = "item_id", text: str = "text")
     return rows.select("entity", F.explode(runs).alias("terms")).distinct().select(F.array_join("terms", " ").alias("phrase"), "terms", "entity")
 
 
-def mentions(docs: DataFrame, dictionary: DataFrame, phrase: str = "phrase", key: str = "doc_id", text: str = "text") -> DataFrame:
+def mentions(docs: DataFrame, dictionary: DataFrame, phrase: str = "phrase", key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
     """phrase, doc_id, start, size: every place of every phrase of a dictionary (phrase, terms: array<string>), overlapping ones too.
 
     Terms are hashed once, inside the row, and runs of the sizes that the dictionary has by their terms' hashes: 64 bits
     to meet the dictionary by and 32 of another hash to tell, so runs are the same by 96 bits. A frequent word in many
-    phrases makes no rows, and no run is shuffled while the dictionary is small enough to broadcast.
+    phrases makes no rows. No run is shuffled while the dictionary has at most most phrases (None: BROADCAST_PHRASES); of a
+    larger one the bits of a Bloom filter are asked inside the scan, and only runs that pass it are shuffled.
     """
     known = dictionary.select(F.col(phrase).alias("phrase"), "terms").distinct().filter(F.size("terms") > 0)
     known = known.select("phrase", F.size("terms").alias("size"), F.transform("terms", lambda x: F.xxhash64(x)).alias("h"), F.transform("terms", lambda x: F.hash(x)).alias("g"))
     known = cut(known.select("phrase", "size", F.xxhash64("h").alias("hash"), F.hash("g").alias("check")))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
-    if known.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
-        known = F.broadcast(known)
+    most, n = BROADCAST_PHRASES if most is None else most, known.count()
     kind = "array<struct<start:int,size:int,hash:bigint,check:int>>"
 
     def runs(n: int, h: Column, g: Column) -> Column:
@@ -45,7 +46,21 @@ def mentions(docs: DataFrame, dictionary: DataFrame, phrase: str = "phrase", key
         return let(F.transform(t, lambda x: F.xxhash64(x)), lambda h: let(F.transform(t, lambda x: F.hash(x)), lambda g: both(h, g)))
 
     placed = docs.select(F.col(key).alias("doc_id"), F.inline(let(token_array(F.col(text)), placed_in)))
-    return placed.join(known, ["hash", "check", "size"]).select("phrase", "doc_id", "start", "size")
+    if n > most:
+        placed = may_hold(placed, "hash", bloom(known, "hash", n), n)
+    return placed.join(F.broadcast(known) if n <= most else known, ["hash", "check", "size"]).select("phrase", "doc_id", "start", "size")
+
+
+def detected(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """doc_id, no, start, size, entity: what a tagger of texts tells, in its order: by where hits end, the longest first of those that end at one place.
+
+    A run of terms that stands in the dictionary (terms, entity) several times is told once, with its first entity in order of
+    entities. no counts from 0 in each document.
+    """
+    known = dictionary.groupBy("terms").agg(F.min("entity").alias("entity")).select("terms", F.array_join("terms", " ").alias("phrase"), "entity")
+    found = mentions(docs, known, "phrase", key, text, most).join(known.select("phrase", "entity"), "phrase")
+    order = Window.partitionBy("doc_id").orderBy(F.col("start") + F.col("size"), F.desc("size"))
+    return found.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("no"), F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), "entity")
 
 
 def ambiguity(dictionary: DataFrame) -> DataFrame:

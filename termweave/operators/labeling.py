@@ -79,6 +79,27 @@ def score_all(items: DataFrame, weights: DataFrame) -> DataFrame:
     return parts.groupBy("item_id").agg(F.sum("weight").alias("dot")).join(F.broadcast(bias)).select("item_id", F.round(F.col("dot") + F.col("bias"), 6).alias("score"))
 
 
+def write_scored_order(items: DataFrame, path: str) -> None:
+    """Items (item_id, features) in order of ids, so that a scan from an id on reads only the files and row groups behind it."""
+    items.select("item_id", "features").repartitionByRange("item_id").sortWithinPartitions("item_id").write.parquet(path)
+
+
+def scan(stored: DataFrame, weights: DataFrame, limit: int, k: int = 100, after: int | None = None, best: DataFrame | None = None) -> tuple[DataFrame, int | None]:
+    """The next limit items of a table that write_scored_order() wrote, behind the id after (None: from the first on), scored; the k best of
+    these and of an earlier scan's best (item_id, score), and the last id scored: what the next scan goes on from. Without items left it is None.
+
+    The filter on ids is pushed down to the scan, of which the limit ends the reading in order of ids.
+    """
+    rest = stored if after is None else stored.filter(F.col("item_id") > after)
+    last = rest.select("item_id").orderBy("item_id").limit(limit).agg(F.max("item_id")).first()[0]
+    if last is None:
+        none = stored.sparkSession.createDataFrame([], "item_id long, score double")
+        return (none if best is None else best), None
+    found = score_all(rest.filter(F.col("item_id") <= last), weights)
+    found = found if best is None else found.unionByName(best)
+    return cut(found.orderBy(F.desc("score"), "item_id").limit(k)), last
+
+
 def difference_weights(items: DataFrame, judged: DataFrame) -> DataFrame:
     """feature, weight: in how many more positive than negative items (item_id, positive) a feature stands; items: item_id, features (each once)."""
     own = items.join(judged, "item_id").select(F.explode("features").alias("feature"), F.when(F.col("positive"), 1).otherwise(-1).alias("w"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens as token_array
+from .spans import stabbed
 
 
 def labelled(docs: DataFrame, field: str, value: str, key: str = "doc_id") -> DataFrame:
@@ -76,12 +77,12 @@ def hit_spans(hits: DataFrame, tag: str) -> DataFrame:
 def tokens_in_spans(toks: DataFrame, spans: DataFrame, tag: str = "line") -> DataFrame:
     """doc_id, no, pos, term, tags for each token of a span of the tag; tags: the other tags that contain the token, none as an empty array.
 
-    Joins are by document; tokens meet the few spans of their own document only.
+    Tokens meet the spans by document and bucket of places.
     """
     own = spans.filter(F.col("tag") == tag).select("doc_id", "no", "begin", "end")
-    placed = toks.join(own, "doc_id").filter("pos >= begin and pos < end").select("doc_id", "no", "pos", "term")
+    placed = stabbed(toks, own).select("doc_id", "no", "pos", "term")
     other = spans.filter(F.col("tag") != tag).select("doc_id", "tag", "begin", "end")
-    over = toks.select("doc_id", "pos").join(other, "doc_id").filter("pos >= begin and pos < end").groupBy("doc_id", "pos").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    over = stabbed(toks.select("doc_id", "pos"), other).groupBy("doc_id", "pos").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     return placed.join(over, ["doc_id", "pos"], "left").select("doc_id", "no", "pos", "term", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 

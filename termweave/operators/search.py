@@ -70,26 +70,6 @@ def dirichlet(tf: Column, length: Column, cf: Column, coll: Column, mu: float =
     return F.ln(tf + mu * F.when(cf > 0, cf / coll).otherwise(0.5 / coll)) - F.ln(length + mu)
 
 
-def query_likelihood(toks: DataFrame, doc_stats: DataFrame, queries: dict[str, list[str]], smoothing: str = "dirichlet", k: int = 10, coll_len: int | None = None) -> DataFrame:
-    """qid, doc_id, score, rank: the k best documents of each query, all queries in one job.
-
-    Candidates have any of a query's terms; terms that occur nowhere are dropped; repeated terms count as
-    often as they stand in the query; the score is their mean.
-    """
-    wanted = [(q, t, terms.count(t)) for q, terms in queries.items() for t in dict.fromkeys(terms)]
-    q = _frame(toks, wanted, "qid string, term string, qtf int")
-    tf = toks.join(q.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    cf = tf.groupBy("term").agg(F.sum("tf").alias("cf"))
-    known = q.join(cf, "term")  # as many rows as the queries have terms
-    coll = doc_stats.agg(F.sum("len").alias("coll")) if coll_len is None else toks.sparkSession.createDataFrame([(coll_len,)], "coll long")
-    candidates = tf.join(F.broadcast(known), "term").select("qid", "doc_id").distinct()
-    pairs = candidates.join(F.broadcast(known), "qid").join(tf, ["term", "doc_id"], "left").join(doc_stats, "doc_id").join(F.broadcast(coll))
-    args = (F.coalesce("tf", F.lit(0)), F.col("len"), F.col("cf"), F.col("coll"))
-    one = jelinek_mercer(*args) if smoothing in ("jm", "linear") else dirichlet(*args)
-    scored = pairs.groupBy("qid", "doc_id").agg((F.sum(F.col("qtf") * one) / F.sum("qtf")).alias("score"))
-    return ranked(scored.withColumn("score", F.round("score", 6)), k)
-
-
 def likelihood(docs: DataFrame, queries: dict[str, dict[str, float]], smoothing: str = "dirichlet", k: int | None = 10, within: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """qid, doc_id, score, rank: the k best documents of weighted queries (qid to term to weight), in one scan of the texts.
 
@@ -119,20 +99,56 @@ def likelihood(docs: DataFrame, queries: dict[str, dict[str, float]], smoothing:
     return ranked(rows.select("doc_id", F.inline(made)).select("qid", "doc_id", "score"), k)
 
 
-def likelihood_of_many(toks: DataFrame, doc_stats: DataFrame, queries: DataFrame, k: int = 10, smoothing: str = "dirichlet") -> DataFrame:
-    """qid, doc_id, score, rank for any number of queries (qid, term, weight): joins of postings with queries by term, nothing of either is collected."""
+#: Documents of a block, about, that are left out together where none of them can be among the best.
+BLOCK = 128
+
+
+def likelihood_of_many(toks: DataFrame, doc_stats: DataFrame, queries: DataFrame, k: int | None = 10, smoothing: str = "dirichlet", coll_len: int | None = None, block: int = BLOCK) -> DataFrame:
+    """qid, doc_id, score, rank for any number of queries (qid, term, weight of 0 or more): nothing of either side is collected.
+
+    A score is what the query and the document's length say for a document without any of the terms, and a gain for each posting
+    that matches. So rows are made for matching postings alone. Documents fall into blocks by hash; a block's largest count of each term bounds its
+    documents' gains, its shortest document their lengths' part. The k best documents by the rarest term of a query give a score that
+    the k best reach at least; a query's blocks whose bound is under that are passed over before their postings are read. Joins are by
+    term and block, so a frequent term is dealt over all its blocks.
+    """
+    sizes = doc_stats.agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("coll")).first()
+    coll = F.lit(float((sizes["coll"] if coll_len is None else coll_len) or 0))
+    of = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, sizes["n"] // block)))
     tf = toks.join(queries.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    tf = cut(tf)
-    cf = tf.groupBy("term").agg(F.sum("tf").alias("cf"))
-    known = queries.join(cf, "term")
-    coll = doc_stats.agg(F.sum("len").alias("coll"))
-    one = jelinek_mercer if smoothing in ("jm", "linear") else dirichlet
-    own = tf.join(known, "term").select("qid", "doc_id", "term", "weight", "tf", "cf")
-    candidates = own.select("qid", "doc_id").distinct()
-    pairs = candidates.join(known, "qid").join(own.select("qid", "doc_id", "term", "tf"), ["qid", "doc_id", "term"], "left").join(doc_stats, "doc_id").join(F.broadcast(coll))
-    each = one(F.coalesce("tf", F.lit(0)), F.col("len"), F.col("cf"), F.col("coll"))
-    scored = pairs.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * each) / F.sum("weight"), 6).alias("score"))
-    return ranked(scored, k)
+    own = cut(tf.join(doc_stats, "doc_id").select("term", of.alias("block"), "doc_id", "tf", "len"))
+    known = cut(queries.join(own.groupBy("term").agg(F.sum("tf").alias("cf")), "term").select("qid", "term", F.col("weight").cast("double").alias("weight"), "cf"))
+    linear, p, mu, share = smoothing in ("jm", "linear"), F.col("cf") / coll, 1500.0, 0.8
+    # what a term without a posting gives; how much more a posting gives, from its count, or from its part of the document
+    base = F.ln((1 - share) * p) if linear else F.ln(mu * p)
+    rate = lambda tf, length: tf / length if linear else tf
+    gain = lambda x: F.col("weight") * F.log1p(share * x / ((1 - share) * p) if linear else x / (mu * p))
+    long = lambda length: F.lit(0.0) if linear else F.ln(length + mu)
+    score = lambda gains, length: (F.col("base") + gains) / F.col("total") - long(length)
+    whole = known.groupBy("qid").agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * base).alias("base")).filter("total > 0")
+    lists = own.groupBy("term", "block").agg(F.max(rate(F.col("tf"), F.col("len"))).alias("most"), F.min("len").alias("shortest"))
+    bounds = lists.join(known, "term").groupBy("qid", "block").agg(F.sum(gain(F.col("most"))).alias("gains"), F.min("shortest").alias("shortest"))
+    kept = bounds.join(whole, "qid")
+    if k is not None:
+        rarest = known.groupBy("qid").agg(F.min_by(F.struct("term", "weight", "cf"), F.struct("cf", "term")).alias("x")).select("qid", "x.*")
+        some = own.join(rarest, "term").join(whole, "qid").select("qid", score(gain(rate(F.col("tf"), F.col("len"))), F.col("len")).alias("low"))
+        place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("low")))
+        floor = some.withColumn("place", place).filter(F.col("place") == k).select("qid", "low")
+        # bounds and scores are sums in another order: a margin far above what that changes
+        kept = kept.join(floor, "qid", "left").filter(F.col("low").isNull() | (score(F.col("gains"), F.col("shortest")) >= F.col("low") - 1e-6))
+    wanted = kept.select("qid", "block", "base", "total").join(known, "qid")
+    gains = own.join(wanted, ["term", "block"]).groupBy("qid", "doc_id", "len", "base", "total").agg(F.sum(gain(rate(F.col("tf"), F.col("len")))).alias("gains"))
+    return ranked(gains.select("qid", "doc_id", F.round(score(F.col("gains"), F.col("len")), 6).alias("score")), k)
+
+
+def query_likelihood(toks: DataFrame, doc_stats: DataFrame, queries: dict[str, list[str]], smoothing: str = "dirichlet", k: int | None = 10, coll_len: int | None = None) -> DataFrame:
+    """qid, doc_id, score, rank: the k best documents of each query, all queries in one job.
+
+    Candidates have any of a query's terms; terms that occur nowhere are dropped; repeated terms count as
+    often as they stand in the query; the score is their mean.
+    """
+    wanted = [(q, t, float(terms.count(t))) for q, terms in queries.items() for t in dict.fromkeys(terms)]
+    return likelihood_of_many(toks, doc_stats, _frame(toks, wanted, "qid string, term string, weight double"), k, smoothing, coll_len)
 
 
 def counted(queries: dict[str, list[str]]) -> dict[str, dict[str, float]]:

@@ -38,9 +38,10 @@ def reader_queries(s, d):
 
 
 def reader_queries_json(s, d):
-    items = _t(s, d, "benchmark").select(F.collect_list(F.struct(F.col("item_id").cast("string").alias("number"), "text")).alias("queries"))
-    items.write.json(path := _place(s))
-    return readers.queries_json(s, path).select("qid", F.md5("text").alias("text_md5"))
+    """Objects of about a hundred queries each, dealt by hash, one a line."""
+    one, n = F.struct(F.col("item_id").cast("string").alias("number"), "text"), _t(s, d, "benchmark").count() // 100 + 1
+    _t(s, d, "benchmark").groupBy(F.pmod(F.xxhash64("item_id"), F.lit(n)).alias("part")).agg(F.collect_list(one).alias("queries")).drop("part").write.json(path := _place(s))
+    return readers.queries_json(s, path, lines=True).select("qid", F.md5("text").alias("text_md5"))
 
 
 def reader_features(s, d):
@@ -104,6 +105,23 @@ def reader_scans(s, d):
     return scans.select("archive", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", " ")).alias("terms_md5"), F.size(F.array_distinct("boxes")).cast("long").alias("n_boxes"))
 
 
+def _books(s, d):
+    """Conversations as scanned books of several lines, one file for each language of letters, turns as pages."""
+    word = lambda x: F.concat(F.lit('<WORD coords="1,2,3,4">'), x, F.lit("</WORD>"))
+    page = F.concat(F.lit("<OBJECT>"), F.array_join(F.transform(fn.tokens(F.col("text")), word), "\n"), F.lit("</OBJECT>"))
+    rows = _t(s, d, "conversations").select((F.col("conv_id") % 3).cast("string").alias("book"), "conv_id", "turn", page.alias("value"))
+    head = s.range(3).select(F.col("id").cast("string").alias("book"), F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.concat(F.lit('<DjVuXML archive="book'), "id", F.lit('"><BODY>')).alias("value"))
+    tail = head.select("book", F.lit(1 << 62).alias("conv_id"), "turn", F.lit("</BODY></DjVuXML>").alias("value"))
+    path = _place(s)
+    head.union(rows).union(tail).repartition(3, "book").sortWithinPartitions("book", "conv_id", "turn").select("book", "value").write.partitionBy("book").text(path)
+    return path
+
+
+def reader_scans_files(s, d):
+    """Books that are files of their own: each page is a row, numbered within its book."""
+    return readers.page_scans(s, f"{_books(s, d)}/*").select("archive", "page", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", " ")).alias("terms_md5"))
+
+
 def reader_csv(s, d):
     _t(s, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.csv(path := _place(s), header=True)
     return readers.codebook_csv(s, path, {"c_custkey": "number", "c_name": "categorical", "c_acctbal": "real"})
@@ -150,8 +168,8 @@ def reader_topics(s, d):
 
 
 def reader_topics_html(s, d):
-    line = F.concat(F.lit("<p><b>"), "item_id", F.lit("</b> <i>"), fn.tokens(F.col("text"))[0], F.lit("</i></p>"))
-    return readers.topics_html(s, _lines(_t(s, d, "benchmark"), line, _place(s)))
+    line = F.concat(F.lit("<p><b>"), "item_id", F.lit("</b> <i>"), F.array_join(fn.tokens(F.col("text")), " "), F.lit("</i></p>"))
+    return readers.topics_html(s, _lines(_t(s, d, "benchmark"), line, _place(s))).select("qid", F.md5("title").alias("title_md5"))
 
 
 def reader_candidates(s, d):
@@ -174,9 +192,9 @@ def reader_titles(s, d):
 
 
 def positional_join(s, d):
-    """Nations' names and numbers in two files, line by line."""
-    rows = _t(s, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
-    a, b = _lines(rows, F.col("n_name"), _place(s)), _lines(rows, F.col("n_nationkey").cast("string"), _place(s))
+    """Customers' names and numbers in two texts of several files, line by line."""
+    rows = index.cut(_t(s, d, "customer").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey"))
+    a, b = (_lines(rows.sort("c_custkey"), v, _place(s)) for v in (F.col("c_name"), F.col("c_custkey").cast("string")))
     return readers.by_position(readers.numbered_lines(s, a), readers.numbered_lines(s, b)).select(F.col("left").alias("name"), F.col("right").alias("number"))
 
 
@@ -241,7 +259,7 @@ def sentence_index(s, d):
     return stored.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "no").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (reader_run, reader_qrels, reader_queries, reader_queries_json, reader_features, reader_json, reader_escaped_tsv, reader_conll, reader_triples, reader_categories, reader_edges, reader_mentions, reader_scans, reader_csv, reader_annotated, reader_annotations, reader_votes, reader_difficulty, reader_prior, reader_topics, reader_topics_html, reader_candidates, reader_zips, reader_titles, positional_join, named_archive, dataset_config, stored_postings, stored_terms, stored_phrase, stored_ranking, stored_names, phrase_tables, sentence_index)}
+QUERIES = {f.__name__: f for f in (reader_run, reader_qrels, reader_queries, reader_queries_json, reader_features, reader_json, reader_escaped_tsv, reader_conll, reader_triples, reader_categories, reader_edges, reader_mentions, reader_scans, reader_scans_files, reader_csv, reader_annotated, reader_annotations, reader_votes, reader_difficulty, reader_prior, reader_topics, reader_topics_html, reader_candidates, reader_zips, reader_titles, positional_join, named_archive, dataset_config, stored_postings, stored_terms, stored_phrase, stored_ranking, stored_names, phrase_tables, sentence_index)}
 
 _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _A = f"{_QL}, a0 as (select qid, doc_id, round(avg(ln(tf + 1500.0 * cf / c) - ln(len + 1500.0)), 6) score from pr group by all), a as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id) rank from a0) where rank <= 10)"
@@ -260,6 +278,7 @@ ORACLE_SQL = {
     "reader_edges": "select source src, lang dst, count(*) n from documents group by all",
     "reader_mentions": "select source mention, lang entity, count(*) n from documents group by all",
     "reader_scans": f"select conv_id::varchar archive, len(w) n, md5(array_to_string(w, ' ')) terms_md5, 1::bigint n_boxes from (select conv_id, {_W} w from conversations) where len(w) > 0",
+    "reader_scans_files": f"select * from (select 'book' || (conv_id % 3) archive, row_number() over (partition by conv_id % 3 order by conv_id, turn) - 1 page, len(w) n, md5(array_to_string(w, ' ')) terms_md5 from (select *, {_W} w from conversations)) where n > 0",
     "reader_csv": "select c_custkey, c_name, c_acctbal from customer",
     "reader_annotated": "with ll as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents), ln as (select doc_id, unnest(range(len(l))) no, unnest(l) line from ll), lc as (select *, len(regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+')) n from ln) select doc_id, no, b \"begin\", b + n \"end\" from (select *, cast(coalesce(sum(n) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0) as bigint) b from lc) where n > 0",
     "reader_annotations": "select source mention, lang entity, count(*) n from documents group by all",
@@ -267,11 +286,11 @@ ORACLE_SQL = {
     "reader_difficulty": "select source query, 'hard' difficulty, string_agg(distinct lang, ',' order by lang) entities from documents group by source",
     "reader_prior": "select vec_id::varchar id, label::double score from embeddings",
     "reader_topics": f"select item_id::varchar qid, w[1] title, md5(array_to_string(w, ' ')) description_md5 from (select item_id, {_W} w from benchmark)",
-    "reader_topics_html": f"select item_id::varchar qid, w[1] title from (select item_id, {_W} w from benchmark)",
+    "reader_topics_html": f"select item_id::varchar qid, md5(array_to_string(w, ' ')) title_md5 from (select item_id, {_W} w from benchmark)",
     "reader_candidates": "with p as (select 'candidate-' || c_custkey id, lower(c_mktsegment || ' ' || c_name) form, lower('c' || c_custkey || '@example.org') email from customer) select form, id, 'name' kind from p union all select email, id, 'email' from p",
     "reader_zips": f"with {_ZIP}, f as (select zip, unnest(list_distinct([zip, city || ' MA', city || ' Massachusetts', city || ' MA ' || zip, city || ' Massachusetts ' || zip, city || ' ' || zip, 'MA ' || zip, 'Massachusetts ' || zip, zip || ' ' || city, zip || ' ' || city || ' MA', zip || ' ' || city || ' Massachusetts', zip || ' MA', zip || ' Massachusetts'])) form from z) select lower(form) form, zip from f",
     "reader_titles": "with t as (select distinct p_name from part) select array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '_') || '_(kind)' title, p_name terms from t",
-    "positional_join": "select n_name \"name\", n_nationkey::varchar \"number\" from nation",
+    "positional_join": "select c_name \"name\", c_custkey::varchar \"number\" from customer",
     "named_archive": "select source \"name\", md5(min(coalesce(text, ''))) text_md5 from documents group by source",
     "dataset_config": "select lang, count(*) n from documents group by lang",
     "stored_postings": f"{TOKS} select term, doc_id, count(*) tf, string_agg(pos, ',' order by pos) positions from tok where term in {_IN} group by all",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import json_unescaped, normal_name
 from ..functions.text import tokens as token_array
+from ..operators.index import cut
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -37,8 +39,8 @@ def features_file(spark: SparkSession, path: str) -> DataFrame:
     """qid, doc, grade, fid, value: one row for each feature of a ranking line 'grade qid:Q f:v ... # doc'."""
     v = spark.read.text(path).filter(F.col("value").rlike(r"^\s*-?\d+\s+qid:"))
     body, doc = F.split(F.trim(F.substring_index("value", "#", 1)), r"\s+"), F.trim(F.substring_index("value", "#", -1))
-    cut = v.select(F.split(body[1], ":")[1].alias("qid"), doc.alias("doc"), body[0].cast("int").alias("grade"), F.explode(F.slice(body, 3, F.greatest(F.size(body) - 2, F.lit(0)))).alias("f"))
-    return cut.select("qid", "doc", "grade", F.split("f", ":")[0].alias("fid"), F.split("f", ":")[1].cast("double").alias("value"))
+    rows = v.select(F.split(body[1], ":")[1].alias("qid"), doc.alias("doc"), body[0].cast("int").alias("grade"), F.explode(F.slice(body, 3, F.greatest(F.size(body) - 2, F.lit(0)))).alias("f"))
+    return rows.select("qid", "doc", "grade", F.split("f", ":")[0].alias("fid"), F.split("f", ":")[1].cast("double").alias("value"))
 
 
 def write_features(features: DataFrame, path: str, lines: int = 20_000) -> None:
@@ -63,14 +65,40 @@ def json_documents(spark: SparkSession, path: str, variables: str = "") -> DataF
     return spark.read.schema("docid string, text string" + (f", {variables}" if variables else "")).json(path)
 
 
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, split (its first byte), at (grows within a split), value: the lines of files of any size, which are cut into splits of
+    spark.sql.files.maxPartitionBytes. Written once, so that every later pass sees the same splits."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    return cut(rows)
+
+
+def numbered(lines: DataFrame, marks: dict[str, Column], through: bool = False) -> DataFrame:
+    """Adds to split_lines() no, the line's number from 0 in its file, and for each of marks (conditions) how many lines have it up to here.
+
+    Two passes: each split's lines and marks are counted, and their sums over the splits before (a row each) are added to what is counted inside
+    a split. through: numbers go on from file to file, in order of their names.
+    """
+    flags = {m: c.cast("long").alias(f"__{m}") for m, c in marks.items()}
+    rows = lines.select("*", *flags.values())
+    sums = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("__lines"), *[F.coalesce(F.sum(f"__{m}"), F.lit(0)).alias(f"__all_{m}") for m in marks])
+    before = Window.orderBy("file", "split") if through else Window.partitionBy("file").orderBy("split")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c, to: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(to)
+    offsets = cut(sums.select("file", "split", offset("__lines", "__no"), *[offset(f"__all_{m}", f"__from_{m}") for m in marks]))
+    inside = Window.partitionBy("file", "split").orderBy("at")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumns({"__own": F.row_number().over(inside) - 1, **{f"__upto_{m}": F.coalesce(F.sum(f"__{m}").over(upto), F.lit(0)) for m in marks}})
+    both = counted.join(offsets, ["file", "split"])
+    return both.select(*lines.columns, (F.col("__no") + F.col("__own")).alias("no"), *[(F.col(f"__from_{m}") + F.col(f"__upto_{m}")).alias(m) for m in marks])
+
+
 def conll(spark: SparkSession, path: str) -> DataFrame:
-    """doc, sentence, pos, word, pos_tag, chunk, ner from four-column blocks; one file is one ordered stream, files run in parallel."""
-    v = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").select("file", F.posexplode(F.split("value", r"\n")).alias("line", "value"))
-    upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    marked = v.withColumns({"doc": F.sum(F.col("value").startswith("-DOCSTART-").cast("int")).over(upto), "sentence": F.sum((F.trim("value") == "").cast("int")).over(upto)})
+    """file, doc, sentence, pos, word, pos_tag, chunk, ner from four-column blocks. Files are cut into splits, and documents, sentences and places numbered over these."""
+    begins = F.col("value").startswith("-DOCSTART-")
+    marked = numbered(split_lines(spark, path), {"doc": begins, "sentence": F.trim("value") == ""})
     c = F.split(F.trim("value"), r"\s+")
-    words = marked.filter((F.trim("value") != "") & ~F.col("value").startswith("-DOCSTART-"))
-    pos = F.row_number().over(Window.partitionBy("file", "doc", "sentence").orderBy("line")) - 1
+    words = marked.filter((F.trim("value") != "") & ~begins)
+    pos = F.row_number().over(Window.partitionBy("file", "doc", "sentence").orderBy("no")) - 1
     return words.select("file", "doc", "sentence", pos.alias("pos"), c[0].alias("word"), c[1].alias("pos_tag"), c[2].alias("chunk"), c[3].alias("ner"))
 
 
@@ -100,17 +128,39 @@ def write_escaped_tsv(docs: DataFrame, path: str) -> None:
     docs.select(F.concat_ws("\t", F.col("name").cast("string"), inner("title"), inner("body")).alias("value")).write.text(path)
 
 
-def _xml(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
-    """x: the root element of each file, or of each line where lines hold whole elements. Malformed ones are null."""
-    return spark.read.text(path, wholetext=not lines).select(F.from_xml("value", schema).alias("x"))
+def _lines_of_xml(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """x: the element that each line holds. Malformed ones are null."""
+    return spark.read.text(path).select(F.from_xml("value", schema).alias("x"))
+
+
+def _elements(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
+    """file, no and the members of each element of that name, numbered from 0 in order within their file: a file streams by, an element is a row.
+
+    A malformed element is a row of nulls, so that those behind it keep their numbers.
+    """
+    kinds = T.StructType([*T._parse_datatype_string(schema), T.StructField("__malformed", T.StringType())])
+    rows = spark.read.format("xml").option("rowTag", row).option("columnNameOfCorruptRecord", "__malformed").schema(kinds).load(path)
+    placed = cut(rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *[c for c in kinds.names if c != "__malformed"]))
+    first = placed.groupBy("file").agg(F.min("at").alias("__first"))  # a row a file
+    return placed.join(first, "file").withColumn("no", F.col("at") - F.col("__first")).drop("at", "__first")
 
 
 def page_scans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """archive, page, terms, boxes of scanned books in XML: an OBJECT is a page, a WORD a word with its coords. Pages without words are left out, the others keep their number."""
-    books = _xml(spark, path, "_archive string, BODY struct<OBJECT:array<struct<WORD:array<struct<_VALUE:string,_coords:string>>>>>", lines)
-    pages = books.select(F.col("x._archive").alias("archive"), F.posexplode("x.BODY.OBJECT").alias("page", "o"))
-    kept = F.filter("o.WORD", lambda w: F.trim(w["_VALUE"]) != "")
-    return pages.select("archive", F.col("page").cast("long").alias("page"), F.transform(kept, lambda w: F.trim(w["_VALUE"])).alias("terms"), F.transform(kept, lambda w: w["_coords"]).alias("boxes")).filter(F.size("terms") > 0)
+    """archive, page, terms, boxes of scanned books in XML: an OBJECT is a page, a WORD a word with its coords. Pages without words are left out, the others keep their number.
+
+    lines: each line is a whole book; else each file is one, of any length: a page is a row, and the archive is what the file's first line with one names.
+    """
+    kind = "WORD array<struct<_VALUE:string,_coords:string>>"
+    if lines:
+        books = _lines_of_xml(spark, path, f"_archive string, BODY struct<OBJECT:array<struct<{kind.replace(' ', ':', 1)}>>>")
+        pages = books.select(F.col("x._archive").alias("archive"), F.posexplode("x.BODY.OBJECT").alias("page", "o")).select("archive", F.col("page").cast("long").alias("page"), "o.WORD")
+    else:
+        name = F.regexp_extract("value", r'<DjVuXML[^>]*\barchive="([^"]*)"', 1)
+        named = spark.read.text(path).filter(F.col("value").contains("<DjVuXML")).select(F.col("_metadata.file_path").alias("file"), name.alias("archive"))
+        named = named.groupBy("file").agg(F.min(F.nullif("archive", F.lit(""))).alias("archive"))
+        pages = _elements(spark, path, "OBJECT", kind).join(named, "file", "left").select("archive", F.col("no").alias("page"), "WORD")
+    kept = F.filter("WORD", lambda w: F.trim(w["_VALUE"]) != "")
+    return pages.select("archive", "page", F.transform(kept, lambda w: F.trim(w["_VALUE"])).alias("terms"), F.transform(kept, lambda w: w["_coords"]).alias("boxes")).filter(F.size("terms") > 0)
 
 
 #: Spark types of a codebook's kinds of variables.
@@ -143,9 +193,9 @@ def annotations_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(c, F.lit(2)).alias("mention"), F.get(c, F.lit(7)).alias("entity")).filter("entity is not null")
 
 
-def queries_json(spark: SparkSession, path: str) -> DataFrame:
-    """qid, text of files of {"queries": [{"number": ..., "text": ...}]}."""
-    rows = spark.read.option("multiLine", True).schema("queries array<struct<number:string,text:string>>").json(path)
+def queries_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """qid, text of files of {"queries": [{"number": ..., "text": ...}]}; lines: each line is such an object, so that a file can be cut."""
+    rows = spark.read.option("multiLine", not lines).schema("queries array<struct<number:string,text:string>>").json(path)
     return rows.select(F.inline("queries")).select(F.col("number").alias("qid"), "text")
 
 
@@ -169,8 +219,12 @@ def prior_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def topics_xml(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """qid, title, description of <topics> of <topic number=""><title/><description/></topic>."""
-    rows = _xml(spark, path, "topic array<struct<_number:string,title:string,description:string>>", lines).select(F.inline("x.topic"))
+    """qid, title, description of <topic number=""><title/><description/></topic> elements; lines: each line is a whole <topics> element. Malformed topics are left out."""
+    kind = "_number string, title string, description string"
+    if lines:
+        rows = _lines_of_xml(spark, path, f"topic array<struct<{kind.replace(' ', ':')}>>".replace(",:", ",")).select(F.inline("x.topic"))
+    else:
+        rows = _elements(spark, path, "topic", kind).filter("_number is not null")
     return rows.select(F.col("_number").alias("qid"), F.trim("title").alias("title"), F.trim("description").alias("description"))
 
 
@@ -212,13 +266,13 @@ def dictionary_of_titles(titles: DataFrame, longest: int, title: str = "title")
 
 
 def by_position(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Lines of two texts side by side: the rows of one number. Numbers come from Spark's row places in files read whole, in order."""
+    """Lines of two texts side by side: the rows of one number."""
     return left.join(right, "no").select("no", left["value"].alias("left"), right["value"].alias("right"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """no, value: the lines of one text file with their numbers; the file is one ordered stream."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("no", "value"))
+    """no, value: the lines of a text with their numbers, from file to file in order of names; a file's splits are numbered by several tasks."""
+    return numbered(split_lines(spark, path), {}, through=True).select("no", "value")
 
 
 def parts_of_triples(spark: SparkSession, path: str, predicate: str, mark: str = "Category:") -> DataFrame:
