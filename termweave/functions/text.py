@@ -164,3 +164,12 @@ def counts_of(values: Column) -> Column:
 def merged_maps(a: Column, b: Column) -> Column:
     """Two maps of numbers added."""
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def string_hash(text: Column) -> Column:
+    """The 32-bit hash of a string's UTF-16 units by which h becomes 31 h + unit: what hash-numbered vocabularies count by."""
+    code = F.transform(F.split(text, ""), lambda c: F.call_function("ascii", c).cast("long"))
+    pair = lambda c: F.array(55296 + F.shiftright(c - 65536, 10), 56320 + (c - 65536).bitwiseAND(1023))
+    units = F.flatten(F.transform(F.filter(code, lambda c: c > 0), lambda c: F.when(c > 65535, pair(c)).otherwise(F.array(c))))
+    h = F.aggregate(units, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(0xFFFFFFFF))
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)

@@ -83,18 +83,44 @@ def pmi_terms_of(docs: DataFrame, phrase: list[str], left: int = 5, right: int =
     return scored.select("term", "qpf", "cf", F.round(pmi(*map(F.col, ("qpf", "cf", "n_hits", "coll"))), 6).alias("pmi")).orderBy(F.desc("pmi"), "term").limit(k)
 
 
-def pmi_bigrams(docs: DataFrame, phrase: list[str], left: int = 5, right: int = 5, least: int = 4, k: int = 30, text: str = "text") -> DataFrame:
-    """t1, t2, qpf, cf, pmi: neighbours in slices (a gap between slices parts them), each with its exact frequency."""
-    hits = docs.select(F.col("doc_id"), token_array(F.col(text)).alias("__t"))
-    toks = hits.select("doc_id", F.posexplode("__t").alias("pos", "term"))
-    found = near_hits(hits, phrase)
-    pairs = bigram_places(hits)
+def bounded_bigrams(docs: DataFrame, phrase: list[str], left: int = 5, right: int = 5, least: int = 4, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """t1, t2, qpf, low, high of neighbours in slices (a gap between slices parts them) with more than least occurrences there, and n_hits, coll.
+
+    low and high bound how often two stand together at all: as often as in the documents with a hit at least, as often as the rarer of them
+    at most. Only documents with hits are cut into pairs.
+    """
+    rows = docs.select("doc_id", token_array(F.col(text)).alias("__t"))
+    found = cut(near_hits(rows, phrase))
+    pairs = cut(bigram_places(rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi")))
     inside_ = stabbed(pairs, merged(slices(found, left, right))).filter("pos + 1 < end")
-    near = inside_.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("qpf")).filter(F.col("qpf") > least)
-    cf = pairs.join(near.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("cf"))
-    one = found.agg(F.count(F.lit(1)).alias("n_hits")).join(toks.agg(F.count(F.lit(1)).alias("coll")))
-    scored = near.join(cf, ["t1", "t2"]).join(F.broadcast(one))
-    return scored.select("t1", "t2", "qpf", "cf", F.round(pmi(*map(F.col, ("qpf", "cf", "n_hits", "coll"))), 6).alias("pmi")).orderBy(F.desc("pmi"), "t1", "t2").limit(k)
+    near = cut(inside_.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("qpf")).filter(F.col("qpf") > least))
+    low = pairs.join(near.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("low"))
+    counted_ = cut(rows.select(F.explode("__t").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf")))
+    one, two = (counted_.select(F.col("term").alias(t), F.col("cf").alias(f"cf_{t}")) for t in ("t1", "t2"))
+    bounds = near.join(low, ["t1", "t2"]).join(one, "t1").join(two, "t2").select("t1", "t2", "qpf", "low", F.least("cf_t1", "cf_t2").alias("high"))
+    return cut(bounds), cut(found.agg(F.count(F.lit(1)).alias("n_hits")).join(counted_.agg(F.sum("cf").alias("coll"))))
+
+
+def pmi_bigrams(docs: DataFrame, phrase: list[str], left: int = 5, right: int = 5, least: int = 4, k: int = 30, text: str = "text", approximate: bool = False) -> DataFrame:
+    """t1, t2, qpf, cf, pmi: the k best neighbours in slices, with exact frequencies; approximate: with their upper bounds, without counting.
+
+    A pair's PMI lies between those by the bounds of its frequency. The k-th best lower end leaves out pairs whose upper end doesn't reach it;
+    only what is left and whose bounds differ is counted over all documents.
+    """
+    bounds, one = bounded_bigrams(docs, phrase, left, right, least, text)
+    score = lambda cf: pmi(F.col("qpf"), F.col(cf), F.col("n_hits"), F.col("coll"))
+    ends = bounds.join(F.broadcast(one)).withColumns({"worst": score("high"), "best": score("low")})
+    if approximate:
+        known = ends.withColumn("cf", F.col("high"))
+    else:
+        kth = ends.orderBy(F.desc("worst")).limit(k).agg(F.min("worst"), F.count(F.lit(1))).first()
+        # a margin above what rounding changes
+        open_ = cut(ends.filter(F.col("best") >= (kth[0] - 1e-6 if kth[1] == k else 0.0)))
+        asked = open_.filter("low < high").select("t1", "t2")
+        pairs = bigram_places(docs.select("doc_id", token_array(F.col(text)).alias("__t"))).select("t1", "t2")
+        exact = pairs.join(asked, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("exact"))
+        known = open_.join(exact, ["t1", "t2"], "left").withColumn("cf", F.coalesce("exact", "low"))
+    return known.select("t1", "t2", "qpf", "cf", F.round(score("cf"), 6).alias("pmi")).orderBy(F.desc("pmi"), "t1", "t2").limit(k)
 
 
 def near_hits(rows: DataFrame, phrase: list[str]) -> DataFrame:

@@ -66,6 +66,18 @@ def local_contexts(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats:
     return scored.withColumn("r", r).filter(F.col("r") <= k).drop("r")
 
 
+def sweep(top: DataFrame, toks: DataFrame, doc_stats: DataFrame, stats: DataFrame, docs: tuple[int, ...], depth: int, drop: list[str] | None = None, mu: float = 1000.0) -> DataFrame:
+    """n_docs, qid, term, score, rank: local_contexts() from the first so many documents of ranked lists (qid, doc_id, score), for all numbers in one job; a
+    shallower list is its first ranks."""
+    numbers = F.array(*[F.lit(n) for n in sorted(set(docs))])
+    placed = top.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
+    # a query's list of one length counts as a query of its own
+    lists = placed.withColumn("n_docs", F.explode(F.filter(numbers, lambda n: n >= F.col("__r")))).select(F.struct("n_docs", "qid").alias("qid"), "doc_id", "score")
+    terms = local_contexts(lists, toks, doc_stats, stats, mu, depth, drop)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "term")).cast("long")
+    return terms.withColumn("rank", rank).select("qid.n_docs", "qid.qid", "term", "score", "rank")
+
+
 #: Scores of an entity from each document that mentions it: posterior, mentions c, document length l, collection frequency cf and length.
 ENTITY_METHODS = ("rm", "drm", "gdrm", "gnb")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .index import cut
@@ -106,6 +106,26 @@ def difference_weights(items: DataFrame, judged: DataFrame) -> DataFrame:
     return own.groupBy("feature").agg(F.sum("w").alias("weight")).filter("weight <> 0")
 
 
+def seed_curve(items: DataFrame, judged: DataFrame, sizes: list[int]) -> DataFrame:
+    """seeds, item_id, score of every judged item under the difference weights of the first so many seeds, for all sizes in one job; judged: item_id, positive, place (from 1).
+
+    Weights of growing seeds are sums over the steps between sizes, so a feature has a row for each step in which it changes, and an
+    item's score of a size is the sum over the steps up to it.
+    """
+    sizes = sorted(set(sizes))
+    step = F.lit(None).cast("int")
+    for n in reversed(sizes):
+        step = F.when(F.col("place") <= n, n).otherwise(step)
+    own = judged.withColumn("step", step)
+    told = items.join(own, "item_id").select("item_id", "positive", "step", F.explode("features").alias("feature"))
+    changed = told.filter("step is not null").groupBy("feature", "step").agg(F.sum(F.when(F.col("positive"), 1).otherwise(-1)).alias("weight")).filter("weight <> 0")
+    parts = told.select("item_id", "feature").join(changed, "feature").groupBy("item_id", "step").agg(F.sum("weight").alias("part"))
+    steps = judged.sparkSession.createDataFrame([(n,) for n in sizes], "step int")
+    every = judged.select("item_id").crossJoin(F.broadcast(steps)).join(parts, ["item_id", "step"], "left")  # a row for each size of the caller's list
+    upto = Window.partitionBy("item_id").orderBy("step")
+    return every.select(F.col("step").cast("long").alias("seeds"), "item_id", F.sum(F.coalesce("part", F.lit(0))).over(upto).cast("double").alias("score"))
+
+
 def strongest_by_size(weights: DataFrame, k: int) -> DataFrame:
     """The k features of the largest weight either way, ties by feature."""
     return weights.orderBy(F.desc(F.abs("weight")), "feature").limit(k)

@@ -66,6 +66,11 @@ class Synonym(Places):
         return F.array_sort(F.array_distinct(F.concat(*[c.places(t) for c in self.children])))
 
 
+def _followed(found: Column, places: Column, offset: int) -> Column:
+    """Those found that have one of the places so far behind them."""
+    return let(places, lambda own: F.filter(found, lambda p: F.array_contains(own, p + offset)))
+
+
 @dataclass(frozen=True)
 class Phrase(Places):
     """The children one behind the other."""
@@ -77,10 +82,9 @@ class Phrase(Places):
 
     def places(self, t: Column) -> Column:
         first, *rest = self.children
-        offsets = [sum(c.width() for c in self.children[: k + 1]) for k in range(len(rest))]
-        found = first.places(t)
-        for c, offset in zip(rest, offsets, strict=True):
-            found = let(c.places(t), lambda own, found=found, offset=offset: F.filter(found, lambda p: F.array_contains(own, p + offset)))
+        found, offset = first.places(t), first.width()
+        for c in rest:
+            found, offset = _followed(found, c.places(t), offset), offset + c.width()
         return found
 
 
@@ -154,12 +158,16 @@ def counts(docs: DataFrame, queries: dict[str, Node], key: str = "doc_id", text:
     return docs.select(F.col(key).alias("doc_id"), F.inline(F.array(made))), units
 
 
-def run(docs: DataFrame, queries: dict[str, Node], k: int | None = 10, smoothing: str = "dirichlet", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """qid, doc_id, score, rank: the k best documents of each query, of those where it holds; of a score it is that any of its nodes does."""
+def run(docs: DataFrame, queries: dict[str, Node], k: int | None = 10, smoothing: str = "dirichlet", within: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """qid, doc_id, score, rank: the k best documents of each query, of those where it holds; a score holds where any of its nodes does.
+
+    within (doc_id) leaves other documents out of the ranking, but not of the frequencies.
+    """
     rows, units = counts(docs, queries, key, text)
     rows = cut(rows)
     sums = rows.agg(F.sum("len").alias("coll"), *[F.sum(F.get("tf", F.lit(i))).alias(f"cf{i}") for i in range(len(units))]).first()
     tf, cf = {u: F.get("tf", F.lit(i)) for i, u in enumerate(units)}, {u: sums[f"cf{i}"] or 0 for i, u in enumerate(units)}
     one = lambda q, node: F.when(_holds(node, tf), F.struct(F.lit(q).alias("qid"), F.round(_score(node, tf, cf, F.col("len"), sums["coll"] or 0, smoothing), 6).alias("score")))
     found = F.array_compact(F.array(*[one(q, node) for q, node in queries.items()]))
+    rows = rows if within is None else rows.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
     return ranked(rows.filter(F.exists("tf", lambda x: x > 0)).select("doc_id", F.inline(found)).select("qid", "doc_id", "score"), k)

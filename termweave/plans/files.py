@@ -282,7 +282,7 @@ ORACLE_SQL = {
     "reader_csv": "select c_custkey, c_name, c_acctbal from customer",
     "reader_annotated": "with ll as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents), ln as (select doc_id, unnest(range(len(l))) no, unnest(l) line from ll), lc as (select *, len(regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+')) n from ln) select doc_id, no, b \"begin\", b + n \"end\" from (select *, cast(coalesce(sum(n) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0) as bigint) b from lc) where n > 0",
     "reader_annotations": "select source mention, lang entity, count(*) n from documents group by all",
-    "reader_votes": "select user_id::varchar qid, cast(5 * ceil(count(*) / 5) as bigint) n, count(*) n_items from events group by user_id",
+    "reader_votes": "select user_id::varchar qid, cast(case when count(*) < 5 then count(*) else 5 * ceil(count(*) / 5) end as bigint) n, count(*) n_items from events group by user_id",
     "reader_difficulty": "select source query, 'hard' difficulty, string_agg(distinct lang, ',' order by lang) entities from documents group by source",
     "reader_prior": "select vec_id::varchar id, label::double score from embeddings",
     "reader_topics": f"select item_id::varchar qid, w[1] title, md5(array_to_string(w, ' ')) description_md5 from (select item_id, {_W} w from benchmark)",

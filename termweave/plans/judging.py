@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -10,7 +11,8 @@ from ..sources import readers
 from .catalog import _BOTH, _POST, _STOP, TOKS, _both, _docs, _ranks, _t, _toks, _word_sets, pooling, ql_dirichlet
 
 CUTS = [1, 5, 10, 20, 50, 100]
-SEEDS = [10, 50, 200]
+#: Numbers of seeds.
+SEEDS = [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000]
 
 
 def _long_run(s, d):
@@ -131,14 +133,15 @@ def classifier_eval(s, d):
 
 
 def seed_experiment(s, d):
-    """Accuracy on all judged documents of classifiers that saw so many of them, those of the least hashes."""
-    judged, out = _judged(s, d), None
-    for n in SEEDS:
-        seen = lookup.sample_by_hash(judged, ["item_id"], n)
-        weights = labeling.difference_weights(_items(s, d), seen).select("feature", F.col("weight").cast("double").alias("weight"))
-        own = runs.evaluated(labeling.score_all(_items(s, d), weights).join(judged, "item_id"), [10]).select(F.lit(n).cast("long").alias("seeds"), "n", "tp", "p_10")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Accuracy on all judged documents of classifiers that saw so many of them, those of the least hashes; all sizes in one job."""
+    judged = index.cut(_judged(s, d))
+    seeds = lookup.sample_by_hash(judged, ["item_id"], max(SEEDS)).select("item_id", F.md5(F.col("item_id").cast("string")).alias("h"))
+    # at most the largest size of rows is numbered
+    placed = seeds.select("item_id", F.row_number().over(Window.orderBy("h", "item_id")).alias("place"))
+    scores = index.cut(labeling.seed_curve(_items(s, d), judged.join(placed, "item_id", "left"), list(SEEDS))).join(judged, "item_id")
+    best = scores.withColumn("r", F.row_number().over(Window.partitionBy("seeds").orderBy(F.desc("score"), "item_id"))).filter("r <= 10")
+    whole = scores.groupBy("seeds").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("score") > 0) & F.col("positive")).alias("tp"))
+    return whole.join(best.groupBy("seeds").agg(F.round(F.count_if("positive") / 10, 6).alias("p_10")), "seeds").select("seeds", "n", "tp", "p_10")
 
 
 def svm_rows(s, d):

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import json_unescaped, normal_name
 from ..functions.text import tokens as token_array
+from ..operators.finder import running
 from ..operators.index import cut
 
 
@@ -133,6 +134,17 @@ def _lines_of_xml(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).select(F.from_xml("value", schema).alias("x"))
 
 
+def _element_by_element(rows: DataFrame) -> DataFrame:
+    """rows written by the parser that cuts elements out first: the other one ends a file at its first malformed element."""
+    conf, name = rows.sparkSession.conf, "spark.sql.legacy.useLegacyXMLParser"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return cut(rows)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def _elements(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
     """file, no and the members of each element of that name, numbered from 0 in order within their file: a file streams by, an element is a row.
 
@@ -140,7 +152,7 @@ def _elements(spark: SparkSession, path: str, row: str, schema: str) -> DataFram
     """
     kinds = T.StructType([*T._parse_datatype_string(schema), T.StructField("__malformed", T.StringType())])
     rows = spark.read.format("xml").option("rowTag", row).option("columnNameOfCorruptRecord", "__malformed").schema(kinds).load(path)
-    placed = cut(rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *[c for c in kinds.names if c != "__malformed"]))
+    placed = _element_by_element(rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *[c for c in kinds.names if c != "__malformed"]))
     first = placed.groupBy("file").agg(F.min("at").alias("__first"))  # a row a file
     return placed.join(first, "file").withColumn("no", F.col("at") - F.col("__first")).drop("at", "__first")
 
@@ -294,12 +306,15 @@ def write_qrels(grades: DataFrame, path: str) -> None:
 
 
 def write_pages(rows: DataFrame, path: str, slots: int = 5) -> None:
-    """qid and slots items a line, with a header, from qid, item: items of a query in order, the last page filled up with the query's first items again."""
-    own = Window.partitionBy("qid").orderBy("item")
-    numbered = rows.select("qid", "item", (F.row_number().over(own) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("qid")).alias("n"))
+    """qid and slots items a line, with a header, from qid, item: items of a query in order, the last page filled up with a sample (the least hashes) of the query's items
+    on the other pages; where these are too few its cells stay empty. A query of very many items is dealt over tasks (see finder.running)."""
+    numbered_ = cut(running(rows.select("qid", "item"), ["qid"], ["item"], "r"))
+    sizes = numbered_.groupBy("qid").agg((F.max("r") + 1).alias("n"))
     lack = F.pmod(-F.col("n"), F.lit(slots))
-    again = numbered.filter(F.col("r") < lack).select("qid", "item", (F.col("r") + F.col("n")).alias("r"), "n")
-    placed = numbered.unionByName(again).withColumn("page", F.floor(F.col("r") / slots))
+    # at most slots - 1 of each partial group go on: the sample is kept small before it is shuffled
+    others = numbered_.join(sizes, "qid").filter(F.col("r") < F.col("n") - F.pmod("n", F.lit(slots))).withColumn("h", F.xxhash64("qid", "item"))
+    again = others.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("h", "item")) - 1).filter((F.col("k") < slots - 1) & (F.col("k") < lack))
+    placed = numbered_.select("qid", "item", "r").unionByName(again.select("qid", "item", (F.col("n") + F.col("k")).alias("r"))).withColumn("page", F.floor(F.col("r") / slots))
     wide = placed.groupBy("qid", "page").agg(*[F.max(F.when(F.pmod("r", F.lit(slots)) == k, F.col("item"))).alias(f"item_{k + 1}") for k in range(slots)])
     wide.select("qid", *[f"item_{k + 1}" for k in range(slots)]).write.csv(path, header=True)
 
