@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,9 @@ def term_stats(toks: DataFrame) -> DataFrame:
 
 
 def document_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, cf, df in one shuffle of a row for each term and task: a document's tokens are sorted inside the row, where the first of equals counts for df."""
-    placed = F.transform(F.col("__t"), lambda x, i: F.struct(x.alias("term"), (F.coalesce(F.get(F.col("__t"), i - 1) != x, F.lit(True))).cast("int").alias("first")))
-    rows = docs.select(F.array_sort(token_array(F.col(text))).alias("__t")).select(F.inline(placed))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.sum("first").alias("df"))
+    """term, cf, df in one shuffle of a row for each term and task: a document's tokens are told twice inside the row, all of them for cf and each once for df."""
+    both = docs.select(token_array(F.col(text)).alias("__t")).select(F.posexplode(F.array("__t", F.array_distinct("__t"))).alias("once", "__t"))
+    return both.select("once", F.explode("__t").alias("term")).groupBy("term").agg(F.count_if(F.col("once") == 0).alias("cf"), F.count_if(F.col("once") == 1).alias("df"))
 
 
 def collection_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -84,7 +85,7 @@ def _pairs_of(terms: pa.Array, width: int, ordered: bool) -> Iterator[tuple[np.n
 
 
 def _unit_counts(hashed: DataFrame, width: int, ordered: bool, k: int | None, least: int) -> DataFrame:
-    """unit, key, n: for each unit of about UNIT pairs its k most frequent keys, or all that come least times or more in it."""
+    """key, n: for each unit of about UNIT pairs its k most frequent keys, or all that come least times or more in it; and a row without a key for the unit itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -95,7 +96,7 @@ def _unit_counts(hashed: DataFrame, width: int, ordered: bool, k: int | None, le
             held.clear()
             # ties at the cut may go: a unit's best only have to give a lower bound
             at = np.argsort(-n, kind="stable")[:k] if k is not None else np.flatnonzero(n >= least)
-            return pa.record_batch([pa.array([uuid.uuid4().hex] * len(at), pa.string()), pa.array(keys[at].view(np.int64)), pa.array(n[at].astype(np.int64))], names=["unit", "key", "n"])
+            return pa.record_batch([pa.array([None, *keys[at].view(np.int64).tolist()], pa.int64()), pa.array([len(keys), *n[at].tolist()], pa.int64())], names=["key", "n"])
 
         for batch in batches:
             for keys, _, _ in _pairs_of(batch[0], width, ordered):
@@ -107,7 +108,7 @@ def _unit_counts(hashed: DataFrame, width: int, ordered: bool, k: int | None, le
         if size:
             yield report()
 
-    return hashed.mapInArrow(run, "unit string, key long, n long")
+    return hashed.mapInArrow(run, "key long, n long")
 
 
 def top_pairs(docs: DataFrame, k: int, width: int = 2, ordered: bool = True, text: str = "text") -> DataFrame:
@@ -115,24 +116,29 @@ def top_pairs(docs: DataFrame, k: int, width: int = 2, ordered: bool = True, tex
 
     Pairs aren't shuffled. Every unit of about UNIT pairs reports its k best, whose sums bound the k-th best count from
     below; a pair that reaches the bound has its share of it in some unit, so the pairs that have that there are all
-    candidates, and only these are counted by name. Keys are hashes: two pairs of one key only raise its counts, and
+    candidates, and only these are counted by name. The second pass may cut its units otherwise; if it has more of them, it is made again with their number. Keys are hashes: two pairs of one key only raise its counts, and
     counting by name parts them again.
     """
     spark = docs.sparkSession
     rows = docs.select(token_array(F.col(text)).alias("__t"))
-    hashed = rows.select(F.transform("__t", lambda x: F.xxhash64(x)).alias("__h"))
+    # hashes are made once, for both passes; names are told from the texts
+    hashed = cut(rows.select(F.transform("__t", lambda x: F.xxhash64(x)).alias("__h")))
     ends = (F.col("x"), F.col("y")) if ordered else (F.least("x", "y"), F.greatest("x", "y"))
 
     def best(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy(ends[0].alias("first"), ends[1].alias("last")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first", "last").limit(k)
 
     reported = cut(_unit_counts(hashed, width, ordered, k, 0))
-    units = reported.select("unit").distinct().count()
-    bound = reported.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count(F.lit(1))).first()
+    units = reported.filter("key is null").count()
+    bound = reported.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count(F.lit(1))).first()
     # by name a key's count may be less than by hash, which takes two pairs of one key among the best: the bound then falls
     least = (bound[0] or 0) if bound[1] == k else 0
     while True:
-        wanted = cut(_unit_counts(hashed, width, ordered, None, max(1, -(-least // max(units, 1)))).select("key").distinct())
+        told = cut(_unit_counts(hashed, width, ordered, None, max(1, -(-least // max(units, 1)))))
+        if (seen := told.filter("key is null").count()) > units:
+            units = seen
+            continue
+        wanted = told.filter("key is not null").select("key").distinct()
         if wanted.limit(CANDIDATES + 1).count() > CANDIDATES:
             shared = None
         else:
@@ -226,9 +232,27 @@ def shared(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: For each thread the paths that cut() has written in each open scratch().
+_scope = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside are removed at the end: for callers that have written or collected their result by then."""
+    _scope.open = [*getattr(_scope, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _scope.open.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: cuts the lineage and survives lost executors."""
+    """df written to the shared folder as Parquet and read again: cuts the lineage and survives lost executors. See scratch() for when it goes."""
     spark = df.sparkSession
     path = f"{shared(spark)}/termweave-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if getattr(_scope, "open", None):
+        _scope.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

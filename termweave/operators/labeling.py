@@ -5,9 +5,10 @@ from __future__ import annotations
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import take_after
 from .index import cut
 
 #: Examples of a shard, about: what one Python worker holds at once.
@@ -138,6 +139,38 @@ def svm_rows(items: DataFrame, ids: DataFrame, judged: DataFrame) -> DataFrame:
     return told.groupBy("item_id", "label").agg(row.alias("f")).select("item_id", F.concat_ws(" ", F.col("label").cast("string"), "f").alias("line"))
 
 
+def class_names(tag: Column) -> Column:
+    """array of kind, name that a microdata tag 'prefix/object:property' stands for: label, and prop if it names a property, else obj; none for a deeper path.
+
+    Without a prefix the whole tag is meant; what stands before a mark <m>: doesn't count.
+    """
+    useful = take_after(F.lower(take_after(tag, "<m>:")), "/")
+    pair = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    more = F.when(useful.contains(":"), pair("prop", take_after(useful, ":"))).otherwise(pair("obj", useful))
+    return F.when(useful.contains("/"), F.array().cast("array<struct<kind:string,name:string>>")).otherwise(F.array(pair("label", useful), more))
+
+
+def class_rows(tokens: DataFrame, ids: DataFrame, least: int = 1000) -> DataFrame:
+    """kind, name, class_id, item_id, line: a row of sparse features for each class of each token (item_id, sentence, tags, features).
+
+    Classes that fewer than least tokens have are left out; the others are numbered from 1 in order. A token without a class is
+    one of null/near, if its sentence has a tag, else of null/far, and has number 0. Lines are 'class id:1 id:1 ...' in order of ids (term, id); features that have none are left out.
+    """
+    own = tokens.select("item_id", "sentence", (F.size("tags") > 0).alias("tagged"), F.array_distinct(F.flatten(F.transform("tags", class_names))).alias("classes"), F.array_distinct(F.transform("features", lambda x: F.lower(x))).alias("features"))
+    own = cut(own)
+    frequent = own.select(F.explode("classes").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    # as many rows as there are frequent classes
+    numbers = cut(frequent.select("c", F.row_number().over(Window.orderBy("c.kind", "c.name")).alias("class_id")))
+    near = own.filter("tagged").select("sentence").distinct().withColumn("near", F.lit(True))
+    named = own.select("item_id", F.explode("classes").alias("c")).join(F.broadcast(numbers), "c").select("item_id", "c.kind", "c.name", "class_id")
+    rest = own.select("item_id", "sentence").join(named.select("item_id").distinct(), "item_id", "left_anti").join(near, "sentence", "left")
+    none = rest.select("item_id", F.lit("null").alias("kind"), F.when(F.col("near"), "near").otherwise("far").alias("name"), F.lit(0).alias("class_id"))
+    told = own.select("item_id", F.explode("features").alias("term")).join(ids, "term").groupBy("item_id").agg(F.array_sort(F.collect_list("id")).alias("f"))
+    rows = named.unionByName(none).join(told, "item_id", "left")
+    pairs = F.transform(F.coalesce("f", F.array().cast("array<bigint>")), lambda x: F.concat(x.cast("string"), F.lit(":1")))
+    return rows.select("kind", "name", "class_id", "item_id", F.concat_ws(" ", F.col("class_id").cast("string"), pairs).alias("line"))
+
+
 def judged_features(items: DataFrame, judged: DataFrame) -> DataFrame:
     """feature, positive, negative: in how many judged items of each kind a feature stands."""
     own = items.join(judged, "item_id").select("positive", F.explode("features").alias("feature"))

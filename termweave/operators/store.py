@@ -84,6 +84,10 @@ class CorpusStore:
         t, s = self.table("tokens"), self.table("sentences").select("doc_id", "sentence", "begin")
         return t.join(s, ["doc_id", "sentence"]).join(self.table("documents"), "doc_id")
 
+    def labelled(self, field: str, value: str) -> DataFrame:
+        """doc_id of the documents whose variable has the value: the filter is pushed down to the table of documents."""
+        return self.table("documents").filter(F.col(field) == value).select("doc_id")
+
     def spans(self, tags: list[str] | None = None) -> DataFrame:
         rows = self.table("spans")
         return rows if tags is None else rows.filter(F.col("tag").isin(tags))

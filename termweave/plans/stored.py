@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import entities, index, segments, spans, store
+from ..operators import entities, index, labeling, lookup, segments, spans, store
+from ..sources import readers
 from .catalog import HITS, TOKS, _docs, _hits, _t
 from .lookups import LINES
 
@@ -103,7 +104,31 @@ def stored_appended(s, d):
     return segments.GrowingIndex(s, grown.folder).append(docs.filter(part == 2)).terms()
 
 
-QUERIES = {f.__name__: f for f in (markup_spans, markup_tag_terms, dictionary_large, dictionary_detected, stored_slices, stored_around, stored_sentences, stored_hits, covariate_store_range, covariate_store_cells, stored_appended)}
+def tag_class_rows(s, d):
+    """Tokens of paragraphs as examples of the links and the bold print they stand in; bold is a property."""
+    pages = index.cut(spans.marked_up(_t(s, d, "pages")))
+    toks = pages.select("doc_id", F.posexplode("terms").alias("pos", "term"))
+    own = pages.select("doc_id", F.inline("spans")).filter(F.col("tag").isin("p", "a", "b")).select("doc_id", "tag", "no", "begin", "end")
+    # a token may stand in several paragraphs: the last that began counts
+    placed = lookup.tokens_in_spans(toks, own, "p").groupBy("doc_id", "pos").agg(F.max("no").alias("no"), F.first("term").alias("term"), F.first("tags").alias("tags"))
+    tags = F.transform("tags", lambda t: F.when(t == "b", "x/Text:Bold").otherwise(F.concat(F.lit("x/"), t)))
+    tokens = placed.select(F.struct("doc_id", "pos").alias("item_id"), F.struct("doc_id", "no").alias("sentence"), tags.alias("tags"), F.array("term").alias("features"))
+    ids = index.cut(lookup.feature_list(index.term_stats(toks), 2))
+    rows = labeling.class_rows(tokens, ids, 5)
+    return rows.groupBy("kind", "name", "class_id", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reader_annotated_files(s, d):
+    """Items as annotated documents in files of their own, lines as sentences; as many files as there are items."""
+    made = F.transform(F.split("text", "\n"), lambda x: F.struct(fn.tokens(x).alias("tokens"), F.transform(fn.tokens(x), lambda y: F.translate(y, "abcdefghij", "ABCDEFGHIJ")).alias("lemmas"), fn.tokens(x).alias("pos")))
+    rows = _t(s, d, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("name"), F.to_json(F.struct(made.alias("sentences"))).alias("value"))
+    rows.write.partitionBy("name").text(path := _place(s))
+    # each item's folder holds its file: the name is the folder's
+    found = readers.annotated_files(s, f"{path}/*", lower=True, folder=True)
+    return found.filter("end > begin").select("id", "no", "begin", "end", F.md5(F.array_join("lemmas", " ")).alias("lemmas_md5"))
+
+
+QUERIES = {f.__name__: f for f in (markup_spans, markup_tag_terms, dictionary_large, dictionary_detected, stored_slices, stored_around, stored_sentences, stored_hits, covariate_store_range, covariate_store_cells, stored_appended, tag_class_rows, reader_annotated_files)}
 
 # events in order; depth of a name's open tags, held at 0 where closing tags have none; an opening tag ends at the next event of its level
 MARKED = f"""with h as (select page_id, regexp_extract_all(lower(coalesce(html, '')), '(?s){spans.MARKUP}') m from pages),
@@ -132,6 +157,8 @@ ORACLE_SQL = {
     "stored_around": f"{HITS} select term, count(*) n from hits h join tok t on t.doc_id = h.doc_id and pos >= h.start - 5 and pos < h.start + 7 group by term",
     "stored_sentences": f"with {LINES} select sp.doc_id, no sentence, lang, e - b n, b \"first\" from sp join documents using (doc_id)",
     "stored_hits": f"{HITS} select doc_id, count(*) n, min(start) \"first\" from hits where doc_id in (select doc_id from labels where toxic = 1) group by doc_id",
+    "reader_annotated_files": "with l as (select item_id, string_split(text, chr(10)) l from benchmark), n as (select item_id, unnest(range(len(l))) no, unnest(l) line from l), w as (select item_id, no, regexp_extract_all(lower(line), '[\\p{L}\\p{N}]+') w from n), b as (select item_id id, no, coalesce(sum(len(w)) over (partition by item_id order by no rows between unbounded preceding and 1 preceding), 0)::bigint b, w from w) select id, no, b \"begin\", b + len(w) \"end\", md5(array_to_string(w, ' ')) lemmas_md5 from b where len(w) > 0",
+    "tag_class_rows": f"{MARKED}, w as (select page_id, pos, x term from p where tok), pl as (select w.page_id, w.pos, term, max(no) no from w join sp on sp.page_id = w.page_id and w.pos >= \"begin\" and w.pos < \"end\" where tag = 'p' group by all), tg as (select distinct pl.page_id, pl.pos, tag from pl join sp on sp.page_id = pl.page_id and pl.pos >= \"begin\" and pl.pos < \"end\" where tag in ('a', 'b')), cl as (select page_id, pos, unnest(case when tag = 'b' then [('label', 'text:bold'), ('prop', 'bold')] else [('label', tag), ('obj', tag)] end) c from tg), fr as (select c, row_number() over (order by c[1], c[2]) class_id from cl group by c having count(*) >= 5), nm as (select page_id, pos, c[1] kind, c[2] \"name\", class_id from cl join fr using (c)), nr as (select distinct page_id, no from pl join tg using (page_id, pos)), nn as (select pl.page_id, pl.pos, 'null' kind, case when nr.no is null then 'far' else 'near' end \"name\", 0 class_id from pl left join nr on nr.page_id = pl.page_id and nr.no = pl.no where (pl.page_id, pl.pos) not in (select (page_id, pos) from nm)), ids as (select term, row_number() over (order by term) - 1 id from (select term from w group by term having count(distinct page_id) > 2)) select kind, \"name\", class_id::integer class_id, class_id || coalesce(' ' || id || ':1', '') line, count(*) n from (select * from nm union all select * from nn) x join pl using (page_id, pos) left join ids using (term) group by all",
     "stored_appended": f"{TOKS} select term, cf, df from st",
     "covariate_store_range": "select doc_id, n_chars, lang from documents where n_chars between 1000 and 3000 and lang in ('de', 'en')",
     "covariate_store_cells": "select doc_id, n_chars, lang from documents where (n_chars, lang) in (select n_chars, lang from documents join labels using (doc_id) where toxic = 1)",

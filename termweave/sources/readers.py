@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import json_unescaped, normal_name
 from ..functions.text import tokens as token_array
@@ -134,27 +133,24 @@ def _lines_of_xml(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path).select(F.from_xml("value", schema).alias("x"))
 
 
-def _element_by_element(rows: DataFrame) -> DataFrame:
-    """rows written by the parser that cuts elements out first: the other one ends a file at its first malformed element."""
-    conf, name = rows.sparkSession.conf, "spark.sql.legacy.useLegacyXMLParser"
-    before = conf.get(name, None)
-    conf.set(name, "true")
-    try:
-        return cut(rows)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
-
-
 def _elements(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
-    """file, no and the members of each element of that name, numbered from 0 in order within their file: a file streams by, an element is a row.
+    """file, no and the members of each element of that name (which holds none of its own name), numbered from 0 in order within their file.
 
-    A malformed element is a row of nulls, so that those behind it keep their numbers.
+    A file is cut where elements end, in splits of any size, so an element is a row and a large file is read by several tasks. Numbers are sums over
+    the splits before. A malformed element is a row of nulls, so that those behind it keep their numbers.
     """
-    kinds = T.StructType([*T._parse_datatype_string(schema), T.StructField("__malformed", T.StringType())])
-    rows = spark.read.format("xml").option("rowTag", row).option("columnNameOfCorruptRecord", "__malformed").schema(kinds).load(path)
-    placed = _element_by_element(rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *[c for c in kinds.names if c != "__malformed"]))
-    first = placed.groupBy("file").agg(F.min("at").alias("__first"))  # a row a file
-    return placed.join(first, "file").withColumn("no", F.col("at") - F.col("__first")).drop("at", "__first")
+    rows = spark.read.option("lineSep", f"</{row}>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    # elements without content stand before the one that ends here
+    found = F.regexp_extract_all("value", F.lit(rf"(?s)<{row}(?:\s[^<>]*)?/>|<{row}(?:\s[^<>]*)?>.*$"), F.lit(0))
+    parts = cut(rows.select("file", "split", "at", found.alias("parts")).filter(F.size("parts") > 0))
+    sums = parts.groupBy("file", "split").agg(F.sum(F.size("parts")).alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("own", F.coalesce(F.sum(F.size("parts")).over(inside), F.lit(0))).join(offsets, ["file", "split"])
+    told = placed.select("file", (F.col("offset") + F.col("own")).alias("first"), F.posexplode("parts").alias("k", "part"))
+    whole = F.when(F.col("part").rlike(rf"^<{row}(?:\s[^<>]*)?/>$"), F.col("part")).otherwise(F.concat("part", F.lit(f"</{row}>")))
+    return told.select("file", (F.col("first") + F.col("k")).alias("no"), F.from_xml(whole, schema).alias("x")).select("file", "no", "x.*")
 
 
 def page_scans(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -187,16 +183,30 @@ def codebook_csv(spark: SparkSession, path: str, codebook: dict[str, str]) -> Da
     return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=False)
 
 
-def annotated(spark: SparkSession, path: str) -> DataFrame:
-    """name, no, terms, lemmas, begin, end from lines of 'name TAB json', json holding sentences of pos, lemmas and tokens; places count over the document."""
+_ANNOTATED = "sentences array<struct<tokens:array<string>,lemmas:array<string>,pos:array<string>>>"
+
+
+def _sentences(rows: DataFrame, names: list[str], lower: bool) -> DataFrame:
+    """names, no, terms, lemmas, begin, end of rows of names and s (the sentences of one document): offsets are sums inside the row."""
+    n = lambda x: F.size(x["tokens"])
+    begins = F.transform("s", lambda x, i: F.aggregate(F.slice("s", 1, i), F.lit(0).cast("long"), lambda a, y: a + n(y)))
+    placed = rows.filter("s is not null").select(*names, F.posexplode(F.arrays_zip(F.col("s"), begins.alias("b"))).alias("no", "x"))
+    lemmas = F.col("x.s.lemmas")
+    return placed.select(*names, F.col("no").cast("long").alias("no"), F.col("x.s.tokens").alias("terms"), (F.transform(lemmas, lambda y: F.lower(y)) if lower else lemmas).alias("lemmas"), F.col("x.b").alias("begin"), (F.col("x.b") + F.size("x.s.tokens")).alias("end"))
+
+
+def annotated(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
+    """name, no, terms, lemmas, begin, end from lines of 'name TAB json', json holding sentences of pos, lemmas and tokens; places count over the document. lower: lemmas in lower case."""
     parts = F.split("value", "\t", 2)
-    told = F.from_json(parts[1], "sentences array<struct<tokens:array<string>,lemmas:array<string>,pos:array<string>>>")
-    # names first: next to a generator they would be made again for each sentence
-    rows = spark.read.text(path).select(parts[0].alias("name"), told["sentences"].alias("s")).select("name", F.posexplode("s").alias("no", "s"))
-    before = Window.partitionBy("name").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.size("s.tokens").cast("long")
-    begin = F.coalesce(F.sum(n).over(before), F.lit(0))
-    return rows.select("name", F.col("no").cast("long").alias("no"), F.col("s.tokens").alias("terms"), F.col("s.lemmas").alias("lemmas"), begin.alias("begin"), (begin + n).alias("end"))
+    rows = spark.read.text(path).select(parts[0].alias("name"), F.from_json(parts[1], _ANNOTATED)["sentences"].alias("s"))
+    return _sentences(rows, ["name"], lower)
+
+
+def annotated_files(spark: SparkSession, path: str, lower: bool = False, folder: bool = False) -> DataFrame:
+    """name, id, no, terms, lemmas, begin, end from files of one such document each, which (or whose folder) are named after it; id is the number at the name's end, null without one."""
+    name = F.regexp_extract("_metadata.file_path", "([^/]*)/[^/]*$", 1) if folder else F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "")
+    rows = spark.read.option("multiLine", True).schema(_ANNOTATED).json(path).select(name.alias("name"), F.col("sentences").alias("s"))
+    return _sentences(rows.withColumn("id", F.nullif(F.regexp_extract("name", r"(\d+)$", 1), F.lit("")).cast("long")), ["name", "id"], lower)
 
 
 def annotations_tsv(spark: SparkSession, path: str) -> DataFrame:

@@ -130,3 +130,33 @@ def test_sweeps_equal_lists_one_by_one(spark, docs):
         one = expansion.local_contexts(top.filter(F.col("rank") <= n), toks, stats, index.term_stats(toks), k=6).collect()
         assert {(q, t, s) for m, q, _, t, s in got if m == n} == {(r.qid, r.term, r.score) for r in one}
     assert {r for n, q, r, *_ in got if n == 8 and q == "a"} == set(range(1, 7))
+
+
+def test_class_names_of_tags(spark):
+    tags = ["schema.org/Person", "schema.org/Person:Name", "<m>:schema.org/Place:geo", "bare", "a/b/c", "bare:x"]
+    got = {r.t: [tuple(c) for c in r.c] for r in spark.createDataFrame([(t,) for t in tags], "t string").select("t", labeling.class_names(F.col("t")).alias("c")).collect()}
+    assert got == {"schema.org/Person": [("label", "person"), ("obj", "person")], "schema.org/Person:Name": [("label", "person:name"), ("prop", "name")], "<m>:schema.org/Place:geo": [("label", "place:geo"), ("prop", "geo")], "bare": [("label", "bare"), ("obj", "bare")], "a/b/c": [], "bare:x": [("label", "bare:x"), ("prop", "x")]}
+
+
+def test_rows_of_frequent_classes(spark):
+    tokens = [(1, "s1", ["x/A"], ["F1", "f2", "f2"]), (2, "s1", [], ["f1"]), (3, "s2", ["x/A:p", "x/A"], ["no"]), (4, "s3", [], []), (5, "s4", ["x/Rare"], ["f2"]), (6, "s4", ["x/A"], None)]
+    df = spark.createDataFrame(tokens, "item_id long, sentence string, tags array<string>, features array<string>")
+    ids = spark.createDataFrame([("f1", 7), ("f2", 3)], "term string, id long")
+    got = sorted((r.kind, r.name, r.class_id, r.item_id, r.line) for r in labeling.class_rows(df, ids, 2).collect())
+    assert got == [("label", "a", 1, 1, "1 3:1 7:1"), ("label", "a", 1, 3, "1"), ("label", "a", 1, 6, "1"), ("null", "far", 0, 4, "0"), ("null", "near", 0, 2, "0 7:1"), ("null", "near", 0, 5, "0 3:1"), ("obj", "a", 2, 1, "2 3:1 7:1"), ("obj", "a", 2, 3, "2"), ("obj", "a", 2, 6, "2")]
+    assert labeling.class_rows(df.limit(0), ids).count() == 0
+
+
+def test_scratch_removes_what_was_cut_inside(spark, docs):
+    from pathlib import Path
+
+    tables = lambda: set(Path(index.shared(spark).removeprefix("file:")).glob("termweave-*"))
+    kept = index.cut(docs)
+    before = tables()
+    with index.scratch(spark):
+        assert cooccur.pmi_bigrams(docs, ["w1", "w2"]).count() > 0 and len(tables()) > len(before)
+        with index.scratch(spark):
+            inner = index.cut(docs.limit(3))
+            assert inner.count() == 3
+        index.cut(docs)
+    assert tables() == before and kept.count() == docs.count()

@@ -70,7 +70,7 @@ def _book(name, pages):
     return f'<?xml version="1.0"?>\n<DjVuXML archive="{name}">\n<BODY>{body}</BODY>\n</DjVuXML>\n'
 
 
-def test_pages_of_books_are_rows(spark, place):
+def test_pages_of_books_are_rows(spark, place, splits):
     pages = [[f"p{k}", "w", " "] if k % 10 else [] for k in range(10_000)]
     (place / "a.xml").write_text(_book("one", pages))
     (place / "b.xml").write_text(_book("two", [["x"], ["y", "z"]]))
@@ -98,3 +98,16 @@ def test_pages_are_filled_up_with_a_sample(spark):
     last = next(x for x in of["a"] if x[:2] == [10, 11])
     assert set(last[2:]) < set(range(10)) and len(set(last)) == 5
     assert of["b"] == [[0, 1, 2]] and of["c"] == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9]]
+
+
+def test_annotated_documents_of_lines_and_of_files(spark, place):
+    one = '{"sentences": [{"tokens": ["A", "b"], "lemmas": ["A", "B"], "pos": ["X", "Y"]}, {"tokens": [], "lemmas": [], "pos": []}, {"tokens": ["c"], "lemmas": ["C"], "pos": ["Z"]}]}'
+    (place / "lines").mkdir()
+    (place / "lines" / "f").write_text(f"bill7\t{one}\nbad\t{{no json\nnone\t{{}}\n")
+    want = [(0, ["A", "b"], ["a", "b"], 0, 2), (1, [], [], 2, 2), (2, ["c"], ["c"], 2, 3)]
+    assert [tuple(r) for r in readers.annotated(spark, str(place / "lines"), lower=True).orderBy("no").collect()] == [("bill7", *w) for w in want]
+    (place / "files").mkdir()
+    (place / "files" / "bill12.anno").write_text(one.replace("}, {", "},\n {"))
+    (place / "files" / "other.anno").write_text('{"sentences": [{"tokens": ["z"], "lemmas": ["Z"], "pos": ["N"]}]}')
+    got = readers.annotated_files(spark, str(place / "files")).orderBy("name", "no").collect()
+    assert [(r.name, r.id, r.no, r.begin, r.end) for r in got] == [("bill12", 12, 0, 0, 2), ("bill12", 12, 1, 2, 2), ("bill12", 12, 2, 2, 3), ("other", None, 0, 0, 1)] and got[0].lemmas == ["A", "B"]
