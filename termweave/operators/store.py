@@ -13,7 +13,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import tokens as token_array
 from .spans import stabbed
@@ -134,19 +133,16 @@ class CovariateStore:
         """A cell's files: at most as many as tasks hold rows of it. Null values of a variable are a cell of their own."""
         placed = docs.withColumns({"x_bin": self._bin(F.col(self.x)), "y_cell": F.col(self.y).cast("string")})
         # a large cell is dealt over tasks by the hash of its rows
-        placed.repartition("x_bin", "y_cell", F.pmod(F.hash(*docs.columns), F.lit(8))).write.mode("overwrite").partitionBy("x_bin", "y_cell").parquet(self.folder)
+        placed.repartition("x_bin", "y_cell", F.pmod(F.hash(*docs.columns), F.lit(8))).write.mode("overwrite").partitionBy("x_bin", "y_cell").parquet(f"{self.folder}/cells")
+        placed.limit(0).write.mode("overwrite").parquet(f"{self.folder}/schema")  # a corpus may be empty
         return self
 
     def _bin(self, value: Column) -> Column:
         return F.floor(value / self.width).cast("long")
 
     def documents(self) -> DataFrame:
-        return self.spark.read.schema(self._schema()).parquet(self.folder)
-
-    def _schema(self) -> T.StructType:
         """As written: types of folders' names aren't guessed."""
-        kinds = {"x_bin": T.LongType(), "y_cell": T.StringType()}
-        return T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in self.spark.read.parquet(self.folder).schema])
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.folder}/schema").schema).parquet(f"{self.folder}/cells")
 
     def between(self, x: tuple[int, int], y: list[str] | None = None) -> DataFrame:
         """Documents with x[0] <= x <= x[1] and one of the values of y: only the folders of these cells are listed and read."""
