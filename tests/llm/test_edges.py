@@ -128,3 +128,27 @@ def test_pretokens_end_where_pieces_do():
     finally:
         bpe.PIECE = old
     assert cut == regex.findall(P.PATTERN, text) and re.sub(r"\s", "", "".join(cut)) == re.sub(r"\s", "", text)
+
+
+def test_long_urls_and_rules_of_equal_length(spark):
+    long = "http://a.com/" + "path/" * 800
+    rows = [(k, f"http://{'good' if k % 2 else 'bad'}{k}.{'com' if k % 2 else 'net'}/{'en' if k % 2 else 'fr'}/{k}") for k in range(80)] + [(100, long), (101, "http://x.org/" + "e" * 4_000), (102, "http://WWW.EXAMPLE.com/en/x"), (103, "http://example.com/en/x")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.RULES).collect()}
+    assert got[100].path == long[len("http://a.com") :] and (got[100].rule, got[100].verdict) == ("com/", "allow") and got[101].verdict in ("allow", "block") and got[101].score is not None
+    assert (got[102].rule, got[102].verdict, got[102].host) == ("www.example.com/en/", "allow", "www.example.com") and (got[103].rule, got[103].verdict) == ("example.com/en/", "block")
+    # of rules of one length that fit, a block wins, whatever their order
+    for rules in ([("allow", "com/"), ("block", "com/")], [("block", "com/"), ("allow", "com/")]):
+        assert {r.verdict for r in urls.judge(spark.createDataFrame(rows[1:9:2], "page_id long, url string"), rules).collect()} == {"block"}
+
+
+def test_very_long_turns(spark):
+    said = spark.createDataFrame([(1, 0, "user", "ü" * 300_000), (1, 1, "assistant", '"' * 200_000), (2, 0, "system", "x"), (2, 1, "user", None), (2, 2, "assistant", "")], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in chat.link(*chat.from_turns(said), chat.SCHEMAS).collect()}
+    assert got["1:0"].status == "invalid" and len(got["1:0"].line) == 300_000 + 400_000 + len('{"arguments":{"prompt":"","role":"user"},"id":"1:0","name":"reply","result":""}')
+    assert got["2:0"].status == "unresolved" and got["2:1"].status == "invalid"
+
+
+def test_licences_at_the_end_of_long_texts(spark):
+    notice = "Released under the MIT License."
+    docs = spark.createDataFrame([(1, "word of prose that goes on\n" * 6_000 + notice)], "doc_id long, text string")
+    assert [(r.unit, r.number, r.licence) for r in licences.scan(docs).collect()] == [("line", 6_000, "MIT")]
