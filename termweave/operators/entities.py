@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from ..functions.text import let
 from ..functions.text import tokens as token_array
 from .blooms import bloom, may_hold
 from .index import cut
@@ -22,33 +28,80 @@ def names(items: DataFrame, size: int, key: str = "item_id", text: str = "text")
     return rows.select("entity", F.explode(runs).alias("terms")).distinct().select(F.array_join("terms", " ").alias("phrase"), "terms", "entity")
 
 
+_SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 29, 32))
+
+
+def _run_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of every run of n of hashed terms, each of the bits of h (n or more terms) mixed twice, by other numbers."""
+    m = len(h) - (n - 1)
+    key, check = np.full(m, n, np.uint64), np.full(m, ~np.uint64(n), np.uint64)
+    for i in range(n):
+        x = h[i : i + m]
+        key = (key ^ x) * _SPREAD[0]
+        key ^= key >> _SPREAD[3]
+        check = (check + (x ^ (x >> _SPREAD[2]))) * _SPREAD[1]
+        check ^= check >> _SPREAD[3]
+    return key.view(np.int64), (check >> _SPREAD[3]).astype(np.uint32).view(np.int32)
+
+
+#: Terms whose runs are hashed at once in a task.
+TERMS_AT_ONCE = 500_000
+
+
+def _runs_of(rows: DataFrame, sizes: list[int], only: Broadcast | None = None) -> DataFrame:
+    """Columns of rows (but the last, __t: array<string>) with start, size, hash, check for each run of these sizes of __t; only: sorted hashes, other runs are left out."""
+    kept = rows.columns[:-1]
+    hashed = rows.select(*kept, F.transform("__t", lambda x: F.xxhash64(x)).alias("__h"))
+    schema = StructType([*[rows.schema[c] for c in kept], *[StructField(c, k) for c, k in (("start", IntegerType()), ("size", IntegerType()), ("hash", LongType()), ("check", IntegerType()))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(whole[len(kept)]), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(whole):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TERMS_AT_ONCE, "right")))
+                batch, at = whole.slice(at, upto - at), upto
+                h = batch[len(kept)].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                n_terms = pc.fill_null(pc.list_value_length(batch[len(kept)]), 0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(batch)), n_terms)
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n_terms) - n_terms, n_terms)
+                for n in sizes:
+                    if len(h) < n:
+                        continue
+                    key, check = _run_hashes(h, n)
+                    own = row[: len(key)] == row[n - 1 :]
+                    if only is not None:
+                        known = only.value
+                        own &= known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else False
+                    i = np.flatnonzero(own)
+                    for a in range(0, len(i), 100_000):
+                        x = i[a : a + 100_000]
+                        of = pa.array(row[x])
+                        yield pa.record_batch([*[batch[c].take(of) for c in range(len(kept))], pa.array(place[x], pa.int32()), pa.array(np.full(len(x), n, np.int32)), pa.array(key[x]), pa.array(check[x])], names=schema.names)
+
+    return hashed.mapInArrow(run, schema)
+
+
 def mentions(docs: DataFrame, dictionary: DataFrame, phrase: str = "phrase", key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
     """phrase, doc_id, start, size: every place of every phrase of a dictionary (phrase, terms: array<string>), overlapping ones too.
 
-    Terms are hashed once, inside the row, and runs of the sizes that the dictionary has by their terms' hashes: 64 bits
-    to meet the dictionary by and 32 of another hash to tell, so runs are the same by 96 bits. A frequent word in many
-    phrases makes no rows. No run is shuffled while the dictionary has at most most phrases (None: BROADCAST_PHRASES); of a
-    larger one the bits of a Bloom filter are asked inside the scan, and only runs that pass it are shuffled.
+    Terms are hashed once, and runs of the sizes that the dictionary has by their terms' hashes: 64 bits to meet the
+    dictionary by and 32 that are mixed otherwise to tell. A frequent word in many phrases makes no rows. While the
+    dictionary has at most most phrases (None: BROADCAST_PHRASES), its hashes are broadcast, other runs aren't made rows,
+    and no run is shuffled; of a larger one the bits of a Bloom filter are asked, and only runs that pass it are shuffled.
     """
-    known = dictionary.select(F.col(phrase).alias("phrase"), "terms").distinct().filter(F.size("terms") > 0)
-    known = known.select("phrase", F.size("terms").alias("size"), F.transform("terms", lambda x: F.xxhash64(x)).alias("h"), F.transform("terms", lambda x: F.hash(x)).alias("g"))
-    known = cut(known.select("phrase", "size", F.xxhash64("h").alias("hash"), F.hash("g").alias("check")))
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
+    known = dictionary.select(F.col(phrase).alias("phrase"), F.col("terms").alias("__t")).distinct().filter(F.size("__t") > 0)
+    known = cut(known)
+    sizes = sorted(r["size"] for r in known.select(F.size("__t").alias("size")).distinct().collect())
+    # the run of all terms of a phrase is the phrase
+    known = cut(_runs_of(known.select("phrase", F.size("__t").alias("__n"), "__t"), sizes).filter("size = __n").drop("start", "__n"))
     most, n = BROADCAST_PHRASES if most is None else most, known.count()
-    kind = "array<struct<start:int,size:int,hash:bigint,check:int>>"
-
-    def runs(n: int, h: Column, g: Column) -> Column:
-        at = lambda i: F.struct((i - 1).alias("start"), F.lit(n).alias("size"), F.xxhash64(F.slice(h, i, n)).alias("hash"), F.hash(F.slice(g, i, n)).alias("check"))
-        return F.when(F.size(h) >= n, F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), at)).otherwise(F.array().cast(kind))
-
-    def placed_in(t: Column) -> Column:
-        both = lambda h, g: F.concat(*[runs(n, h, g) for n in sizes]) if sizes else F.array().cast(kind)
-        return let(F.transform(t, lambda x: F.xxhash64(x)), lambda h: let(F.transform(t, lambda x: F.hash(x)), lambda g: both(h, g)))
-
-    placed = docs.select(F.col(key).alias("doc_id"), F.inline(let(token_array(F.col(text)), placed_in)))
+    rows = docs.select(F.col(key).alias("doc_id"), token_array(F.col(text)).alias("__t"))
     if n > most:
-        placed = may_hold(placed, "hash", bloom(known, "hash", n), n)
-    return placed.join(F.broadcast(known) if n <= most else known, ["hash", "check", "size"]).select("phrase", "doc_id", "start", "size")
+        placed = may_hold(_runs_of(rows, sizes), "hash", bloom(known, "hash", n), n)
+        return placed.join(known, ["hash", "check", "size"]).select("phrase", "doc_id", "start", "size")
+    only = docs.sparkSession.sparkContext.broadcast(np.sort(known.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)))
+    return _runs_of(rows, sizes, only).join(F.broadcast(known), ["hash", "check", "size"]).select("phrase", "doc_id", "start", "size")
 
 
 def detected(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
@@ -147,7 +200,7 @@ METHODS = ("rm", "drm", "gdrm", "gnb", "wrm", "wdrm", "wgdrm", "wgnb")
 
 def relevance(top: DataFrame, hits: DataFrame, named: DataFrame, doc_stats: DataFrame, coll: DataFrame) -> DataFrame:
     """entity and a score for each of METHODS, over ranked documents (doc_id, posterior), hits (phrase, doc_id) and named (phrase, entity, log_p)."""
-    c = hits.groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    c = cut(hits.groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("c")))
     cf = c.groupBy("phrase").agg(F.sum("c").alias("cf"))
     x = c.join(top.select("doc_id", "posterior"), "doc_id").join(doc_stats, "doc_id").join(cf, "phrase").join(F.broadcast(coll.select("coll_len"))).join(named, "phrase")
     rate, background = F.col("c") / F.col("len"), F.col("cf") / F.col("coll_len")
@@ -171,21 +224,23 @@ def spread_scores(hits: DataFrame, top: DataFrame, dictionary: DataFrame, odds:
     hits: phrase, doc_id; top: doc_id, posterior; odds: entity, odds.
     """
     own = hits.select("phrase", "doc_id").join(dictionary.select("phrase", "entity").distinct(), "phrase")
-    n_mentions = own.groupBy("entity").agg(F.count(F.lit(1)).alias("m"))
-    n_entities = own.groupBy("doc_id").agg(F.count_distinct("entity").alias("e"))
-    by = own.groupBy("entity", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    # written once: texts are searched for mentions in one pass
+    by = cut(own.groupBy("entity", "doc_id").agg(F.count(F.lit(1)).alias("c")))
+    n_mentions = by.groupBy("entity").agg(F.sum("c").alias("m"))
+    n_entities = by.groupBy("doc_id").agg(F.count(F.lit(1)).alias("e"))
     x = by.join(n_mentions, "entity").join(n_entities, "doc_id").join(top.select("doc_id", "posterior"), "doc_id").join(odds, "entity")
     return x.groupBy("entity").agg(F.round(F.sum(F.col("c") / F.col("m") / F.col("e") * F.col("posterior") * F.col("odds")), 6).alias("score"))
 
 
 def bag_scores(hits: DataFrame, queries: DataFrame, weight: float = 0.8) -> DataFrame:
     """qid, doc_id, score: Jelinek-Mercer over documents as bags of phrases; queries: qid, phrase, weight. A document's length is its number of hits."""
-    c = hits.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("c"))
+    c = cut(hits.groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("c")))
     length = c.groupBy("doc_id").agg(F.sum("c").alias("len"))
     cf = c.groupBy("phrase").agg(F.sum("c").alias("cf"))
     coll = c.agg(F.sum("c").alias("coll"))
-    asked = queries.join(cf, "phrase")
-    candidates = asked.join(c.select("phrase", "doc_id"), "phrase").select("qid", "doc_id").distinct()
-    pairs = candidates.join(asked, "qid").join(c, ["phrase", "doc_id"], "left").join(length, "doc_id").join(F.broadcast(coll))
-    one = F.ln((1 - weight) * F.col("cf") / F.col("coll") + weight * F.coalesce("c", F.lit(0)) / F.col("len"))
-    return pairs.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * one) / F.sum("weight"), 6).alias("score"))
+    asked = cut(queries.join(cf, "phrase").join(F.broadcast(coll)).select("qid", "phrase", "weight", ((1 - weight) * F.col("cf") / F.col("coll")).alias("p")))
+    # all of a query's phrases as if a document had none of them, and what each that it has adds
+    whole = asked.groupBy("qid").agg(F.sum(F.col("weight") * F.ln("p")).alias("base"), F.sum("weight").alias("total"))
+    gain = F.col("weight") * (F.ln(F.col("p") + weight * F.col("c") / F.col("len")) - F.ln("p"))
+    gains = c.join(length, "doc_id").join(asked, "phrase").groupBy("qid", "doc_id").agg(F.sum(gain).alias("gains"))
+    return gains.join(F.broadcast(whole), "qid").select("qid", "doc_id", F.round((F.col("base") + F.col("gains")) / F.col("total"), 6).alias("score"))
