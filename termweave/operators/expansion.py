@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .index import cut
+
 
 def posteriors(scored: DataFrame, by: str = "qid") -> DataFrame:
     """Adds posterior: the softmax of score within each query."""
@@ -84,7 +86,8 @@ ENTITY_METHODS = ("rm", "drm", "gdrm", "gnb")
 
 def entity_scores(top: DataFrame, mentions: DataFrame, doc_stats: DataFrame, coll: DataFrame, places: int = 6) -> DataFrame:
     """phrase_id and a score for each of ENTITY_METHODS, rounded to places, over ranked documents (doc_id, posterior) of any number."""
-    c = mentions.groupBy("phrase_id", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    # written once: texts are searched for mentions in one pass
+    c = cut(mentions.groupBy("phrase_id", "doc_id").agg(F.count(F.lit(1)).alias("c")))
     cf = c.groupBy("phrase_id").agg(F.sum("c").alias("cf"))
     x = c.join(top.select("doc_id", "posterior"), "doc_id").join(doc_stats, "doc_id").join(cf, "phrase_id").join(F.broadcast(coll.select("coll_len")))
     rate: Column = F.col("c") / F.col("len")

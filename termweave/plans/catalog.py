@@ -169,14 +169,14 @@ def entity_relevance(s, d):
 
 def entity_relevance_ranked(s, d):
     """Scores of the whole dictionary's phrases over the ranked documents of a query, by their softmax posteriors; all three queries' terms are one query."""
-    docs = index.doc_stats(_docs(s, d))
-    ranked = search.query_likelihood(_toks(s, d), docs, {"all": [t for ts in TWO.values() for t in ts]}, "dirichlet", None)
+    docs = index.cut(index.doc_stats(_docs(s, d)))
+    ranked = search.likelihood(_docs(s, d), search.counted({"all": [t for ts in TWO.values() for t in ts]}), "dirichlet", None)
     # every candidate is ranked, so the softmax is made of aggregates and not in the one partition of a window
     ranked = index.cut(ranked.select("doc_id", "score"))
     best = ranked.agg(F.max("score").alias("best"))
     e = ranked.join(F.broadcast(best)).select("doc_id", F.exp(F.col("score") - F.col("best")).alias("e"))
     top = e.join(F.broadcast(e.agg(F.sum("e").alias("total")))).select("doc_id", (F.col("e") / F.col("total")).alias("posterior"))
-    return expansion.entity_scores(top, _ngram_hits(s, d), docs, index.collection_stats(_docs(s, d)))
+    return expansion.entity_scores(top, _ngram_hits(s, d), docs, docs.agg(F.sum("len").alias("coll_len")))
 
 
 def mention_entity_prior(s, d):

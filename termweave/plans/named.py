@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import cooccur, entities, expansion, index, search
-from .catalog import _TAG5, TOKS, TWO, _docs, _hits, _t, _toks
+from .catalog import _TAG5, TOKS, TWO, _docs, _hits, _t
 
 
 def _dictionary(s, d):
@@ -100,8 +100,7 @@ def category_pmi(s, d):
 
 
 def _ranked(s, d):
-    docs = index.doc_stats(_docs(s, d))
-    found = index.cut(search.query_likelihood(_toks(s, d), docs, {"all": [t for ts in TWO.values() for t in ts]}, "dirichlet", None).select("doc_id", "score"))
+    found = index.cut(search.likelihood(_docs(s, d), search.counted({"all": [t for ts in TWO.values() for t in ts]}), "dirichlet", None).select("doc_id", "score"))
     # every candidate is ranked, so the softmax is made of aggregates and not in the one partition of a window
     e = found.join(F.broadcast(found.agg(F.max("score").alias("best")))).select("doc_id", F.exp(F.col("score") - F.col("best")).alias("e"))
     return e.join(F.broadcast(e.agg(F.sum("e").alias("total")))).select("doc_id", (F.col("e") / F.col("total")).alias("posterior"))
@@ -109,11 +108,13 @@ def _ranked(s, d):
 
 def entity_scores(s, d):
     """All eight scores; the name's posterior is the share of the entity in the uses of the phrase."""
-    return entities.relevance(_ranked(s, d), _mentions(s, d), entities.priors(_uses(s, d)), index.doc_stats(_docs(s, d)), index.collection_stats(_docs(s, d)))
+    docs = index.cut(index.doc_stats(_docs(s, d)))
+    return entities.relevance(_ranked(s, d), _mentions(s, d), entities.priors(_uses(s, d)), docs, docs.agg(F.sum("len").alias("coll_len")))
 
 
 def expert_scores(s, d):
-    by_phrase = expansion.entity_scores(_ranked(s, d), _mentions(s, d).withColumnRenamed("phrase", "phrase_id"), index.doc_stats(_docs(s, d)), index.collection_stats(_docs(s, d)), 15)  # rounded once, at the end
+    docs = index.cut(index.doc_stats(_docs(s, d)))
+    by_phrase = expansion.entity_scores(_ranked(s, d), _mentions(s, d).withColumnRenamed("phrase", "phrase_id"), docs, docs.agg(F.sum("len").alias("coll_len")), 15)  # rounded once, at the end
     return entities.expert_scores(by_phrase.withColumnRenamed("phrase_id", "phrase"), _dictionary(s, d))
 
 
