@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens as token_array
 from .spans import stabbed
 
-#: Buckets of each table, but where the caller asks for another number: as many as tasks that should share a corpus.
-BUCKETS = 16
+#: Characters of text for each bucket, about, and buckets of each table at least, but where the caller asks for another number. So a task holds as much of a large corpus as of a small one.
+BUCKET_CHARS, BUCKETS = 8_000_000, 16
+#: Tasks that write the hits of one bucket of phrases: a frequent phrase is dealt over them.
+WRITERS = 16
 #: Folders that a list of cells is turned into a filter for.
 FOLDERS = 1_000
 
@@ -40,9 +42,11 @@ class CorpusStore:
         return f"store_{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.folder}/{table}').hex}"
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """Rows of one table, a file for each bucket: they are shuffled once, here, and never where they are read."""
+        """Rows of one table, a file for each bucket (of phrases up to WRITERS files): they are shuffled once, here, and never where they are read."""
         key, order = self.KEYS[table]
-        writer = rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(*order)
+        # a phrase's hits would be one task's
+        by = [key] if key == "doc_id" else [F.pmod(F.hash(key), F.lit(self.buckets)), F.pmod(F.hash("doc_id"), F.lit(WRITERS))]
+        writer = rows.repartition(self.buckets, *by).write.bucketBy(self.buckets, key).sortBy(*order)
         writer.mode("overwrite").option("path", f"{self.folder}/{table}").saveAsTable(self._name(table))
         self.names[table] = self._name(table)
 
@@ -99,9 +103,10 @@ class CorpusStore:
         return self.table("hits").join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def store(docs: DataFrame, folder: str, hits: DataFrame | None = None, spans: DataFrame | None = None, cut: str = "\n", buckets: int = BUCKETS, key: str = "doc_id", text: str = "text") -> CorpusStore:
-    """Writes a corpus; sentences are what stands between cuts (a pattern), numbered from 0, empty ones too; hits: phrase, doc_id, start, size; spans: doc_id, tag, begin, end."""
+def store(docs: DataFrame, folder: str, hits: DataFrame | None = None, spans: DataFrame | None = None, cut: str = "\n", buckets: int | None = None, key: str = "doc_id", text: str = "text") -> CorpusStore:
+    """Writes a corpus; sentences are what stands between cuts (a pattern), numbered from 0, empty ones too; hits: phrase, doc_id, start, size; spans: doc_id, tag, begin, end. buckets: None for as many as the texts' length asks for."""
     spark = docs.sparkSession
+    buckets = buckets or max(BUCKETS, -(-(docs.agg(F.sum(F.char_length(text)).alias("n")).first()["n"] or 0) // BUCKET_CHARS))
     out = CorpusStore(spark, folder, buckets)
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").json(f"{folder}/note")
     sentences = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), cut), lambda s: F.struct(s.alias("text"), token_array(s).alias("terms")))

@@ -53,7 +53,7 @@ def dictionary_detected(s, d):
 
 def _stored(s, d):
     hits = _hits(s, d).select(F.lit("of the").alias("phrase"), "doc_id", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
-    return store.store(_docs(s, d), _place(s), hits, buckets=4)
+    return store.store(_docs(s, d), _place(s), hits)
 
 
 def stored_slices(s, d):

@@ -1,12 +1,13 @@
 """Work, memory and files that grow no faster than the tables."""
 
 import math
+import uuid
 from collections import Counter
 
 import pytest
 
 from termweave import plans
-from termweave.operators import entities
+from termweave.operators import entities, index, store
 
 
 def test_bag_scores_are_made_of_matches_alone(spark):
@@ -31,3 +32,35 @@ def test_mentions_are_searched_for_once(spark, name):
     """What comes of texts is written before it is used: the plan of the scores reads no text."""
     df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "documents.parquet" not in "".join(f for f in df.inputFiles())
+
+
+def test_a_store_has_buckets_by_its_texts_length(spark, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_CHARS", 100)
+    monkeypatch.setattr(store, "BUCKETS", 2)
+    docs = spark.createDataFrame([(i, "of the sea " * 9) for i in range(10)], "doc_id long, text string")
+    hits = spark.createDataFrame([("of the", i, 0, 2) for i in range(10)], "phrase string, doc_id long, start long, size long")
+    kept = store.store(docs, f"{index.shared(spark)}/{uuid.uuid4().hex}", hits)
+    assert kept.buckets == 10 and kept.table("tokens").count() == 270
+    # hits of one phrase are written by several tasks
+    assert len(kept.hits_of(["of the"]).inputFiles()) > 1 and kept.hits_of(["of the"]).count() == 10
+    kept.close()
+
+
+def test_a_frequent_term_is_saved_by_several_tasks(spark):
+    rows = spark.range(4000).selectExpr("'the' term", "id doc_id", "0 pos")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.save({"tokens": rows}, path := f"{index.shared(spark)}/{uuid.uuid4().hex}")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = spark.read.parquet(f"{path}/tokens")
+    assert len(got.inputFiles()) > 1 and got.distinct().count() == 4000
+
+
+def test_postings_inside_the_row_equal_those_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(index, "TERMS_AT_ONCE", 3)
+    texts = [(1, "a b a, c"), (2, None), (3, ""), (4, "b b b"), (1, "a d"), (None, "x a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    plain = lambda df: sorted(map(repr, df.select("term", "doc_id", "tf", "positions").collect()))
+    assert plain(index.written_postings(docs)) == plain(index.postings(index.tokens(docs)))
+    assert "Exchange" not in index.document_postings(docs)._jdf.queryExecution().executedPlan().toString()
