@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.text import tokens as token_array
 from .blooms import bloom, may_hold
-from .index import cut
+from .index import cut, places_of, slices_of
 
 #: Phrases up to which a dictionary's hashes are broadcast (16 bytes each and their terms); beyond it a Bloom filter of them is, and what passes is shuffled.
 BROADCAST_PHRASES = 500_000
@@ -44,10 +43,6 @@ def _run_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), (check >> _SPREAD[3]).astype(np.uint32).view(np.int32)
 
 
-#: Terms whose runs are hashed at once in a task.
-TERMS_AT_ONCE = 500_000
-
-
 def _runs_of(rows: DataFrame, sizes: list[int], only: Broadcast | None = None) -> DataFrame:
     """Columns of rows (but the last, __t: array<string>) with start, size, hash, check for each run of these sizes of __t; only: sorted hashes, other runs are left out."""
     kept = rows.columns[:-1]
@@ -56,15 +51,9 @@ def _runs_of(rows: DataFrame, sizes: list[int], only: Broadcast | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(whole[len(kept)]), 0).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < len(whole):
-                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TERMS_AT_ONCE, "right")))
-                batch, at = whole.slice(at, upto - at), upto
+            for batch in slices_of(whole, len(kept)):
                 h = batch[len(kept)].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                n_terms = pc.fill_null(pc.list_value_length(batch[len(kept)]), 0).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(batch)), n_terms)
-                place = np.arange(len(h)) - np.repeat(np.cumsum(n_terms) - n_terms, n_terms)
+                row, place = places_of(batch[len(kept)])
                 for n in sizes:
                     if len(h) < n:
                         continue

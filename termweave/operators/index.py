@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.text import tokens as token_array
 
@@ -32,6 +33,58 @@ def postings(toks: DataFrame) -> DataFrame:
     return toks.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+#: Terms that a task works on at once.
+TERMS_AT_ONCE = 500_000
+
+
+def slices_of(batch: pa.RecordBatch, column: int, most: int = TERMS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about most elements of a column of lists; one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def places_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in its list of each element of a column of lists."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def document_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """postings() of tokens() of texts, made inside the row: no token is shuffled. Rows of one key aren't joined."""
+    rows = docs.select(F.col(key).alias("doc_id"), token_array(F.col(text)).alias("__t"))
+    schema = StructType([StructField("term", StringType()), rows.schema["doc_id"], StructField("tf", LongType()), StructField("positions", ArrayType(IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices_of(whole, 1):
+                row, place = places_of(batch[1])
+                if not len(row):
+                    continue
+                coded = batch[1].flatten().dictionary_encode()
+                unit = row * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(unit, kind="stable")
+                first = np.flatnonzero(np.diff(unit[order], prepend=-1))
+                ends = np.append(first, len(order))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+                at = order[first]
+                yield pa.record_batch([coded.dictionary.take(coded.indices.take(pa.array(at))), batch[0].take(pa.array(row[at])), pa.array(np.diff(ends)), lists], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def written_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """postings() of texts, written to the shared folder; those of rows that share a key are joined."""
+    own = document_postings(docs, key, text)
+    if docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        own = own.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return cut(own)
+
+
 def counts(toks: DataFrame) -> DataFrame:
     return toks.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -175,14 +228,15 @@ def covariate_range(cells: DataFrame, x: tuple, y: tuple) -> DataFrame:
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table for each; tokens and postings sorted by term, so that a term's lookup skips row groups."""
+    """One Parquet table for each; tokens and postings sorted by term, so that a term's lookup skips row groups, and by document, so that a frequent term is dealt over many files."""
     for name, df in tables.items():
-        (df.repartitionByRange("term").sortWithinPartitions("term") if "term" in df.columns else df).write.mode("overwrite").parquet(f"{folder}/{name}")
+        by = [c for c in ("term", "doc_id", "no", "pos") if c in df.columns]
+        (df.repartitionByRange(*by).sortWithinPartitions(*by) if "term" in df.columns else df).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def build(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> StoredIndex:
     """Writes postings, counts of terms, lengths and variables (all columns but the text) of a corpus under folder, and opens it."""
-    kept = cut(postings(tokens(docs, key, text)))
+    kept = written_postings(docs, key, text)
     stats = kept.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     save({"postings": kept, "terms": stats, "lengths": doc_stats(docs, key, text), "variables": docs.drop(text)}, folder)
     return StoredIndex(docs.sparkSession, folder)

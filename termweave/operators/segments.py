@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .index import StoredIndex, cut, doc_stats, postings, save, tokens
+from .index import StoredIndex, cut, doc_stats, save, written_postings
 
 
 class GrowingIndex(StoredIndex):
@@ -42,9 +42,9 @@ class GrowingIndex(StoredIndex):
         if self.live:
             firsts = firsts.join(self.variables().select(F.col(self.name).alias("__n")), "__n", "left_anti")
         firsts = cut(firsts)
-        new = docs.join(firsts, (F.col(self.name) == F.col("__n")) & (F.col(self.key) == F.col("__k")), "left_semi")
+        new = cut(docs.join(firsts, (F.col(self.name) == F.col("__n")) & (F.col(self.key) == F.col("__k")), "left_semi"))
         segment = uuid.uuid4().hex
-        kept = cut(postings(tokens(new, self.key, self.text)))
+        kept = written_postings(new, self.key, self.text)
         stats = kept.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
         save({"postings": kept, "terms": stats, "lengths": doc_stats(new, self.key, self.text), "variables": new.drop(self.text)}, f"{self.folder}/segments/{segment}")
         return self._publish([*self.live, segment])

@@ -256,7 +256,10 @@ def sentence_index(s, d):
     cut = lookup.lines(_docs(s, d)).select("doc_id", "no", F.posexplode("terms").alias("pos", "term"))
     index.save({"tokens": cut}, path := _place(s))
     stored = s.read.parquet(f"{path}/tokens")
-    return stored.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id", "no").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
+    # counted line by line, then document by document: a term's tokens are never one task's
+    by_line = stored.groupBy("term", "doc_id", "no").agg(F.count(F.lit(1)).alias("n"))
+    by_doc = by_line.groupBy("term", "doc_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_lines"))
+    return by_doc.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_docs"))
 
 
 QUERIES = {f.__name__: f for f in (reader_run, reader_qrels, reader_queries, reader_queries_json, reader_features, reader_json, reader_escaped_tsv, reader_conll, reader_triples, reader_categories, reader_edges, reader_mentions, reader_scans, reader_scans_files, reader_csv, reader_annotated, reader_annotations, reader_votes, reader_difficulty, reader_prior, reader_topics, reader_topics_html, reader_candidates, reader_zips, reader_titles, positional_join, named_archive, dataset_config, stored_postings, stored_terms, stored_phrase, stored_ranking, stored_names, phrase_tables, sentence_index)}
