@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import entities, index, labeling, lookup, segments, spans, store
+from ..operators import blooms, entities, index, labeling, lookup, segments, spans, store
 from ..sources import readers
 from .catalog import HITS, TOKS, _docs, _hits, _t
 from .lookups import LINES
@@ -33,13 +33,17 @@ def markup_tag_terms(s, d):
 def _runs(rows, n):
     t = F.col("t")
     made = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.slice(t, i, n))
-    return rows.select(fn.tokens(F.col("text")).alias("t")).filter(F.size("t") >= n).select(F.explode(made).alias("terms")).distinct()
+    return rows.select(fn.tokens(F.col("text")).alias("t")).filter(F.size("t") >= n).select(F.explode(made).alias("terms"))
 
 
 def dictionary_large(s, d):
     """Every run of three words of the documents as a phrase: which of them stand in conversations, and how often. The Bloom filter lets few other runs through to the join."""
-    known = _runs(_docs(s, d), 3).select(F.array_join("terms", " ").alias("phrase"), "terms")
     said = _t(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
+    # phrases that no conversation may hold are left out before they are shuffled, by the bits of the conversations' runs
+    asked = index.cut(_runs(said, 3).select(F.xxhash64("terms").alias("key")).distinct())
+    held = blooms.bloom(asked, "key", n := asked.count())
+    known = blooms.may_hold(_runs(_docs(s, d), 3).withColumn("key", F.xxhash64("terms")), "key", held, n)
+    known = index.cut(known.select("terms").distinct().select(F.array_join("terms", " ").alias("phrase"), "terms"))
     return entities.mentions(said, known, most=1_000).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
