@@ -85,12 +85,16 @@ def scanned(text: str) -> tuple[list[str], list[tuple[str, int, int, int, int]]]
     return tokens, [tuple(s) for s in spans]
 
 
+#: Pages whose tokens and spans a task holds at once.
+PAGES = 32
+
+
 def marked_up(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """doc_id, terms, spans (array of tag, no, begin, end, depth) for each page: one pass over its text. A null text has none of either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("tag", pa.string()), *((c, pa.int64()) for c in ("no", "begin", "end", "depth"))]))
-        for batch in batches:
+        for batch in (whole.slice(at, PAGES) for whole in batches for at in range(0, len(whole), PAGES)):
             found = [scanned(t or "") for t in batch[1].to_pylist()]
             spans = pa.array([[dict(zip(("tag", "no", "begin", "end", "depth"), s, strict=True)) for s in spans] for _, spans in found], kind)
             yield pa.record_batch([batch[0], pa.array([t for t, _ in found], pa.list_(pa.string())), spans], names=["doc_id", "terms", "spans"])
