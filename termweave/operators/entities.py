@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.text import tokens as token_array
 from .blooms import bloom, may_hold
-from .index import cut, places_of, slices_of
+from .index import cut, places_of, run_hashes, slices_of
 
 #: Phrases up to which a dictionary's hashes are broadcast (16 bytes each and their terms); beyond it a Bloom filter of them is, and what passes is shuffled.
 BROADCAST_PHRASES = 500_000
@@ -27,22 +27,6 @@ def names(items: DataFrame, size: int, key: str = "item_id", text: str = "text")
     return rows.select("entity", F.explode(runs).alias("terms")).distinct().select(F.array_join("terms", " ").alias("phrase"), "terms", "entity")
 
 
-_SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 29, 32))
-
-
-def _run_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of every run of n of hashed terms, each of the bits of h (n or more terms) mixed twice, by other numbers."""
-    m = len(h) - (n - 1)
-    key, check = np.full(m, n, np.uint64), np.full(m, ~np.uint64(n), np.uint64)
-    for i in range(n):
-        x = h[i : i + m]
-        key = (key ^ x) * _SPREAD[0]
-        key ^= key >> _SPREAD[3]
-        check = (check + (x ^ (x >> _SPREAD[2]))) * _SPREAD[1]
-        check ^= check >> _SPREAD[3]
-    return key.view(np.int64), (check >> _SPREAD[3]).astype(np.uint32).view(np.int32)
-
-
 def _runs_of(rows: DataFrame, sizes: list[int], only: Broadcast | None = None) -> DataFrame:
     """Columns of rows (but the last, __t: array<string>) with start, size, hash, check for each run of these sizes of __t; only: sorted hashes, other runs are left out."""
     kept = rows.columns[:-1]
@@ -57,7 +41,7 @@ def _runs_of(rows: DataFrame, sizes: list[int], only: Broadcast | None = None) -
                 for n in sizes:
                     if len(h) < n:
                         continue
-                    key, check = _run_hashes(h, n)
+                    key, check = run_hashes(h, n)
                     own = row[: len(key)] == row[n - 1 :]
                     if only is not None:
                         known = only.value

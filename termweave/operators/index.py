@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -137,8 +137,24 @@ def _pairs_of(terms: pa.Array, width: int, ordered: bool) -> Iterator[tuple[np.n
         yield key ^ (key >> np.uint64(32)), at, at + d
 
 
-def _unit_counts(hashed: DataFrame, width: int, ordered: bool, k: int | None, least: int) -> DataFrame:
-    """key, n: for each unit of about UNIT pairs its k most frequent keys, or all that come least times or more in it; and a row without a key for the unit itself."""
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 29, 32))
+
+
+def run_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of every run of n of hashed terms, each of the bits of h (n or more terms) mixed twice, by other numbers."""
+    m = len(h) - (n - 1)
+    key, check = np.full(m, n, np.uint64), np.full(m, ~np.uint64(n), np.uint64)
+    for i in range(n):
+        x = h[i : i + m]
+        key = (key ^ x) * _MIX[0]
+        key ^= key >> _MIX[3]
+        check = (check + (x ^ (x >> _MIX[2]))) * _MIX[1]
+        check ^= check >> _MIX[3]
+    return key.view(np.int64), (check >> _MIX[3]).astype(np.uint32).view(np.int32)
+
+
+def _unit_counts(hashed: DataFrame, keys_of: Callable[[pa.Array], Iterator[tuple]], k: int | None, least: int) -> DataFrame:
+    """key, n: for each unit of about UNIT keys its k most frequent ones, or all that come least times or more in it; and a row without a key for the unit itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -149,68 +165,64 @@ def _unit_counts(hashed: DataFrame, width: int, ordered: bool, k: int | None, le
             held.clear()
             # ties at the cut may go: a unit's best only have to give a lower bound
             at = np.argsort(-n, kind="stable")[:k] if k is not None else np.flatnonzero(n >= least)
-            return pa.record_batch([pa.array([None, *keys[at].view(np.int64).tolist()], pa.int64()), pa.array([len(keys), *n[at].tolist()], pa.int64())], names=["key", "n"])
-
-        for batch in batches:
-            for keys, _, _ in _pairs_of(batch[0], width, ordered):
-                held.append(keys)
-                size += len(keys)
-            if size >= UNIT:
-                yield report()
-                size = 0
+            head = lambda x: pa.array([x], pa.int64())
+            return pa.record_batch([pa.concat_arrays([head(None), pa.array(keys[at].view(np.int64))]), pa.concat_arrays([head(len(keys)), pa.array(n[at], pa.int64())])], names=["key", "n"])
+
+        for batch in (part for whole in batches for part in slices_of(whole, 0)):
+            for found in keys_of(batch[0]):
+                held.append(found[0])
+                size += len(found[0])
+                if size >= UNIT:
+                    yield report()
+                    size = 0
         if size:
             yield report()
 
     return hashed.mapInArrow(run, "key long, n long")
 
 
-def top_pairs(docs: DataFrame, k: int, width: int = 2, ordered: bool = True, text: str = "text") -> DataFrame:
-    """first, last, n: the k most frequent pairs of terms less than width apart, ties by terms; unordered pairs are of two different terms, first the lesser.
+def _most_frequent(docs: DataFrame, k: int, text: str, keys_of: Callable[[pa.Array], Iterator[tuple]], told: Callable[..., pa.RecordBatch], schema: str, best: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """best of what is counted by name: keys_of tells the keys in lists of hashed terms and where they stand, told their names and counts (schema), best the k most frequent.
 
-    Pairs aren't shuffled. Every unit of about UNIT pairs reports its k best, whose sums bound the k-th best count from
-    below; a pair that reaches the bound has its share of it in some unit, so the pairs that have that there are all
-    candidates, and only these are counted by name. The second pass may cut its units otherwise; if it has more of them, it is made again with their number. Keys are hashes: two pairs of one key only raise its counts, and
+    What is counted isn't shuffled. Every unit of about UNIT keys reports its k best, whose sums bound the k-th best count from
+    below; a key that reaches the bound has its share of it in some unit, so the keys that have that there are all
+    candidates, and only these are counted by name. The second pass may cut its units otherwise; if it has more of them, it is made again with their number. Keys are hashes: two of one key only raise its counts, and
     counting by name parts them again.
     """
     spark = docs.sparkSession
     rows = docs.select(token_array(F.col(text)).alias("__t"))
     # hashes are made once, for both passes; names are told from the texts
     hashed = cut(rows.select(F.transform("__t", lambda x: F.xxhash64(x)).alias("__h")))
-    ends = (F.col("x"), F.col("y")) if ordered else (F.least("x", "y"), F.greatest("x", "y"))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(ends[0].alias("first"), ends[1].alias("last")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first", "last").limit(k)
-
-    reported = cut(_unit_counts(hashed, width, ordered, k, 0))
+    reported = cut(_unit_counts(hashed, keys_of, k, 0))
     units = reported.filter("key is null").count()
     bound = reported.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count(F.lit(1))).first()
-    # by name a key's count may be less than by hash, which takes two pairs of one key among the best: the bound then falls
+    # by name a key's count may be less than by hash, which takes two of one key among the best: the bound then falls
     least = (bound[0] or 0) if bound[1] == k else 0
     while True:
-        told = cut(_unit_counts(hashed, width, ordered, None, max(1, -(-least // max(units, 1)))))
-        if (seen := told.filter("key is null").count()) > units:
+        candidates = cut(_unit_counts(hashed, keys_of, None, max(1, -(-least // max(units, 1)))))
+        if (seen := candidates.filter("key is null").count()) > units:
             units = seen
             continue
-        wanted = told.filter("key is not null").select("key").distinct()
+        wanted = candidates.filter("key is not null").select("key").distinct()
         if wanted.limit(CANDIDATES + 1).count() > CANDIDATES:
             shared = None
         else:
             shared = spark.sparkContext.broadcast(np.sort(wanted.toPandas()["key"].to_numpy(np.int64).view(np.uint64)))
 
         def named(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices_of(whole, 1)):
                 terms = batch[0].flatten()
-                for keys, x, y in _pairs_of(batch[1], width, ordered):
+                for keys, *places in keys_of(batch[1]):
                     if shared is not None and len(keys):
                         known = shared.value
                         at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
                         hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-                        x, y = x[hit], y[hit]
-                    for a in range(0, len(x), 100_000):
-                        yield pa.record_batch([terms.take(pa.array(x[a : a + 100_000])), terms.take(pa.array(y[a : a + 100_000])), pa.array(np.ones(len(x[a : a + 100_000]), np.int64))], names=["x", "y", "n"])
+                        places = [x[hit] for x in places]
+                    for a in range(0, len(places[0]), 100_000):
+                        yield told(terms, *[x[a : a + 100_000] for x in places])
 
         both = rows.select("__t", F.transform("__t", lambda x: F.xxhash64(x)).alias("__h"))
-        top = cut(best(both.mapInArrow(named, "x string, y string, n long")))
+        top = cut(best(both.mapInArrow(named, schema)))
         last = top.agg(F.min("n"), F.count(F.lit(1))).first()
         reached = last[0] if last[1] == k else 0
         if least <= max(reached, 1):
@@ -218,6 +230,45 @@ def top_pairs(docs: DataFrame, k: int, width: int = 2, ordered: bool = True, tex
         least = reached
 
 
+def top_pairs(docs: DataFrame, k: int, width: int = 2, ordered: bool = True, text: str = "text") -> DataFrame:
+    """first, last, n: the k most frequent pairs of terms less than width apart, ties by terms; unordered pairs are of two different terms, first the lesser. See _most_frequent()."""
+    ends = (F.col("x"), F.col("y")) if ordered else (F.least("x", "y"), F.greatest("x", "y"))
+
+    def told(terms: pa.Array, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        a, b = terms.take(pa.array(x)).dictionary_encode(), terms.take(pa.array(y)).dictionary_encode()
+        width = max(len(b.dictionary), 1)
+        pairs, n = np.unique(a.indices.to_numpy().astype(np.int64) * width + b.indices.to_numpy(), return_counts=True)
+        return pa.record_batch([a.dictionary.take(pa.array(pairs // width)), b.dictionary.take(pa.array(pairs % width)), pa.array(n, pa.int64())], names=["x", "y", "n"])
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(ends[0].alias("first"), ends[1].alias("last")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "first", "last").limit(k)
+
+    return _most_frequent(docs, k, text, lambda lists: _pairs_of(lists, width, ordered), told, "x string, y string, n long", best)
+
+
+def _grams_of(terms: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of runs of 1 to most terms, where they begin and how long they are, a length at a time, from lists of hashed terms."""
+    flat, (row, _) = terms.flatten().to_numpy(zero_copy_only=False).view(np.uint64), places_of(terms)
+    for n in range(1, min(most, len(flat)) + 1):
+        at = np.flatnonzero(row[: len(row) - (n - 1)] == row[n - 1 :])
+        yield run_hashes(flat, n)[0].view(np.uint64)[at], at, np.full(len(at), n)
+
+
+def top_grams(docs: DataFrame, k: int, most: int, text: str = "text") -> DataFrame:
+    """size, gram, n: the k most frequent runs of 1 to most terms, ties by length and terms. See _most_frequent()."""
+
+    def told(terms: pa.Array, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        # the runs of one call have one length
+        length = int(size[0])
+        found = pc.binary_join_element_wise(*[terms.take(pa.array(at + i)) for i in range(length)], " ").value_counts()
+        return pa.record_batch([pa.array(np.full(len(found), length, np.int32)), found.field("values"), found.field("counts")], names=["size", "gram", "n"])
+
+    def best(grams: DataFrame) -> DataFrame:
+        return grams.groupBy("size", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size", "gram").limit(k)
+
+    return _most_frequent(docs, k, text, lambda lists: _grams_of(lists, most), told, "size int, gram string, n long", best)
+
+
 def covariate_cells(docs: DataFrame, x: str, y: str) -> DataFrame:
     """x, y, n: documents by two variables."""
     return docs.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))

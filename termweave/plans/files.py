@@ -256,8 +256,8 @@ def sentence_index(s, d):
     cut = lookup.lines(_docs(s, d)).select("doc_id", "no", F.posexplode("terms").alias("pos", "term"))
     index.save({"tokens": cut}, path := _place(s))
     stored = s.read.parquet(f"{path}/tokens")
-    # counted line by line, then document by document: a term's tokens are never one task's
-    by_line = stored.groupBy("term", "doc_id", "no").agg(F.count(F.lit(1)).alias("n"))
+    # counted line by line, then document by document, a million tokens a task: a term's tokens are never one task's
+    by_line = stored.repartition(stored.count() // 1_000_000 + 1, "term", "doc_id").groupBy("term", "doc_id", "no").agg(F.count(F.lit(1)).alias("n"))
     by_doc = by_line.groupBy("term", "doc_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_lines"))
     return by_doc.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"), F.count(F.lit(1)).alias("n_docs"))
 

@@ -88,7 +88,7 @@ def break_pairs(s, d):
 
 
 def ngrams_top(s, d):
-    return lookup.ngrams(_docs(s, d), 3).groupBy("n", "gram").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "n", "gram").limit(100)
+    return index.top_grams(_docs(s, d), 100, 3).select(F.col("size").alias("n"), "gram", F.col("n").alias("freq"))
 
 
 QUERIES = {f.__name__: f for f in (label_filter, number_pairs, pull_documents, match_documents, match_documents_any, match_page, tag_spans, span_tokens, near_far, list_tags, pull_sentences, random_sentences, hash_sample, feature_whitelist, whitelist_intersect, break_pairs, ngrams_top)}

@@ -1,13 +1,17 @@
 """Work, memory and files that grow no faster than the tables."""
 
 import math
+import random
 import uuid
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from termweave import plans
-from termweave.operators import entities, index, store
+from termweave.functions import text
+from termweave.operators import entities, index, spans, store
 
 
 def test_bag_scores_are_made_of_matches_alone(spark):
@@ -64,3 +68,45 @@ def test_postings_inside_the_row_equal_those_of_tokens(spark, monkeypatch):
     plain = lambda df: sorted(map(repr, df.select("term", "doc_id", "tf", "positions").collect()))
     assert plain(index.written_postings(docs)) == plain(index.postings(index.tokens(docs)))
     assert "Exchange" not in index.document_postings(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_of_pairs_end_inside_a_batch(spark, monkeypatch):
+    """A long text gives 7 x 5000 pairs: no unit holds more than UNIT and one distance of it."""
+    monkeypatch.setattr(index, "UNIT", 4000)
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 4999}" for i in range(5000)))], "doc_id long, text string")
+    hashed = docs.select(F.transform(text.tokens(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
+    got = index._unit_counts(hashed, lambda lists: index._pairs_of(lists, 8, False), 5, 0)
+    assert got.filter("key is null").count() == 7
+
+
+def test_top_grams_equal_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(index, "UNIT", 20)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in (0, 1, 2, 9, 40, 70)]
+    c = Counter()
+    for t in texts:
+        w = t.split()
+        c.update((n, " ".join(w[i : i + n])) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    want = sorted(c.items(), key=lambda x: (-x[1], *x[0]))[:12]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    assert [((r.size, r.gram), r.n) for r in index.top_grams(docs, 12, 3).select(F.col("size"), "gram", "n").orderBy(F.desc("n"), "size", "gram").toPandas().itertuples()] == want
+
+
+def test_a_large_dictionary_is_cut_down_to_what_texts_may_hold(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * 90 + k}" for k in range(100))) for i in range(30)], "doc_id long, text string")
+    said = spark.createDataFrame([(1, 1, "u", "x w5 w6 w7 w8 y")], "conv_id long, turn long, role string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    said.write.parquet(f"{tmp_path}/conversations.parquet")
+    sizes, plain = [], entities.mentions
+    monkeypatch.setattr(entities, "mentions", lambda docs, known, **more: (sizes.append(known.count()), plain(docs, known, **more))[1])
+    assert sorted(map(tuple, plans.QUERIES["dictionary_large"](spark, str(tmp_path)).collect())) == [("w5 w6 w7", 1), ("w6 w7 w8", 1)]
+    assert sizes[0] < 60
+
+
+def test_pages_are_scanned_a_few_at_a_time(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: held.append(run))
+    spans.marked_up(spark.createDataFrame([(1, "")], "page_id long, html string"))
+    batch = pa.record_batch([pa.array(range(100)), pa.array(["<p>a b</p>"] * 100)], names=["doc_id", "html"])
+    made = list(held[0](iter([batch])))
+    assert max(map(len, made)) <= 32 and sum(map(len, made)) == 100
