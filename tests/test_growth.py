@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from termweave import plans
 from termweave.functions import text
-from termweave.operators import entities, index, spans, store
+from termweave.operators import entities, graph, index, spans, store
 
 
 def test_bag_scores_are_made_of_matches_alone(spark):
@@ -110,3 +110,19 @@ def test_pages_are_scanned_a_few_at_a_time(spark, monkeypatch):
     batch = pa.record_batch([pa.array(range(100)), pa.array(["<p>a b</p>"] * 100)], names=["doc_id", "html"])
     made = list(held[0](iter([batch])))
     assert max(map(len, made)) <= 32 and sum(map(len, made)) == 100
+
+
+def test_pagerank_of_a_large_graph_in_buckets(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i % 40}", f"n{(i * i + 3 * i) % 61}") for i in range(400)], "src string, dst string")
+    want = {r.node: r.score for r in graph.pagerank(edges, weighted=False).collect()}
+    monkeypatch.setattr(graph, "BROADCAST_NODES", 5)
+    monkeypatch.setattr(graph, "BUCKET_NODES", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    made, writer = [], graph.shared
+    monkeypatch.setattr(graph, "shared", lambda s: made.append(writer(s)) or made[-1])
+    try:
+        got = {r.node: r.score for r in graph.pagerank(edges, weighted=False).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert made and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagerank_")]
