@@ -38,8 +38,9 @@ TERMS_AT_ONCE = 500_000
 
 
 def slices_of(batch: pa.RecordBatch, column: int, most: int = TERMS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about most elements of a column of lists; one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+    """A batch in parts of about most elements of a column of lists, or bytes of a column of texts; one row at least."""
+    length = pc.binary_length if pa.types.is_string(batch[column].type) else pc.list_value_length
+    ends = np.cumsum(pc.fill_null(length(batch[column]), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(batch):
         upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))

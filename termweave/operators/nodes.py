@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, parted
 from ..functions.text import tokens as token_array
 from .index import cut
 from .search import dirichlet, jelinek_mercer, ranked
@@ -29,7 +29,7 @@ class Node:
 
 
 class Places(Node):
-    """A node with places in a text."""
+    """A node with places in a text. They are told from the tokens that it is made of alone: term and at, in order."""
 
     def counted(self) -> Iterator[Node]:
         yield self
@@ -37,6 +37,9 @@ class Places(Node):
     def width(self) -> int:
         return 1
 
+    def terms(self) -> set[str]:
+        return {t for c in getattr(self, "children", ()) for t in c.terms()}
+
     def places(self, t: Column) -> Column:
         raise NotImplementedError
 
@@ -45,8 +48,11 @@ class Places(Node):
 class Term(Places):
     term: str
 
+    def terms(self) -> set[str]:
+        return {self.term}
+
     def places(self, t: Column) -> Column:
-        return F.filter(F.transform(t, lambda x, i: F.when(x == self.term, i)), lambda i: i.isNotNull())
+        return F.transform(F.filter(t, lambda x: x["term"] == self.term), lambda x: x["at"])
 
 
 @dataclass(frozen=True)
@@ -67,8 +73,8 @@ class Synonym(Places):
 
 
 def _followed(found: Column, places: Column, offset: int) -> Column:
-    """Those found that have one of the places so far behind them."""
-    return let(places, lambda own: F.filter(found, lambda p: F.array_contains(own, p + offset)))
+    """Those found that have one of the places so far behind them, in time that grows with their number."""
+    return F.array_intersect(found, F.transform(places, lambda p: p - offset))
 
 
 @dataclass(frozen=True)
@@ -150,24 +156,31 @@ def _score(node: Node, tf: dict[Node, Column], cf: dict[Node, int], length: Colu
     return reduce(lambda a, b: a + b, parts) / sum(node.weights)
 
 
-def counts(docs: DataFrame, queries: dict[str, Node], key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[Node]]:
-    """doc_id, len, tf (a count for each node that the queries are made of) of every document, and these nodes: one scan."""
+def counts(docs: DataFrame, queries: dict[str, Node], key: str = "doc_id", text: str = "text", terms: str | None = None) -> tuple[DataFrame, list[Node]]:
+    """doc_id, len, tf (a count for each node that the queries are made of) of every document, and these nodes: one scan.
+
+    terms names a column of spaced tokens that is read instead of the text. The tokens are looked through once, for those of any node.
+    """
     units = list(dict.fromkeys(u for q in queries.values() for u in q.counted()))
-    made = let(token_array(F.col(text)), lambda t: F.struct(F.size(t).cast("long").alias("len"), F.array(*[F.size(u.places(t)).cast("long") for u in units]).alias("tf")))
+    asked = sorted({t for u in units for t in u.terms()})
+    own = lambda t: F.array_compact(F.transform(t, lambda x, i: F.when(x.isin(asked), F.struct(x.alias("term"), i.alias("at")))))
+    tf = lambda t: let(own(t), lambda o: F.array(*[F.size(u.places(o)).cast("long") for u in units]))
+    made = let(token_array(F.col(text)) if terms is None else parted(F.col(terms)), lambda t: F.struct(F.size(t).cast("long").alias("len"), tf(t).alias("tf")))
     # made by a generator, so that the tokens aren't made again for each member
     return docs.select(F.col(key).alias("doc_id"), F.inline(F.array(made))), units
 
 
-def run(docs: DataFrame, queries: dict[str, Node], k: int | None = 10, smoothing: str = "dirichlet", within: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def run(docs: DataFrame, queries: dict[str, Node], k: int | None = 10, smoothing: str = "dirichlet", within: DataFrame | None = None, key: str = "doc_id", text: str = "text", terms: str | None = None) -> DataFrame:
     """qid, doc_id, score, rank: the k best documents of each query, of those where it holds; a score holds where any of its nodes does.
+    Documents without an id aren't ranked, but count in the frequencies.
 
-    within (doc_id) leaves other documents out of the ranking, but not of the frequencies.
+    within (doc_id) leaves other documents out of the ranking, but not of the frequencies. terms names a column of spaced tokens that is read instead of the text.
     """
-    rows, units = counts(docs, queries, key, text)
+    rows, units = counts(docs, queries, key, text, terms)
     rows = cut(rows)
     sums = rows.agg(F.sum("len").alias("coll"), *[F.sum(F.get("tf", F.lit(i))).alias(f"cf{i}") for i in range(len(units))]).first()
     tf, cf = {u: F.get("tf", F.lit(i)) for i, u in enumerate(units)}, {u: sums[f"cf{i}"] or 0 for i, u in enumerate(units)}
     one = lambda q, node: F.when(_holds(node, tf), F.struct(F.lit(q).alias("qid"), F.round(_score(node, tf, cf, F.col("len"), sums["coll"] or 0, smoothing), 6).alias("score")))
     found = F.array_compact(F.array(*[one(q, node) for q, node in queries.items()]))
     rows = rows if within is None else rows.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
-    return ranked(rows.filter(F.exists("tf", lambda x: x > 0)).select("doc_id", F.inline(found)).select("qid", "doc_id", "score"), k)
+    return ranked(rows.filter(F.col("doc_id").isNotNull() & F.exists("tf", lambda x: x > 0)).select("doc_id", F.inline(found)).select("qid", "doc_id", "score"), k)

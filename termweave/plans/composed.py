@@ -55,12 +55,14 @@ def pmi_bigrams_bounds(s, d):
 
 def pmi_bigram_rerank(s, d):
     """The phrase's terms mixed with the ten best neighbours near it as phrases, weighted by PMI, among the documents that hold the phrase."""
-    near = cooccur.pmi_bigrams(_docs(s, d), PHRASE, 5, 5, 2, 10).collect()
+    # texts are cut into tokens once, for all scans
+    docs = index.cut(_docs(s, d).select("doc_id", fn.spaced(F.col("text")).alias("terms")))
+    near = cooccur.pmi_bigrams(docs, PHRASE, 5, 5, 2, 10, terms="terms").collect()
     asked = Combine((1.0, 1.0), tuple(map(Term, PHRASE)))
     if near:
         more = Combine(tuple(r.pmi for r in near), tuple(Phrase((Term(r.t1), Term(r.t2))) for r in near))
         asked = Combine((0.8, 0.2), (asked, more))
-    return nodes.run(_docs(s, d), {"p": asked}, 20, within=_hits(s, d))
+    return nodes.run(docs, {"p": Require((Phrase(tuple(map(Term, PHRASE))), asked))}, 20, terms="terms")
 
 
 def sentence_pages(s, d):

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from termweave import plans
 from termweave.functions import text
-from termweave.operators import entities, graph, index, spans, store
+from termweave.operators import cooccur, entities, graph, index, nodes, spans, store
+from termweave.operators.nodes import Phrase, Synonym, Term
 
 
 def test_bag_scores_are_made_of_matches_alone(spark):
@@ -126,3 +127,60 @@ def test_pagerank_of_a_large_graph_in_buckets(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert made and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagerank_")]
+
+
+def test_texts_are_cut_into_tokens_once_for_neighbours_and_their_ranking(spark, monkeypatch):
+    """Every scan but the first reads tokens that are written: only that plan holds the tokenizer."""
+    made, cut = [], index.cut
+    for module in (cooccur, index, nodes):
+        monkeypatch.setattr(module, "cut", lambda df: made.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    df = plans.QUERIES["pmi_bigram_rerank"](spark, "/root/testdata/sf0.001")
+    made.append(df._jdf.queryExecution().optimizedPlan().toString())
+    assert len(made) > 3 and sum("documents.parquet" in p or "regexp" in p for p in made) == 1 and df.count() == 20
+
+
+@pytest.mark.parametrize("most", [3, 2_000_000])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_neighbours_are_counted_in_parts(spark, monkeypatch, most, broadcast):
+    monkeypatch.setattr(cooccur, "AT_ONCE", most)
+    monkeypatch.setattr(cooccur, "PAIRS", 1000 if broadcast else 0)
+    rng = random.Random(4)
+    texts = [[rng.choice("abcdef") for _ in range(n)] for n in (0, 1, 2, 9, 40, 70)] + [["x", "a"], ["b", "x"], ["a", "b"], list("abxxxxxxxxab"), list("abxxxxxxxxxab")]
+    rows = spark.createDataFrame([(" ".join(t),) for t in texts] + [(None,)], "__s string")
+    near, hits, whole, held = Counter(), 0, Counter(), Counter()
+    for t in texts:
+        at = [i for i in range(len(t) - 1) if t[i : i + 2] == ["a", "b"]]
+        inside = {i for p in at for i in range(max(0, p - 3), p + 7)}
+        pairs = list(zip(t, t[1:], strict=False))
+        hits += len(at)
+        near.update(p for i, p in enumerate(pairs) if i in inside and i + 1 in inside)
+        whole.update(pairs)
+        held.update(pairs if at else [])
+    told = {(r.t1, r.t2): (r.n, r.coll) for r in cooccur.near_pairs(rows, ["a", "b"], 3, 5).collect()}
+    assert told.pop((None, None)) == (hits, sum(map(len, texts))) and told == {p: (n, None) for p, n in near.items()}
+    wanted = [p for p in whole if "c" not in p] + [("zz", "a")]
+    asked = spark.createDataFrame(wanted, "t1 string, t2 string")
+    for phrase, want in ((None, whole), (["a", "b"], held)):
+        got = {(r.t1, r.t2): r.n for r in cooccur.pair_counts(rows, asked, phrase).collect()}
+        assert {p: n for p, n in got.items() if p[1]} == {p: want[p] for p in wanted if want[p]}
+        assert all(got[t, None] == sum(x.count(t) for x in texts) for t in "abdef")
+    assert not {p for p in cooccur.pair_counts(rows, asked.limit(0)).collect() if p.t2}
+
+
+def test_spaced_tokens_are_the_tokens(spark):
+    docs = spark.createDataFrame([(t,) for t in (None, "", " ", "--", "A b", " a,\tB.\n", "\u00dcber\u0301 x\u00a0\U00020000 \u0660\u00b2\U0001f600z\u2028y", "\u0130I\u0131")], "text string")
+    assert all(r.a == r.b for r in docs.select(text.tokens(F.col("text")).alias("a"), text.parted(text.spaced(F.col("text"))).alias("b")).collect())
+
+
+def test_phrases_of_nodes_meet_by_place_alone(spark):
+    """Both terms of a phrase thirty thousand times in a text: their places meet in time that grows with their number."""
+    docs = spark.createDataFrame([(1, "of the " * 30_000), (2, "the of")], "doc_id long, text string")
+    pair = Phrase((Synonym((Term("of"), Term("in"))), Term("the")))
+    rows, _ = nodes.counts(docs, {"q": Phrase((pair, Term("of")))})
+    assert {r.doc_id: (r.len, list(r.tf)) for r in rows.collect()} == {1: (60_000, [29_999]), 2: (2, [0])}
+    assert "array_contains" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_without_an_id_are_not_ranked(spark):
+    docs = spark.createDataFrame([(1, "of the"), (None, "of the the"), (2, "x")], "doc_id long, text string")
+    assert [r.doc_id for r in nodes.run(docs, {"q": Term("the")}).collect()] == [1]
