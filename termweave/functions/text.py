@@ -28,6 +28,22 @@ def parted(spaced: Column) -> Column:
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
+def spaced_lines(text: Column) -> Column:
+    """tokens() as one string, a space between each two and a line feed behind it where a line of the text ends between them; the string may begin and end with these."""
+    other, inline = r"[^\p{L}\p{N}]", r"[^\n\p{L}\p{N}]"
+    # one match for all that stands between two tokens; it never gives back, so that long stretches take one pass
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?={other}){inline}*+(\n?){other}*+", " $1")
+
+
+def marked(spaced: Column, phrase: list[str], mark: str = "*") -> Column:
+    """spaced() or spaced_lines() with the mark behind each token that is part of the phrase (one token at least), of overlapping places and of such over line ends too."""
+    begins, gap, ends = r"(?<![^ \n])", r" \n?", "(?![^ ])"
+    terms = [*map(_quoted, phrase)]
+    # a match is one token, so that places may share tokens; what stands before is asked last
+    parts = [f"{t}{ends}(?={''.join(gap + x for x in terms[k + 1 :])}{ends})(?<={begins}{gap.join(terms[: k + 1])})" for k, t in enumerate(terms)]
+    return F.regexp_replace(spaced, f"{begins}(?:{'|'.join(parts)})", f"$0{mark}")
+
+
 def words(text: Column) -> Column:
     """Lower-case parts between white space."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import marked, spaced_lines
 from ..functions.text import tokens as token_array
+from . import index, search
 from .spans import stabbed
 
 
@@ -93,6 +95,33 @@ def near_and_far(placed: DataFrame) -> DataFrame:
     return both.groupBy("term").agg(F.count_if(F.col("tagged")).alias("near"), F.count_if(F.col("tagged").isNull()).alias("far"))
 
 
+def lines_near_and_far(docs: DataFrame, phrase: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, near, far: tokens of lines with any token of the phrase, which may run over line ends, and of other lines. Texts without an id don't count.
+
+    Lines and places of the phrase are told inside the row: only counts of terms are shuffled. Texts that share an id are one
+    document whose lines of a number are one line and whose places lie over each other; tokens of such texts alone meet by intervals.
+    """
+    own = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    shared = index.cut(own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    if shared.isEmpty():
+        return _near_and_far_inside(own, phrase)
+    alone, several = own.join(shared, "doc_id", "left_anti"), own.join(shared, "doc_id", "left_semi")
+    toks = index.tokens(several)
+    # a place counts once, whichever texts hold its parts
+    hits = search.phrases(toks.filter(F.col("term").isin(phrase)).distinct(), {1: phrase})
+    placed = tokens_in_spans(toks, line_spans(several).unionByName(hit_spans(hits, "phrase")))
+    both = _near_and_far_inside(alone, phrase).unionByName(near_and_far(placed))
+    return both.groupBy("term").agg(F.sum("near").alias("near"), F.sum("far").alias("far"))
+
+
+def _near_and_far_inside(docs: DataFrame, phrase: list[str]) -> DataFrame:
+    lines = docs.select(F.explode(F.split(marked(spaced_lines(F.col("text")), phrase), "\n")).alias("line"))
+    # told here for the line, not above for each of its tokens
+    lines = lines.select(F.col("line").contains("*").alias("near"), F.replace("line", F.lit("*"), F.lit("")).alias("line"))
+    toks = lines.select("near", F.explode(F.split("line", " ")).alias("term")).filter("term != ''")
+    return toks.groupBy("term").agg(F.count_if("near").alias("near"), F.count_if(~F.col("near")).alias("far"))
+
+
 def feature_list(stats: DataFrame, over: int = 5) -> DataFrame:
     """term, id: terms of more than so many documents, numbered from 0 in order.
 

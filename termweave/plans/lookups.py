@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import index, lookup, search
-from .catalog import HITS, TERMS, TOKS, _docs, _hits, _t, _toks
+from .catalog import HITS, PHRASE, TERMS, TOKS, _docs, _hits, _t, _toks
 
 
 def label_filter(s, d):
@@ -52,7 +52,7 @@ def span_tokens(s, d):
 
 
 def near_far(s, d):
-    return lookup.near_and_far(_placed(s, d))
+    return lookup.lines_near_and_far(_docs(s, d), PHRASE)
 
 
 def list_tags(s, d):

@@ -5,13 +5,14 @@ import random
 import uuid
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from termweave import plans
 from termweave.functions import text
-from termweave.operators import cooccur, entities, graph, index, nodes, spans, store
+from termweave.operators import cooccur, entities, graph, index, lookup, nodes, spans, store
 from termweave.operators.nodes import Phrase, Synonym, Term
 
 
@@ -172,6 +173,16 @@ def test_spaced_tokens_are_the_tokens(spark):
     assert all(r.a == r.b for r in docs.select(text.tokens(F.col("text")).alias("a"), text.parted(text.spaced(F.col("text"))).alias("b")).collect())
 
 
+def test_spaced_lines_are_the_tokens_of_lines(spark):
+    """Long stretches without a token too: time grows with their length."""
+    odd = (None, "", " ", "\n", "--\n", "a", "A\nb", " a,\tB.\n", "\n\na \r\n \n-\nb c\n", "\u00dc\n\u0301x\u00a0\U00020000\n\u0660\u00b2\U0001f600\nz\u2028y\u0085w", "\u0130\nI\u0131\n\u03a3\u03a3\n", "-" * 500_000 + "a" + " \n-" * 500_000 + "b" + "\n" * 500_000)
+    lines = lambda c, f: F.filter(F.transform(F.split(c, "\n"), f), lambda x: F.size(x) > 0)
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    docs = spark.createDataFrame([(t,) for t in odd], "text string")
+    got = docs.select(lines(text.spaced_lines(F.col("text")), lambda x: F.array_remove(F.split(x, " "), "")).alias("a"), lines(whole, text.tokens).alias("b")).collect()
+    assert len(got) == len(odd) and all(r.a == r.b for r in got) and got[-1].a == [["a"], ["b"]]
+
+
 def test_phrases_of_nodes_meet_by_place_alone(spark):
     """Both terms of a phrase thirty thousand times in a text: their places meet in time that grows with their number."""
     docs = spark.createDataFrame([(1, "of the " * 30_000), (2, "the of")], "doc_id long, text string")
@@ -184,3 +195,37 @@ def test_phrases_of_nodes_meet_by_place_alone(spark):
 def test_documents_without_an_id_are_not_ranked(spark):
     docs = spark.createDataFrame([(1, "of the"), (None, "of the the"), (2, "x")], "doc_id long, text string")
     assert [r.doc_id for r in nodes.run(docs, {"q": Term("the")}).collect()] == [1]
+
+
+def test_lines_near_and_far_shuffle_counts_alone(spark):
+    plan = plans.QUERIES["near_far"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(term" in plan and "Join" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "of\nthe end\nfar"), (2, "x of \n\n -- \n The y\nz"), (3, "of. the, of the\nofthe of thee\nof-\n"), (4, "often the\nof\n"), (5, "the x\n"), (6, None), (7, ""), (8, "\n"), (9, "*of* the\nof*\n"), (None, "of the q\nr"), (None, "s")],
+    # texts of one id: lines of a number are one line, places lie over each other
+    [(1, "of the a\nb c d e\nf"), (1, "of the a\nb c d e\nf"), (2, "g of x\ny"), (2, "h i the\nj k"), (3, "of the\nl"), (4, "of m\nn the"), (4, None), (5, "of\nthe p"), (None, "q"), (None, "of the")],
+])
+def test_lines_near_and_far_of_odd_texts_equal_sql(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(f"select term, near, far from ({plans.ORACLE_SQL['near_far']})").fetchall())
+    assert want and sorted(map(tuple, plans.QUERIES["near_far"](spark, str(tmp_path)).select("term", "near", "far").collect())) == want
+
+
+@pytest.mark.parametrize("phrase", [["a"], ["a", "b"], ["a", "a"], ["a", "b", "a"], ["a", "b", "b", "a"]])
+def test_lines_near_and_far_of_any_phrase(spark, phrase):
+    """Places of a phrase that share tokens and run over several lines, against brute force."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "b", "ab", "c", " ", ", ", "\n", "\n"]) + rng.choice(["", " ", "\n"]) for _ in range(n)) for n in (0, 1, 5, 30, 60, 200, 400)]
+    want = Counter()
+    for t in texts:
+        toks = [(w, no) for no, line in enumerate(t.split("\n")) for w in "".join(c if c.isalnum() else " " for c in line).split()]
+        starts = [i for i in range(len(toks)) if [w for w, _ in toks[i : i + len(phrase)]] == phrase]
+        near = {toks[i + k][1] for i in starts for k in range(len(phrase))}
+        want.update((w, no in near) for w, no in toks)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.term: (r.near, r.far) for r in lookup.lines_near_and_far(docs, phrase).collect()}
+    assert got == {w: (want[w, True], want[w, False]) for w in {w for w, _ in want}}
